@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, minhash
+from graphmill.llm import bpe, chat, embedding, minhash, urls, warc
+from graphmill.llm.common import new_path
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -48,11 +50,105 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
 FROM sets s LEFT JOIN least_id l ON l.x = s.doc_id
 """
 
+#: The conversation that says a template's own control strings.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text")
+    )
+    return chat.digests(chat.examples(turns.unionByName(added)))
+
+
+def _escaped_length(text: str) -> str:
+    """Characters of an escaped text: `&` grows by 4, `<` and `>` by 3, brackets by 4."""
+    count = lambda sign: f"(length({text}) - length(replace({text}, '{sign}', '')))"
+    return f"(length({text}) + 4 * {count('&')} + 3 * {count('<')} + 3 * {count('>')} + 4 * {count('[')} + 4 * {count(']')})"
+
+
+OP9_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}')),
+placed AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    sum({_escaped_length('role')} + {_escaped_length('text')} + 9) OVER (w ROWS UNBOUNDED PRECEDING) AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+
+def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least_id AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.y, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(l.y, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN least_id l ON l.x = e.vec_id LEFT JOIN counts c ON c.x = e.vec_id
+"""
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), path)
+    page = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
+    found = warc.read(spark, path, payload=False)
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+#: DuckDB has no base 32: five bits at a time are looked up in its alphabet.
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT page_id, first, strlen(html) AS n, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits FROM p JOIN f USING (html))
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) * (16 >> CAST(j AS INTEGER))))::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
+#: The rules of the query.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels: a page's path names the document it shows; that document's quality is the page's."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    shown = pages.select("url", F.regexp_extract(urls.path_of(F.col("url")), "/([0-9]+)", 1).try_cast("long").alias("doc_id"))
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
+    return urls.judge(pages, URL_RULES, shown.join(labels, "doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_warc": op3_warc,
+    "op4_urls": op4_urls,
     "op5_minhash": op5_minhash,
+    "op6_embedding": op6_embedding,
+    "op9_chat": op9_chat,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": OP3_SQL,
     "op5_minhash": OP5_SQL,
+    "op6_embedding": OP6_SQL,
+    "op9_chat": OP9_SQL,
 }
