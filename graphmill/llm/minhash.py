@@ -9,8 +9,12 @@ reach the threshold is confirmed on the full shingle sets.
 Documents with equal shingle sets form a class; one representative stands for it,
 so copies are never expanded into pairs. In a bucket every representative is
 compared with the smallest one first; afterwards only representatives that are
-still in different components are compared. A link between different texts is
-thus either confirmed or needless for the components.
+still in different components are compared, and of these only those that the
+triangle inequality leaves open: Jaccard distance is a metric, so two whose
+distances from the smallest one differ by more than the threshold's distance
+can't be linked. Those few documents get a finer signature, 1024 permutations of
+two bits. A link between different texts is thus confirmed, ruled out or
+needless for the components.
 
 At a similarity of 0.75 a pair shares no band with probability
 (1 - 0.75 ** 4) ** 32 = 5e-6; the estimate rejects a true link with a
@@ -28,28 +32,36 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.common import components, mix, shingles_of, small_batches, table, utf8_parts, words_of
 
-PERMUTATIONS, ROWS, BITS = 128, 4, 4
-BANDS = PERMUTATIONS // ROWS
+PERMUTATIONS, BANDS, ROWS, BITS = 128, 32, 4, 4
+FINE_PERMUTATIONS, FINE_BITS = 1024, 2
 WORDS = PERMUTATIONS * BITS // 64
 _RNG = np.random.Generator(np.random.PCG64(7))
-_A = (_RNG.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_B = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
+_A = (_RNG.integers(0, 2**31, FINE_PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_B = _RNG.integers(0, 2**32, FINE_PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
 _BAND = _RNG.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEED = _RNG.integers(1, 2**63, BANDS, dtype=np.uint64)
-_SHIFT = (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))[None, :]
 
 FEATURES = "doc_id long, n_shingles long, set_hash binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
+FINE = "doc_id long, " + ", ".join(f"f{i} long" for i in range(FINE_PERMUTATIONS * FINE_BITS // 64))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     """The smallest value of each permutation over a non-empty set of 64-bit hashes."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 2048):
-        np.minimum(least, (x[None, i : i + 2048] * _A + _B).min(axis=1), out=least)
+    least = np.full(permutations, 0xFFFFFFFF, np.uint32)
+    step = (1 << 18) // permutations
+    for i in range(0, len(x), step):
+        np.minimum(least, (x[None, i : i + step] * _A[:permutations] + _B[:permutations]).min(axis=1), out=least)
     return least
 
 
+def pack(least: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of the minima in 64-bit words."""
+    shift = np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)
+    low = least.astype(np.uint64) & np.uint64(2**bits - 1)
+    return (low.reshape(-1, 64 // bits) << shift).sum(axis=1, dtype=np.uint64)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -65,9 +77,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes[i] = len(own)
                 spread = mix(own + np.uint64(0x9E3779B97F4A7C15))
                 digests[i] = own.sum(dtype=np.uint64), spread.sum(dtype=np.uint64)
-                low = minima(own).astype(np.uint64)
-                bands[i] = mix((low.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + _SEED)
-                packed[i] = ((low & np.uint64(2**BITS - 1)).reshape(WORDS, -1) << _SHIFT).sum(axis=1, dtype=np.uint64)
+                least = minima(own)
+                bands[i] = mix((least.astype(np.uint64).reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + _SEED)
+                packed[i] = pack(least, BITS)
             some = np.flatnonzero(sizes > 0)
             list_ends = np.zeros(n + 1, np.int32)
             list_ends[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
@@ -89,21 +101,43 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, FEATURES)
 
 
-def disagreements(left: str, right: str) -> F.Column:
-    """In how many of the 128 low-bit groups two packed signatures differ."""
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in FINE.split(", ")]
+    for batch in batches:
+        for first, data, offsets in utf8_parts(batch.column(1)):
+            words, at = words_of(data, offsets)
+            n = len(offsets) - 1
+            packed = np.zeros((n, len(names) - 1), np.uint64)
+            for i in range(n):
+                own = np.unique(shingles_of(words[at[i] : at[i + 1]]))
+                if len(own):
+                    packed[i] = pack(minima(own, FINE_PERMUTATIONS), FINE_BITS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *(pa.array(packed[:, k].copy().view(np.int64)) for k in range(packed.shape[1]))], names=names)
+
+
+def disagreements(left: str, right: str, name: str = "s", permutations: int = PERMUTATIONS, bits: int = BITS) -> F.Column:
+    """In how many of the low-bit groups two packed signatures differ."""
+    ones = sum(1 << i for i in range(0, 64, bits))
     total = F.lit(0)
-    for i in range(WORDS):
-        x = F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    for i in range(permutations * bits // 64):
+        x = F.col(f"{left}.{name}{i}").bitwiseXOR(F.col(f"{right}.{name}{i}"))
+        for step in range(bits.bit_length() - 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 1 << step))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(ones)))
     return total
 
 
-def most_disagreements(similarity: float, deviations: float = 5.0) -> int:
+def most_disagreements(similarity: float, permutations: int = PERMUTATIONS, bits: int = BITS, deviations: float = 5.0) -> int:
     """What a pair at the threshold exceeds with the chance of so many standard deviations."""
-    agree = similarity + (1 - similarity) / 2**BITS
-    return int(PERMUTATIONS * (1 - agree) + deviations * (PERMUTATIONS * agree * (1 - agree)) ** 0.5 + 1)
+    agree = similarity + (1 - similarity) / 2**bits
+    return int(permutations * (1 - agree) + deviations * (permutations * agree * (1 - agree)) ** 0.5 + 1)
+
+
+def distance_at_least(disagree: F.Column, deviations: float = 5.0) -> F.Column:
+    """A Jaccard distance that a pair with so many disagreements hardly falls below."""
+    agree = 1 - disagree / PERMUTATIONS
+    most = agree + deviations * F.sqrt(agree * (1 - agree) / PERMUTATIONS)
+    return F.greatest(F.lit(0.0), 1 - (most - 2.0**-BITS) / (1 - 2.0**-BITS))
 
 
 def _confirm(similarity: float):
@@ -117,24 +151,25 @@ def _confirm(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)):
+            distance, linked = [], []
+            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                if common and 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["src", "dst"])
+                union = len(x) + len(y) - common
+                distance.append(1 - common / union if union else 1.0)
+                linked.append(common > 0 and 100 * common >= percent * union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["src", "dst", "distance", "linked"])
 
     return run
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (src, dst) whose full shingle sets reach the similarity."""
+    """The pairs (src, dst) with the distance of their full shingle sets, and whether they reach the similarity."""
     with_text = (
         pairs.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("src_text")), "src")
         .join(texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("dst_text")), "dst")
         .select("src", "dst", "src_text", "dst_text")
     )
-    return with_text.mapInArrow(_confirm(similarity), "src long, dst long")
+    return with_text.mapInArrow(_confirm(similarity), "src long, dst long, distance double, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
@@ -161,34 +196,50 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     shared = table(buckets.join(leaders, "key"), "minhash-buckets")
     most = most_disagreements(similarity)
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        x, y = signatures.alias("x"), signatures.alias("y")
-        return (
-            pairs.join(x, F.col("src") == F.col("x.doc_id"))
-            .join(y, (F.col("dst") == F.col("y.doc_id")) & (disagreements("x", "y") <= most))
-            .select("src", "dst")
-            .distinct()
-        )
-
     wanted = shared.select("doc_id").distinct()
     texts = table(docs.join(wanted, "doc_id"), "minhash-texts")
-    first = shared.where("doc_id <> leader").select(F.col("leader").alias("src"), F.col("doc_id").alias("dst")).distinct()
-    links = table(confirmed(likely(first), texts, similarity), "minhash-links")
+    x, y = signatures.alias("x"), signatures.alias("y")
+    star = shared.where("doc_id <> leader").select(F.col("leader").alias("src"), F.col("doc_id").alias("dst")).distinct()
+    estimated = (
+        star.join(x, F.col("src") == F.col("x.doc_id")).join(y, F.col("dst") == F.col("y.doc_id")).select("src", "dst", disagreements("x", "y").alias("disagree"))
+    )
+    estimated = table(estimated.distinct(), "minhash-estimated")
+    exact = table(confirmed(estimated.where(F.col("disagree") <= most).select("src", "dst"), texts, similarity), "minhash-exact")
+    links = exact.where("linked").select("src", "dst")
     found = components(links, "minhash-first")
-    labelled = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    known = estimated.join(exact, ["src", "dst"], "left").select(
+        F.col("src").alias("leader"),
+        F.col("dst").alias("doc_id"),
+        F.coalesce("distance", distance_at_least(F.col("disagree"))).alias("low"),
+        F.coalesce("distance", F.lit(1.0)).alias("high"),
+    )
+    labelled = (
+        shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        .join(known, ["leader", "doc_id"], "left")
+        .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
+    )
     labelled = table(labelled.distinct(), "minhash-labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     rest = table(labelled.join(mixed, "key").join(signatures, "doc_id"), "minhash-rest")
+    ambiguous = texts.join(rest.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+    rest = table(rest.join(ambiguous.mapInArrow(_fine, FINE), "doc_id"), "minhash-fine")
+    most_fine = most_disagreements(similarity, FINE_PERMUTATIONS, FINE_BITS)
     x, y = rest.alias("x"), rest.alias("y")
+    apart = F.greatest(F.col("x.low") - F.col("y.high"), F.col("y.low") - F.col("x.high"))
     later = (
         x.join(
             y,
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & (disagreements("x", "y") <= most),
+            (F.col("x.key") == F.col("y.key"))
+            & (F.col("x.doc_id") < F.col("y.doc_id"))
+            & (F.col("x.component") != F.col("y.component"))
+            & (apart <= 1 - similarity + 1e-9)
+            & (disagreements("x", "y") <= most)
+            & (disagreements("x", "y", "f", FINE_PERMUTATIONS, FINE_BITS) <= most_fine),
         )
         .select(F.col("x.doc_id").alias("src"), F.col("y.doc_id").alias("dst"))
         .distinct()
     )
-    more = table(confirmed(later, texts, similarity), "minhash-more")
+    more = table(confirmed(later, texts, similarity).where("linked").select("src", "dst"), "minhash-more")
     # a doc_id whose rows hold several texts belongs to several classes
     several = members.groupBy("doc_id").agg(F.min("class_id").alias("src"), F.max("class_id").alias("last")).where("src < last").drop("last")
     bridges = members.join(several, "doc_id").where("src < class_id").select("src", F.col("class_id").alias("dst")).distinct()
