@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, chat, embedding, minhash, urls, warc
+from graphmill.llm import bpe, chat, embedding, minhash, quality, urls, warc
 from graphmill.llm.common import new_path
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -137,8 +137,14 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, shown.join(labels, "doc_id"))
 
 
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_warc": op3_warc,
     "op4_urls": op4_urls,
     "op5_minhash": op5_minhash,
