@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, chat, embedding, minhash, quality, urls, warc
+from graphmill.llm import bpe, chat, decontaminate, embedding, minhash, quality, toxicity, urls, warc
 from graphmill.llm.common import new_path
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -142,6 +142,26 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = f"""
+WITH docs AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+items AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+doc_sets AS (SELECT doc_id, unnest({SHINGLES_SQL}) AS shingle FROM docs),
+item_sets AS (SELECT item_id, {SHINGLES_SQL} AS s FROM items),
+item_flat AS (SELECT item_id, len(s) AS n, unnest(s) AS shingle FROM item_sets)
+SELECT doc_id, item_id, count(*) AS n_common, any_value(n) AS n_item, count(*) / any_value(n) AS containment
+FROM doc_sets JOIN item_flat USING (shingle) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -149,12 +169,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_urls": op4_urls,
     "op5_minhash": op5_minhash,
     "op6_embedding": op6_embedding,
+    "op7_decontaminate": op7_decontaminate,
     "op9_chat": op9_chat,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op5_minhash": OP5_SQL,
     "op6_embedding": OP6_SQL,
+    "op7_decontaminate": OP7_SQL,
     "op9_chat": OP9_SQL,
 }
