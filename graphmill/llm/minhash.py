@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     # a repeated doc_id of one class is one representative
     representatives = members.where("doc_id = class_id").drop("set_hash", "class_id", "n_shingles")
     signatures = representatives.drop("bands")
-    buckets = representatives.select(F.posexplode("bands").alias("band", "key"), "doc_id").select(F.xxhash64("band", "key").alias("key"), "doc_id")
+    buckets = representatives.select(F.posexplode("bands").alias("band", "key"), "doc_id").select(F.xxhash64("band", "key").alias("key"), "band", "doc_id")
     leaders = buckets.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").drop("last")
     shared = table(buckets.join(leaders, "key"), "minhash-buckets")
     most = most_disagreements(similarity)
@@ -216,15 +216,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     labelled = (
         shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         .join(known, ["leader", "doc_id"], "left")
-        .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
+        .select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
     )
     labelled = table(labelled.distinct(), "minhash-labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    rest = table(labelled.join(mixed, "key").join(signatures, "doc_id"), "minhash-rest")
+    rest = table(labelled.join(mixed, "key").join(representatives, "doc_id"), "minhash-rest")
     ambiguous = texts.join(rest.select("doc_id").distinct(), "doc_id").select("doc_id", "text")
     rest = table(rest.join(ambiguous.mapInArrow(_fine, FINE), "doc_id"), "minhash-fine")
     most_fine = most_disagreements(similarity, FINE_PERMUTATIONS, FINE_BITS)
     x, y = rest.alias("x"), rest.alias("y")
+    first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
     apart = F.greatest(F.col("x.low") - F.col("y.high"), F.col("y.low") - F.col("x.high"))
     later = (
         x.join(
@@ -234,7 +235,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
             & (F.col("x.component") != F.col("y.component"))
             & (apart <= 1 - similarity + 1e-9)
             & (disagreements("x", "y") <= most)
-            & (disagreements("x", "y", "f", FINE_PERMUTATIONS, FINE_BITS) <= most_fine),
+            & (disagreements("x", "y", "f", FINE_PERMUTATIONS, FINE_BITS) <= most_fine)
+            & first_shared,
         )
         .select(F.col("x.doc_id").alias("src"), F.col("y.doc_id").alias("dst"))
         .distinct()
