@@ -19,8 +19,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -224,7 +227,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
     shared = _shared(docs.sparkSession, path)
 
     @F.pandas_udf("array<int>")
-    def ids(column: "pd.Series") -> "pd.Series":
+    def ids(column: pd.Series) -> pd.Series:
         a = automaton(shared.value)
         return column.map(lambda t: a.encode(t) if t else [])
 
@@ -237,15 +240,15 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     shared = _shared(docs.sparkSession, path)
 
     @F.pandas_udf("string")
-    def texts(column: "pd.Series") -> "pd.Series":
+    def texts(column: pd.Series) -> pd.Series:
         a = automaton(shared.value)
         return column.map(lambda x: a.decode(x) if x is not None else "")
 
     return docs.withColumn(to, texts(ids))
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, so that ids needn't leave the worker.
+def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, so that ids needn't leave the worker; with keep_ids also ids.
 
     One row per row of docs, repeated keys too; a null key stays null, a null text
     counts as empty; other columns are ignored. A text is held whole.
@@ -257,12 +260,20 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
         a = automaton(shared.value)
         decimal = [str(i) for i in range(len(a.emitted))].__getitem__
         for batch in batches:
-            n, ids_hex, text_hex = [], [], []
+            n, ids_hex, text_hex, kept = [], [], [], []
             for value in batch.column(1):
                 ids = a.encode(value.as_py() or "")
                 n.append(len(ids))
                 ids_hex.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 text_hex.append(hashlib.sha256(a.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if keep_ids:
+                    kept.append(array("i", ids))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
+            if keep_ids:
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(kept), np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, schema)

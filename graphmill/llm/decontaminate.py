@@ -18,10 +18,12 @@ are never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,7 +152,7 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = 0.75) -> D
     for block in item_blocks(items):
         shared = spark.sparkContext.broadcast(Index(block, containment))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
                 for first, data, offsets in utf8_parts(batch.column(1)):
@@ -172,22 +174,22 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = 0.75) -> D
     return out
 
 
+def _holds(shared: Broadcast) -> Callable[[pd.Series], pd.Series]:
+    def holds(column: pd.Series) -> pd.Series:
+        out = np.zeros(len(column), bool)
+        for first, data, offsets in utf8_parts(pa.array(column, pa.string())):
+            for row, _, _ in shared.value.matches(data, offsets):
+                out[first + row] = True
+        return pd.Series(out)
+
+    return holds
+
+
 def without_contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.75) -> DataFrame:
     """The rows of docs that hold no item, all columns kept."""
     spark = docs.sparkSession
     small_batches(spark)
     for block in item_blocks(items):
-        shared = spark.sparkContext.broadcast(Index(block, containment))
-
-        @F.pandas_udf("boolean")
-        def holds(column: "pd.Series", shared=shared) -> "pd.Series":
-            import pandas as pd
-
-            out = np.zeros(len(column), bool)
-            for first, data, offsets in utf8_parts(pa.array(column, pa.string())):
-                for row, _, _ in shared.value.matches(data, offsets):
-                    out[first + row] = True
-            return pd.Series(out)
-
+        holds = F.pandas_udf(_holds(spark.sparkContext.broadcast(Index(block, containment))), "boolean")
         docs = docs.where(~holds(F.col("text").cast("string")))
     return docs

@@ -251,3 +251,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     out = every.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
+    """One row of each group of near duplicates, that with the smallest doc_id, all columns kept.
+
+    Rows without words, or with a null doc_id, all stay. Of rows that repeat a kept
+    doc_id with words, one stays.
+    """
+    judged = near_duplicates(docs, similarity)
+    single = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("kept_id")).agg(F.max("n_shingles").alias("kept_shingles"), F.max("kept").alias("kept_row"))
+    joined = docs.join(single, F.col("doc_id").cast("long") == F.col("kept_id"), "left")
+    stays = joined.where(F.coalesce("kept_row", F.lit(True)))
+    empty = F.col("kept_id").isNull() | (F.col("kept_shingles") == 0)
+    others = stays.where(~empty).dropDuplicates(["kept_id"])
+    return stays.where(empty).unionByName(others).select(*docs.columns)

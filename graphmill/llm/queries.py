@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, chat, decontaminate, embedding, minhash, quality, toxicity, urls, warc
+from graphmill.llm import bpe, chat, decontaminate, embedding, minhash, quality, suffix, toxicity, urls, warc
 from graphmill.llm.common import new_path
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -162,6 +162,26 @@ SELECT doc_id, item_id, count(*) AS n_common, any_value(n) AS n_item, count(*) /
 FROM doc_sets JOIN item_flat USING (shingle) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
 """
 
+
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(_read(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+strings AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM strings QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1),
+heads AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS head FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM heads),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM spans),
+cut AS (
+  SELECT d.doc_id, any_value(d.n) AS n, coalesce(sum(g.b - g.a), 0) AS removed, count(g.k) AS spans,
+    coalesce(string_agg(substr(d.h, 2 * g.last + 1, 2 * (g.a - g.last)), '' ORDER BY g.a), '') || substr(any_value(d.h), 2 * coalesce(max(g.b), 0) + 1) AS kept
+  FROM d LEFT JOIN gaps g ON g.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, n AS n_bytes, CAST(removed AS BIGINT) AS n_removed, spans AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM cut
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -170,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_embedding": op6_embedding,
     "op7_decontaminate": op7_decontaminate,
+    "op8_suffix": op8_suffix,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
 }
@@ -179,5 +200,6 @@ ORACLES: dict[str, str] = {
     "op5_minhash": OP5_SQL,
     "op6_embedding": OP6_SQL,
     "op7_decontaminate": OP7_SQL,
+    "op8_suffix": OP8_SQL,
     "op9_chat": OP9_SQL,
 }
