@@ -40,7 +40,9 @@ WINDOW = LENGTH - GRAM + 1
 PIECE = 1 << 20
 _PLACES = np.uint64(PIECE - 1)
 #: Segments a task holds before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 18
+#: Rows in a batch: those between the stages are large.
+BATCH_ROWS = 64
 
 SEGMENT = np.dtype([("f", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "u1"), ("off", "u1")])
 MARKS = "doc_id long, start long, size int, off int, f long"
@@ -125,10 +127,6 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[heads], start[heads], np.maximum.reduceat(reach, heads)
 
 
-def _blob(p: int, payload: bytes) -> tuple[int, bytes]:
-    return p, payload
-
-
 def _anchor(bits: int) -> Callable:
     """Rows (p, kind, blob): segments by bucket (0), and spans that the task itself found repeated (1)."""
     schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -344,7 +342,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, size of repeated bytes, overlapping, for docs (doc_id: unique and not null, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(6, (4 * partitions - 1).bit_length())
     anchors = docs.select("doc_id", "text").mapInArrow(_anchor(bits), "p int, kind int, blob binary")
