@@ -257,7 +257,7 @@ def _cut_out(bits: int) -> Callable:
                 at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
                 held.append((x, data[at]))
                 n += len(at)
-            if n >= 64 << 20:
+            if n >= 16 << 20:
                 yield from passed_on(held)
                 held, n = [], 0
         if held:
