@@ -36,9 +36,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same over ASCII texts, for the faster of two libraries.
 ASCII_PATTERN = r" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Words whose path is kept in each Python worker: so many new ones, and those that were new before them.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 150_000
 #: Transitions kept in the same way.
-KEPT_TRANSITIONS = 500_000
+KEPT_TRANSITIONS = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:

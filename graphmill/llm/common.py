@@ -39,7 +39,7 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
-def utf8_parts(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def utf8_parts(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets from 0) for runs of rows of about `most` bytes; a null is empty."""
     if column.null_count:
         column = column.fill_null("" if pa.types.is_string(column.type) else b"")

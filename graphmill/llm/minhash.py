@@ -259,10 +259,11 @@ def without_near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFr
     Rows without words, or with a null doc_id, all stay. Of rows that repeat a kept
     doc_id with words, one stays.
     """
-    judged = near_duplicates(docs, similarity)
-    single = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("kept_id")).agg(F.max("n_shingles").alias("kept_shingles"), F.max("kept").alias("kept_row"))
-    joined = docs.join(single, F.col("doc_id").cast("long") == F.col("kept_id"), "left")
-    stays = joined.where(F.coalesce("kept_row", F.lit(True)))
-    empty = F.col("kept_id").isNull() | (F.col("kept_shingles") == 0)
-    others = stays.where(~empty).dropDuplicates(["kept_id"])
+    judged = near_duplicates(docs, similarity).where("doc_id is not null")
+    own, shingles, kept = "_graphmill_id", "_graphmill_shingles", "_graphmill_kept"
+    single = judged.groupBy(F.col("doc_id").alias(own)).agg(F.max("n_shingles").alias(shingles), F.max("kept").alias(kept))
+    joined = docs.join(single, F.col("doc_id").cast("long") == F.col(own), "left")
+    stays = joined.where(F.coalesce(kept, F.lit(True)))
+    empty = F.col(own).isNull() | (F.col(shingles) == 0)
+    others = stays.where(~empty).dropDuplicates([own])
     return stays.where(empty).unionByName(others).select(*docs.columns)

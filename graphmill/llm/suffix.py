@@ -45,7 +45,9 @@ HELD = 1 << 18
 BATCH_ROWS = 64
 
 SEGMENT = np.dtype([("f", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "u1"), ("off", "u1")])
-MARKS = "doc_id long, start long, size int, off int, f long"
+MARK = np.dtype([("f", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i4"), ("off", "<i2")])
+BLOBS = "p int, blob binary"
+MARKS = "doc_id long, spans array<struct<start:long,size:int>>, wanted array<struct<start:long,size:int,off:int,f:long>>"
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -95,19 +97,72 @@ def _repeats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[~same], later[~same]
 
 
-def _marks(doc: np.ndarray, start: np.ndarray, size: np.ndarray, off: np.ndarray | None = None, f: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows of MARKS: spans of `size` bytes (off -1), or segments of `size` strings whose bytes are wanted."""
-    n = len(doc)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.ascontiguousarray(doc), pa.int64()),
-            pa.array(np.ascontiguousarray(start), pa.int64()),
-            pa.array(size.astype(np.int32)),
-            pa.array(np.full(n, -1, np.int32) if off is None else off.astype(np.int32)),
-            pa.array(np.zeros(n, np.int64) if f is None else np.ascontiguousarray(f).view(np.int64)),
-        ],
-        names=["doc_id", "start", "size", "off", "f"],
-    )
+def _packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows (p, blob), or (p, kind, blob)."""
+    for i in range(0, len(rows), BATCH_ROWS):
+        part = rows[i : i + BATCH_ROWS]
+        columns = [pa.array([r[0] for r in part], pa.int32()), *([pa.array([r[1] for r in part], pa.int32())] if len(part[0]) == 3 else []), pa.array([r[-1] for r in part], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["p", "kind", "blob"] if len(columns) == 3 else ["p", "blob"])
+
+
+class Outbox:
+    """Spans (off -1) and wanted segments on their way to their documents, by buckets of doc_id.
+
+    A task passes on what it gathered in a few large rows, not a row a mark.
+    """
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.held, self.n = bits, [], 0
+
+    def spans(self, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        x = np.zeros(len(doc), MARK)
+        x["doc"], x["start"], x["size"], x["off"] = doc, start, end - start, -1
+        self._add(x)
+
+    def wanted(self, segments: np.ndarray) -> None:
+        x = np.zeros(len(segments), MARK)
+        for name in MARK.names:
+            x[name] = segments[name]
+        self._add(x)
+
+    def _add(self, x: np.ndarray) -> None:
+        if len(x):
+            self.held.append(x)
+            self.n += len(x)
+
+    def passed_on(self, least: int) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, blob) of all that is held, if it is at least so much."""
+        if not self.n or self.n < least:
+            return
+        x = np.concatenate(self.held)
+        self.held, self.n = [], 0
+        q = (mix(x["doc"].astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = np.lexsort((x["start"], x["doc"], q))
+        x, q = x[order], q[order]
+        cuts = np.searchsorted(q, np.arange((1 << self.bits) + 1))
+        yield from _packed([(int(k), x[cuts[k] : cuts[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(cuts))])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of MARKS, one for each document of a bucket: its merged spans and its wanted segments."""
+    for _, rows in _grouped(batches):
+        x = np.concatenate([np.frombuffer(blob, MARK) for (blob,) in rows])
+        x = x[np.lexsort((x["start"], x["doc"]))]
+        docs = np.unique(x["doc"])
+        w = x[x["off"] >= 0]
+        y = x[x["off"] < 0]
+        d, a, b = merged(y["doc"], y["start"], y["start"] + y["size"])
+        listed = lambda doc, columns: pa.ListArray.from_arrays(
+            pa.array(np.append(np.searchsorted(doc, docs), len(doc)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v)) for v in columns.values()], names=list(columns))
+        )
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(docs),
+                listed(d, {"start": a, "size": (b - a).astype(np.int32)}),
+                listed(w["doc"], {"start": w["start"], "size": w["size"], "off": w["off"].astype(np.int32), "f": w["f"].astype(np.uint64).view(np.int64)}),
+            ],
+            names=["doc_id", "spans", "wanted"],
+        )
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,8 +184,6 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 def _anchor(bits: int) -> Callable:
     """Rows (p, kind, blob): segments by bucket (0), and spans that the task itself found repeated (1)."""
-    schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-
     def passed_on(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         x, later = _repeats(np.concatenate(held))
         y = x[later]
@@ -150,9 +203,7 @@ def _anchor(bits: int) -> Callable:
                 # columns, ids as differences: the shuffle's codec finds the zeros
                 doc = np.diff(y["doc"], prepend=0)
                 rows.append((k, 0, b"".join((y["f"].astype("<u8").tobytes(), y["seg"].tobytes(), doc.tobytes(), y["start"].tobytes(), y["size"].tobytes(), y["off"].tobytes()))))
-        for i in range(0, len(rows), 64):
-            part = rows[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], schema=schema)
+        yield from _packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -187,41 +238,40 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield key, held
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(bits: int) -> Callable:
     """Of each bucket: spans of segments with an earlier equal, and the samples of anchors with different segments."""
-    for _, rows in _grouped(batches):
-        parts = []
-        for kind, blob in rows:
-            if kind == 1:
-                d, a, b = np.frombuffer(blob, np.int64).reshape(3, -1)
-                yield _marks(d, a, b - a)
-                continue
-            n = len(blob) // SEGMENT.itemsize
-            x, at = np.empty(n, SEGMENT), 0
-            for name, kind_of in (("f", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "u1"), ("off", "u1")):
-                column = np.frombuffer(blob, kind_of, n, at)
-                x[name] = np.cumsum(column) if name == "doc" else column
-                at += column.nbytes
-            parts.append(x)
-        if not parts:
-            continue
-        x, later = _repeats(np.concatenate(parts))
-        y = x[later]
-        if len(y):
-            d, a, b = merged(y["doc"], y["start"], y["start"] + y["size"] + (LENGTH - 1))
-            yield _marks(d, a, b - a)
-        x = x[~later]
-        other = np.zeros(len(x) + 1, bool)
-        other[1:-1] = x["f"][1:] == x["f"][:-1]
-        x = x[other[1:] | other[:-1]]
-        if len(x):
-            yield _marks(x["doc"], x["start"], x["size"], x["off"], x["f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outbox(bits)
+        for _, rows in _grouped(batches):
+            parts = []
+            for kind, blob in rows:
+                if kind == 1:
+                    out.spans(*np.frombuffer(blob, np.int64).reshape(3, -1))
+                    continue
+                n = len(blob) // SEGMENT.itemsize
+                x, at = np.empty(n, SEGMENT), 0
+                for name, kind_of in (("f", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "u1"), ("off", "u1")):
+                    column = np.frombuffer(blob, kind_of, n, at)
+                    x[name] = np.cumsum(column) if name == "doc" else column
+                    at += column.nbytes
+                parts.append(x)
+            if parts:
+                x, later = _repeats(np.concatenate(parts))
+                y = x[later]
+                out.spans(*merged(y["doc"], y["start"], y["start"] + y["size"] + (LENGTH - 1)))
+                x = x[~later]
+                other = np.zeros(len(x) + 1, bool)
+                other[1:-1] = x["f"][1:] == x["f"][:-1]
+                out.wanted(x[other[1:] | other[:-1]])
+            yield from out.passed_on(HELD)
+        yield from out.passed_on(1)
+
+    return run
 
 
 def _cut_out(bits: int) -> Callable:
     """Rows (p, blob) of the wanted segments' bytes from rows (doc_id, text, wanted)."""
-    schema = pa.schema([("p", pa.int32()), ("blob", pa.binary())])
-
     def passed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         x = np.concatenate([h[0] for h in held])
         text = np.concatenate([h[1] for h in held])
@@ -235,9 +285,7 @@ def _cut_out(bits: int) -> Callable:
             own = order[cuts[k] : cuts[k + 1]]
             at = np.repeat(begin[own] - (np.cumsum(length[own]) - length[own]), length[own]) + np.arange(int(length[own].sum()))
             rows.append((int(k), len(own).to_bytes(8, "little") + x[own].tobytes() + text[at].tobytes()))
-        for i in range(0, len(rows), 64):
-            part = rows[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], schema=schema)
+        yield from _packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -327,53 +375,64 @@ def long_matches(x: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return merged(x["doc"][item], start, start + LENGTH)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _grouped(batches):
-        parts, texts = [], []
-        for (blob,) in rows:
-            n = int.from_bytes(blob[:8], "little")
-            parts.append(np.frombuffer(blob, SEGMENT, n, 8))
-            texts.append(np.frombuffer(blob, np.uint8, -1, 8 + n * SEGMENT.itemsize))
-        d, a, b = long_matches(np.concatenate(parts), np.concatenate(texts))
-        if len(d):
-            yield _marks(d, a, b - a)
+def _index(bits: int) -> Callable:
+    """Of each bucket of segments with their bytes: the spans of long matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outbox(bits)
+        for _, rows in _grouped(batches):
+            parts, texts = [], []
+            for (blob,) in rows:
+                n = int.from_bytes(blob[:8], "little")
+                parts.append(np.frombuffer(blob, SEGMENT, n, 8))
+                texts.append(np.frombuffer(blob, np.uint8, -1, 8 + n * SEGMENT.itemsize))
+            out.spans(*long_matches(np.concatenate(parts), np.concatenate(texts)))
+            yield from out.passed_on(HELD)
+        yield from out.passed_on(1)
+
+    return run
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start, size of repeated bytes, overlapping, for docs (doc_id: unique and not null, text)."""
+    """doc_id, spans (array<struct<start, size>>, overlapping) of repeated bytes, for docs (doc_id: unique and not null, text)."""
     spark = docs.sparkSession
     small_batches(spark, BATCH_ROWS)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(6, (4 * partitions - 1).bit_length())
+    dealt = lambda df: df.repartition(partitions, "p").sortWithinPartitions("p")
     anchors = docs.select("doc_id", "text").mapInArrow(_anchor(bits), "p int, kind int, blob binary")
-    dealt = anchors.repartition(partitions, "p").sortWithinPartitions("p")
-    marks = table(dealt.mapInArrow(_settle, MARKS), "suffix-marks")
-    wanted = marks.where("off >= 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "off", "f")).alias("wanted"))
-    pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_out(bits), "p int, blob binary")
-    found = table(pieces.repartition(partitions, "p").sortWithinPartitions("p").mapInArrow(_index, MARKS), "suffix-found")
-    return marks.where("off < 0").unionByName(found).select("doc_id", "start", "size")
+    marks = table(dealt(dealt(anchors).mapInArrow(_settle(bits), BLOBS)).mapInArrow(_gather, MARKS), "suffix-marks")
+    wanted = marks.where(F.size("wanted") > 0).select("doc_id", "wanted")
+    pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_out(bits), BLOBS)
+    found = table(dealt(dealt(pieces).mapInArrow(_index(bits), BLOBS)).mapInArrow(_gather, MARKS), "suffix-found")
+    some = marks.select("doc_id", "spans").unionByName(found.select("doc_id", "spans")).where(F.size("spans") > 0)
+    return some.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+#: Names of columns of ours beside the caller's.
+ROW, SAME, SPANS = "_graphmill_row", "_graphmill_same", "_graphmill_spans"
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with unique ids `row` in the order of doc_id (null first), then text; whether they had to be made."""
+    """docs with unique ids ROW in the order of doc_id (null first), then text; whether they had to be made."""
     n = docs.select(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if n["n"] == n["d"]:
-        return docs.withColumn("row", F.col("doc_id")), False
-    keyed = docs.withColumn("same", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = table(keyed.select("doc_id", "same").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "same").withColumn("row", F.monotonically_increasing_id()), "suffix-rows")
-    rows = rows.withColumnRenamed("doc_id", "id").withColumnRenamed("same", "its")
-    return keyed.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("same") == F.col("its"))).drop("same", "id", "its"), True
+        return docs.withColumn(ROW, F.col("doc_id")), False
+    keyed = docs.withColumn(SAME, F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = table(keyed.select("doc_id", SAME).distinct().orderBy(F.col("doc_id").asc_nulls_first(), SAME).withColumn(ROW, F.monotonically_increasing_id()), "suffix-rows")
+    rows = rows.select(F.col("doc_id").alias("_graphmill_id"), F.col(SAME).alias("_graphmill_its"), ROW)
+    return keyed.join(rows, F.col("doc_id").eqNullSafe(F.col("_graphmill_id")) & (F.col(SAME) == F.col("_graphmill_its"))).drop(SAME, "_graphmill_id", "_graphmill_its"), True
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id long, text string, ...) with `spans`, array<struct<start, size>> of repeated bytes, unordered, null for none."""
+    """docs (doc_id long, text string, ...) with SPANS, array<struct<start, size>> of repeated bytes, unordered, null for none."""
     numbered, made = _numbered(docs)
-    unique = numbered.select(F.col("row").alias("doc_id"), "text")
+    unique = numbered.select(F.col(ROW).alias("doc_id"), "text")
     if made:
         numbered = table(numbered, "suffix-numbered")
-        unique = numbered.select(F.col("row").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    spans = repeated_spans(unique).groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    return numbered.join(spans, "row", "left").drop("row")
+        unique = numbered.select(F.col(ROW).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    spans = repeated_spans(unique).select(F.col("doc_id").alias(ROW), F.col("spans").alias(SPANS))
+    return numbered.join(spans, ROW, "left").drop(ROW)
 
 
 def _removed(spans: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -417,7 +476,7 @@ def digests(docs: DataFrame) -> DataFrame:
     nothing. Other columns are ignored.
     """
     spanned = with_spans(_plain(docs.select("doc_id", "text")))
-    return spanned.select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spanned.select("doc_id", "text", SPANS).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -450,7 +509,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out.append(raw[keep].tobytes().decode())
         return pd.Series(out, dtype=object)
 
-    done = spanned.withColumn("text", cut("text", "spans")).where("spans is null or text <> ''")
+    done = spanned.withColumn("text", cut("text", SPANS)).where(F.col(SPANS).isNull() | (F.col("text") != ""))
     if "n_chars" in names:
-        done = done.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"])))
+        done = done.withColumn("n_chars", F.when(F.col(SPANS).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"])))
     return done.select(*names)

@@ -42,8 +42,10 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‚‘’*_~`/\\|+=#%&$@^…–—-
 OPENING, CLOSING = "\"«„“‚‘»", "\"»“”‘’«"
 #: Words that speak about a word.
 REPORTING = frozenset(("word", "words", "term", "slur", "quote", "quoted", "quotes", "said", "says", "called", "wrote", "mot", "dit", "wort", "sagte", "palabra", "dijo"))
-KEPT_TOKENS = 400_000
-KEPT_STATES = 50_000
+#: Tokens and states of the automaton kept in each Python worker.
+KEPT_TOKENS, KEPT_STATES = 150_000, 8_000
+#: Toxic documents that a term needs before misspellings of it are looked for.
+SETTLED = 10
 
 
 def normal(token: str) -> str:
@@ -55,14 +57,15 @@ def edits(term: str) -> int:
 
 
 class Matcher:
-    """Finds the term nearest to a word. terms: whole words; stems: beginnings, matched exactly."""
+    """Finds the term nearest to a word. terms: whole words; stems: beginnings, matched exactly; exact: whole words, matched exactly."""
 
-    def __init__(self, terms: Iterable[str], stems: Iterable[str] = ()) -> None:
+    def __init__(self, terms: Iterable[str], stems: Iterable[str] = (), exact: Iterable[str] = ()) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.most, self.term, self.stem = [0], [""], [""]
-        for words, kind in ((terms, self.term), (stems, self.stem)):
+        self.allowed: dict[int, int] = {}
+        for words, kind, fuzzy in ((terms, self.term, True), (stems, self.stem, False), (exact, self.term, False)):
             for word in words:
-                node, k = 0, edits(word) if kind is self.term else 0
+                node, k = 0, edits(word) if fuzzy else 0
                 self.most[0] = max(self.most[0], k)
                 for c in word:
                     node = self.children[node].setdefault(c, len(self.children))
@@ -73,6 +76,8 @@ class Matcher:
                         self.most.append(0)
                     self.most[node] = max(self.most[node], k)
                 kind[node] = word
+                if kind is self.term:
+                    self.allowed[node] = k
         self._reset()
 
     def _reset(self) -> None:
@@ -102,7 +107,7 @@ class Matcher:
             known = self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            fits = [(e, self.term[n]) for n, e in key if self.term[n] and e <= edits(self.term[n])]
+            fits = [(e, self.term[n]) for n, e in key if self.term[n] and e <= self.allowed[n]]
             self.found.append((min(fits)[1], min(fits)[0]) if fits else None)
             self.begun.append(min((self.stem[n] for n, e in key if e == 0 and self.stem[n]), default=""))
         return known
@@ -146,6 +151,7 @@ class Model:
     stems: list[str]
     shares: Mapping[tuple[str, int], float] = field(default_factory=dict)
     counts: Mapping[str, tuple[float, float]] = field(default_factory=dict)
+    exact: list[str] = field(default_factory=list)
 
     def chance(self, spelling: str, term: str, e: int) -> float:
         share = self.shares.get((term, e), PRIOR_SHARE[e])
@@ -158,7 +164,7 @@ class Finder:
     """Finds in texts, with the tokens seen so far."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.matcher = model, Matcher(model.terms, model.stems)
+        self.model, self.matcher = model, Matcher(model.terms, model.stems, model.exact)
         self.seen: set[str] = set()
         self.bad: dict[str, tuple[str, str, int]] = {}
 
@@ -208,8 +214,8 @@ def quoted(tokens: list[str], i: int) -> bool:
     return any(normal(t) in REPORTING for t in before[-2:])
 
 
-def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str], list[str]]:
-    """(terms, stems) from doc_id, text, label.
+def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str], list[str], list[str]]:
+    """(settled terms, stems, other terms) from doc_id, text, label.
 
     Terms are words that at least 2 % of the toxic documents hold, three at least,
     and 20 times their share of the others. Stems are beginnings of four to six
@@ -229,7 +235,8 @@ def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str],
         return often.orderBy(F.desc("t"), "part").limit(most_terms)
 
     each = docs.select("doc_id", "label", F.explode("words").alias("word")).where(F.char_length("word") >= 3)
-    terms = [r["part"] for r in typical(each.withColumn("part", F.col("word")), 20).collect()]
+    found = typical(each.withColumn("part", F.col("word")), 20).collect()
+    terms = [r["part"] for r in found]
     rest = each.where(~F.col("word").isin(terms)) if terms else each
     beginnings = F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.when(F.char_length("word") > k, F.substr("word", F.lit(1), k)))
     begins = rest.select("doc_id", "label", "word", F.explode(beginnings).alias("part")).where("part is not null")
@@ -237,7 +244,7 @@ def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str],
     for stem in sorted((r["part"] for r in typical(begins, 50).where("words >= 4").collect()), key=lambda s: (len(s), s)):
         if not any(stem.startswith(k) for k in stems):
             stems.append(stem)
-    return terms, stems
+    return [r["part"] for r in found if r["t"] >= SETTLED], stems, [r["part"] for r in found if r["t"] < SETTLED]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, most_rows: int = MOST_ROWS) -> Model:
@@ -247,8 +254,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     sample = F.broadcast(labelled_sample(labels, label, folds, fold, most_rows))  # at most 2 * most_rows rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(sample, "doc_id").dropDuplicates(["text"]).persist()
     try:
-        terms, stems = lexicon(rows)
-        model = Model(terms, stems)
+        terms, stems, exact = lexicon(rows)
+        model = Model(terms, stems, exact=exact)
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
