@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,24 +159,38 @@ def table_of(values: Mapping[str, object], key: Column, otherwise: object) -> Co
     return F.coalesce(F.element_at(F.create_map(*pairs), key), F.lit(otherwise))
 
 
-def path_rule(path: Column) -> Column:
-    """Number of the first path rule that fits, from 1; 0 for a library's sources; null for none."""
+def _by_path(path: Column, index: int, library: str, none: str) -> Column:
+    """The value at `index` of the first path rule that fits.
+
+    Neighbouring rules of one value are one condition, and their patterns one
+    pattern: generated code stays small enough to be compiled whole.
+    """
     plain = slashes(path)
     name = basename(plain)
-    return F.when(F.substring_index(plain, "/", 1).isin(*LIBRARY_PACKAGES), 0).otherwise(
-        chain([((plain if what == "path" else name).rlike(pattern), i) for i, (_, _, what, pattern) in enumerate(PATH_RULES, 1)])
-    )
+    conditions: list[tuple[Column, object]] = [(F.substring_index(plain, "/", 1).isin(*LIBRARY_PACKAGES), library)]
+    for value, rules in groupby(PATH_RULES, key=lambda r: r[index]):
+        group = list(rules)
+        some = None
+        for what, column in (("path", plain), ("name", name)):
+            patterns = [p for _, _, w, p in group if w == what]
+            if patterns:
+                fits = column.rlike("|".join(f"(?:{p})" for p in patterns))
+                some = fits if some is None else some | fits
+        conditions.append((some, value))
+    return chain(conditions, none)
+
+
+def category_of(path: Column) -> Column:
+    return _by_path(path, 0, "libSource", "unknown")
 
 
-def by_rule(rule: Column, index: int, library: str, none: str) -> Column:
-    values = F.array(*(F.lit(r[index]) for r in PATH_RULES))
-    return F.when(rule.isNull(), none).when(rule == 0, library).otherwise(F.element_at(values, F.greatest(rule, F.lit(1))))
+def confidence_of(path: Column) -> Column:
+    return _by_path(path, 1, "high", "low")
 
 
 def classify_path(files: DataFrame) -> DataFrame:
-    """files (path, ...) with category, confidence and rule."""
-    ruled = files.withColumn("rule", path_rule(F.col("path")))
-    return ruled.withColumn("category", by_rule(F.col("rule"), 0, "libSource", "unknown")).withColumn("confidence", by_rule(F.col("rule"), 1, "high", "low"))
+    """files (path, ...) with category and confidence; unknown and low where no rule fits."""
+    return files.withColumn("category", category_of(F.col("path"))).withColumn("confidence", confidence_of(F.col("path")))
 
 
 def content_category(content: Column) -> Column:
