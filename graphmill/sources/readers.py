@@ -38,7 +38,7 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     path = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     relative = F.substr(path, F.char_length(start) + 2)
     hidden = F.exists(F.split(relative, "/"), lambda s: s.isin(*IGNORED) | s.rlike(r"\.min\.js$|\.map$|\.chunk\."))
-    return found.select(relative.alias("path"), F.col("content").alias("bytes"), "length").where(~hidden)
+    return found.where(~hidden).select(relative.alias("path"), F.col("content").alias("bytes"), "length")
 
 
 def read_text(files: DataFrame, most_chars: int = 100_000) -> DataFrame:
