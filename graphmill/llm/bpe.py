@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import small_batches
+from graphmill.llm.common import held, small_batches, trim
 
 #: Fixed value: the pre-tokenisation of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -199,16 +199,9 @@ class Automaton:
         return b"".join(map(self.emitted.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_READY: dict[str, Automaton] = {}
-
-
 def automaton(content: str) -> Automaton:
-    """Compiled once in each process."""
-    key = hashlib.sha1(content.encode()).hexdigest()
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Automaton(content)
-    return _READY[key]
+    """Compiled once in each process, as long as that works for this operator."""
+    return held(("bpe", hashlib.sha1(content.encode()).hexdigest()), lambda: Automaton(content))
 
 
 def load(path: str) -> str:
@@ -273,6 +266,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
                 ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(kept), np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        trim()
 
     schema = f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     names = [c.split()[0] for c in schema.split(", ")]

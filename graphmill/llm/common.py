@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +60,46 @@ def utf8_parts(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.
         first = last
 
 
+#: What a Python worker holds from task to task: tables of one operator at a time.
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What build() gives, kept in this process until another operator needs the room."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Workers outlive their tasks: let go of another operator's tables."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that begins and ends without held memory."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        release()
+        yield from f(batches)
+        trim()
+
+    return run
+
+
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _ODD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_ODD[0])

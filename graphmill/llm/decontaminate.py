@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import shingles_of, small_batches, utf8_parts, words_of
+from graphmill.llm.common import lean, release, shingles_of, small_batches, utf8_parts, words_of
 
 PERMUTATIONS = 64
 #: Items in a block that is sent to the tasks, and characters of their texts together.
@@ -169,13 +169,14 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = 0.75) -> D
                         names=["doc_id", "item_id", "n_common", "n_item", "containment"],
                     )
 
-        one = plain.mapInArrow(run, "doc_id long, item_id long, n_common long, n_item long, containment double")
+        one = plain.mapInArrow(lean(run), "doc_id long, item_id long, n_common long, n_item long, containment double")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def _holds(shared: Broadcast) -> Callable[[pd.Series], pd.Series]:
     def holds(column: pd.Series) -> pd.Series:
+        release()
         out = np.zeros(len(column), bool)
         for first, data, offsets in utf8_parts(pa.array(column, pa.string())):
             for row, _, _ in shared.value.matches(data, offsets):

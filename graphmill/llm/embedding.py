@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import components, mix, small_batches, table
+from graphmill.llm.common import components, lean, mix, small_batches, table
 
 TABLES, PROJECTIONS, WIDTH = 24, 6, 0.8
 #: Representatives in a block of a bucket.
@@ -56,6 +56,7 @@ def _rows(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 CODED = "vec_id long, label long, embedding array<double>, digest binary, codes array<long>"
 
 
+@lean
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, labels = batch.column(0), batch.column(1)
@@ -142,7 +143,7 @@ def _compare(threshold: float):
         if sum(map(len, held)) > 1 and (out := cell(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return run
+    return lean(run)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:

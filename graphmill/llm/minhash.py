@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import components, mix, shingles_of, small_batches, table, utf8_parts, words_of
+from graphmill.llm.common import components, lean, mix, shingles_of, small_batches, table, utf8_parts, words_of
 
 PERMUTATIONS, BANDS, ROWS, BITS = 128, 32, 4, 4
 FINE_PERMUTATIONS, FINE_BITS = 1024, 2
@@ -62,6 +62,7 @@ def pack(least: np.ndarray, bits: int) -> np.ndarray:
     return (low.reshape(-1, 64 // bits) << shift).sum(axis=1, dtype=np.uint64)
 
 
+@lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -101,6 +102,7 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, FEATURES)
 
 
+@lean
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in FINE.split(", ")]
     for batch in batches:
@@ -159,7 +161,7 @@ def _confirm(similarity: float):
                 linked.append(common > 0 and 100 * common >= percent * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["src", "dst", "distance", "linked"])
 
-    return run
+    return lean(run)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import mix, running_hash, small_batches, span_hash, utf8_parts, word_spans
+from graphmill.llm.common import lean, mix, release, running_hash, small_batches, span_hash, utf8_parts, word_spans
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
@@ -158,6 +158,7 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+@lean
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, data, offsets in utf8_parts(batch.column(2)):
@@ -188,6 +189,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
 
     @F.pandas_udf("double")
     def scores(column: pd.Series) -> pd.Series:
+        release()
         m, out = shared.value, []
         for _, data, offsets in utf8_parts(pa.array(column, pa.string())):
             out.append(m.margins(*indicators(data, offsets), len(offsets) - 1))

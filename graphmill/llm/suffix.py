@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import _BYTE, mix, running_hash, small_batches, span_hash, table, utf8_parts
+from graphmill.llm.common import _BYTE, lean, mix, release, running_hash, small_batches, span_hash, table, utf8_parts
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
@@ -143,6 +143,7 @@ class Outbox:
         yield from _packed([(int(k), x[cuts[k] : cuts[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(cuts))])
 
 
+@lean
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of MARKS, one for each document of a bucket: its merged spans and its wanted segments."""
     for _, rows in _grouped(batches):
@@ -221,7 +222,7 @@ def _anchor(bits: int) -> Callable:
         if n:
             yield from passed_on(held)
 
-    return run
+    return lean(run)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
@@ -267,7 +268,7 @@ def _settle(bits: int) -> Callable:
             yield from out.passed_on(HELD)
         yield from out.passed_on(1)
 
-    return run
+    return lean(run)
 
 
 def _cut_out(bits: int) -> Callable:
@@ -311,7 +312,7 @@ def _cut_out(bits: int) -> Callable:
         if held:
             yield from passed_on(held)
 
-    return run
+    return lean(run)
 
 
 def long_matches(x: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -390,7 +391,7 @@ def _index(bits: int) -> Callable:
             yield from out.passed_on(HELD)
         yield from out.passed_on(1)
 
-    return run
+    return lean(run)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -448,6 +449,7 @@ def _removed(spans: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at += n
 
 
+@lean
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -491,6 +493,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        release()
         out = []
         for value, own in zip(text, spans, strict=True):
             if own is None or len(own) == 0:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import small_batches
+from graphmill.llm.common import held, lean, small_batches
 from graphmill.llm.quality import held_out, labelled_sample
 
 #: Rows of each class that learning may take.
@@ -266,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
                     out += {(s, t, e, kind) for s, t, e, _ in finder.finds(text)}
                 yield pa.RecordBatch.from_pylist([dict(zip(("spelling", "term", "edits", "label"), x, strict=True)) for x in out], pa.schema([("spelling", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("label", pa.int32())]))
 
-        finds = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "spelling string, term string, edits int, label int")
+        finds = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(lean(run), "spelling string, term string, edits int, label int")
         counts = finds.groupBy("spelling", "term", "edits").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).collect()
         sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     finally:
@@ -283,9 +283,6 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     return model
 
 
-_READY: dict[str, Finder] = {}
-
-
 def score_column(docs: DataFrame, model: Model, text: Column) -> Column:
     """The score of a text, 0 to 1; 0 for null and empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -293,10 +290,8 @@ def score_column(docs: DataFrame, model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def scores(column: pd.Series) -> pd.Series:
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = Finder(shared.value)
-        return column.map(lambda t: _READY[key].score(t) if t else 0.0).astype("float64")
+        finder = held(("toxicity", key), lambda: Finder(shared.value))
+        return column.map(lambda t: finder.score(t) if t else 0.0).astype("float64")
 
     return scores(text.cast("string"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import small_batches
+from graphmill.llm.common import lean, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,7 +79,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2000-0
             made = (member(i.as_py(), u.as_py(), p.as_py(), r.as_py(), date)[:-1] for i, u, p, r in zip(*batch.columns, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
 
-    members = with_first(pages, least_bytes).mapInArrow(run, "member binary")
+    members = with_first(pages, least_bytes).mapInArrow(lean(run), "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").text(path)
 
 
@@ -209,4 +209,4 @@ def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, payload
                     yield pa.RecordBatch.from_pylist(held, arrow)
 
     arrow = pa.schema([(c, pa.int64() if c == "payload_bytes" else pa.binary() if c == "payload" else pa.string()) for c in columns])
-    return ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, schema)
+    return ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(lean(run), schema)
