@@ -42,6 +42,38 @@ def summary(signals: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def visible_nodes(nodes: DataFrame, marked: DataFrame, hide_tests: bool = False, circular_only: bool = False, kind: str | None = None) -> DataFrame:
+    """nodes (node, category) that a view shows; marked: s, t, circular."""
+    shown = nodes
+    if hide_tests:
+        shown = shown.where(F.col("category") != "test")
+    if kind is not None:
+        shown = shown.where(F.col("category") == kind)
+    if circular_only:
+        on_cycle = marked.where("circular").select(F.explode(F.array("s", "t")).alias("node")).distinct()
+        shown = shown.join(on_cycle, "node", "left_semi")
+    return shown
+
+
+def dead_overlay(nodes: DataFrame, dead: DataFrame) -> DataFrame:
+    """nodes (node, file) with is_dead: whether a dead symbol (file) lies in the file."""
+    files = dead.select("file").distinct().withColumn("is_dead", F.lit(True))
+    return nodes.join(files, "file", "left").na.fill(False, ["is_dead"])
+
+
+def rank_symbols(symbols: DataFrame, calls: DataFrame, key: list[str] | None = None, top: int = 8) -> DataFrame:
+    """name, file, incoming: the most called symbols (file, name, is_entry_point, is_exported); calls hold the called symbol's key, file and name unless given."""
+    on = key or ["file", "name"]
+    counted = symbols.join(calls.groupBy(*on).agg(F.count(F.lit(1)).alias("incoming")), on, "left").na.fill(0, ["incoming"])
+    return counted.orderBy(F.desc("incoming"), F.desc("is_entry_point"), F.desc("is_exported"), "name", "file").limit(top).select("name", "file", "incoming")
+
+
+def symbol_graph(edges: DataFrame) -> DataFrame:
+    """source, target, label of symbol edges (source_file, source, target_file, target, edge_type), each once."""
+    label = F.when(F.col("edge_type") == "uses_type", "uses").otherwise(F.col("edge_type"))
+    return edges.select(F.concat_ws("#", "source_file", "source").alias("source"), F.concat_ws("#", "target_file", "target").alias("target"), label.alias("label")).distinct()
+
+
 def sanitize_paths(text: Column, root: str) -> Column:
     """The text without the workspace's root."""
     bare = root.rstrip("/")

@@ -165,6 +165,17 @@ def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
     return lists.groupBy("q", "id").agg(F.round(F.sum(1.0 / (k + 1 + F.col("rank"))), 9).alias("fused"))
 
 
+def resolve_suffix(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """wanted (name) with path: the only known path (path) that ends with the name at a segment border; null for none or several.
+
+    Every known path is listed by its suffixes, so this is an equi join.
+    """
+    parts = F.split("path", "/")
+    suffixes = known.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("name"))
+    single = suffixes.join(wanted.select("name").distinct(), "name").groupBy("name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path")).where("n = 1")
+    return wanted.join(single.select("name", "path"), "name", "left")
+
+
 def budget_pack(ranked: DataFrame, budget: int) -> DataFrame:
     """q, id, rank, used: the longest prefix of ranked (q, id, rank, size) within the budget."""
     used = F.sum("size").over(Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))

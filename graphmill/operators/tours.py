@@ -15,7 +15,18 @@ TOUR_KEYWORDS = {
 }
 
 
-def is_relevant(question: Column, words: tuple[str, ...]) -> Column:
+# Words that make a question one about code.
+CODE_TERMS = (
+    "code", "codebase", "source", "file", "folder", "directory", "module", "package", "class", "function", "method", "variable", "component", "service", "controller", "model", "schema",
+    "interface", "enum", "constant", "architecture", "structure", "pattern", "design", "layer", "middleware", "hook", "import", "export", "dependency", "inject", "provider", "factory",
+    "singleton", "flow", "pipeline", "request", "response", "route", "endpoint", "handler", "lifecycle", "event", "callback", "promise", "async", "stream", "queue", "test", "build",
+    "deploy", "config", "setup", "debug", "error", "exception", "logging", "auth", "database", "query", "migration", "api", "rest", "graphql", "websocket", "http", "server", "client",
+    "overview", "onboarding", "audit", "refactor", "organize", "entry", "react", "vue", "angular", "express", "next", "node", "typescript", "javascript", "python", "django", "flask",
+    "spring", "docker", "webpack", "vite", "esbuild",
+)
+
+
+def is_relevant(question: Column, words: tuple[str, ...] = CODE_TERMS) -> Column:
     """Whether one of the words stands in the question as a word."""
     return F.lower(question).rlike(r"\b(" + "|".join(words) + r")\b")
 

@@ -935,6 +935,52 @@ def _(spark, d):
     return rel.read(spark, d, "benchmark").select("item_id", tours.classify_query(F.col("text")).alias("kind"))
 
 
+@query(
+    "join_suffix_unique",
+    with_tables(
+        rel.FILES_SQL,
+        "wanted AS (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name FROM files WHERE node % 7 = 0 UNION SELECT 'misc/' || regexp_extract(path, '[^/]*$') FROM files WHERE node % 11 = 0)",
+    )
+    + "SELECT name, CASE WHEN count(DISTINCT path) = 1 THEN min(path) END AS path FROM wanted LEFT JOIN files ON path = name OR path LIKE '%/' || replace(name, '_', '\\_') ESCAPE '\\' GROUP BY name",
+)
+def _(spark, d):
+    files = rel.files(spark, d)
+    name = F.substring_index("path", "/", -1)
+    wanted = files.where("node % 7 = 0").select(name.alias("name")).union(files.where("node % 11 = 0").select(F.concat(F.lit("misc/"), name))).distinct()
+    return text.resolve_suffix(wanted, files)
+
+
+@query(
+    "dead_overlay",
+    with_tables(EDGES, rel.SYMBOLS_SQL, DEAD_SQL) + "SELECT node, file, file IN (SELECT file FROM dead) AS is_dead FROM symbols",
+)
+def _(spark, d):
+    return report.dead_overlay(rel.symbols(spark, d).select("node", "file"), dead(spark, d))
+
+
+@query(
+    "rank_symbols",
+    with_tables(EDGES, rel.SYMBOLS_SQL)
+    + "SELECT name, file, count(s) AS incoming FROM symbols LEFT JOIN edges ON t = node GROUP BY node, name, file, is_entry_point, is_exported ORDER BY incoming DESC, is_entry_point DESC, is_exported DESC, name, file LIMIT 8",
+)
+def _(spark, d):
+    return report.rank_symbols(rel.symbols(spark, d), rel.edges(spark, d).select(F.col("t").alias("node")), ["node"])
+
+
+@query("relevance_gate", "SELECT conv_id, turn, regexp_matches(lower(text), '\\b(" + "|".join(tours.CODE_TERMS) + ")\\b') AS relevant FROM conversations")
+def _(spark, d):
+    return rel.read(spark, d, "conversations").select("conv_id", "turn", tours.is_relevant(F.col("text")).alias("relevant"))
+
+
+@query(
+    "visible_nodes",
+    with_tables(rel.FILES_SQL, EDGES, CLASSIFIED_SQL) + "SELECT node, category FROM classified WHERE category <> 'test' AND node IN (SELECT unnest([s, t]) FROM edges WHERE (s + t) % 10 = 0)",
+)
+def _(spark, d):
+    marked = rel.edges(spark, d).withColumn("circular", (F.col("s") + F.col("t")) % 10 == 0)
+    return report.visible_nodes(classified(spark, d).select("node", "category"), marked, hide_tests=True, circular_only=True)
+
+
 # ---- usage events
 
 
