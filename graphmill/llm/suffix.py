@@ -40,7 +40,7 @@ WINDOW = LENGTH - GRAM + 1
 PIECE = 1 << 20
 _PLACES = np.uint64(PIECE - 1)
 #: Segments a task holds before it passes them on.
-HELD = 1 << 18
+HELD = 1 << 16
 #: Rows in a batch: those between the stages are large.
 BATCH_ROWS = 64
 
@@ -306,7 +306,7 @@ def _cut_out(bits: int) -> Callable:
                 at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
                 held.append((x, data[at]))
                 n += len(at)
-            if n >= 16 << 20:
+            if n >= 4 << 20:
                 yield from passed_on(held)
                 held, n = [], 0
         if held:
