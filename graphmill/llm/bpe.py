@@ -23,7 +23,6 @@ from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -219,10 +218,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
     small_batches(docs.sparkSession)
     shared = _shared(docs.sparkSession, path)
 
-    @F.pandas_udf("array<int>")
-    def ids(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def ids(column: pa.Array) -> pa.Array:
         a = automaton(shared.value)
-        return column.map(lambda t: a.encode(t) if t else [])
+        return pa.array([a.encode(t.as_py()) if t.is_valid else [] for t in column], pa.list_(pa.int32()))
 
     return docs.withColumn(to, ids(F.col(text).cast("string")))
 
@@ -232,10 +231,10 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     small_batches(docs.sparkSession)
     shared = _shared(docs.sparkSession, path)
 
-    @F.pandas_udf("string")
-    def texts(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def texts(column: pa.Array) -> pa.Array:
         a = automaton(shared.value)
-        return column.map(lambda x: a.decode(x) if x is not None else "")
+        return pa.array([a.decode(x.as_py()) if x.is_valid else "" for x in column], pa.string())
 
     return docs.withColumn(to, texts(ids))
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -174,14 +173,14 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = 0.75) -> D
     return out
 
 
-def _holds(shared: Broadcast) -> Callable[[pd.Series], pd.Series]:
-    def holds(column: pd.Series) -> pd.Series:
+def _holds(shared: Broadcast) -> Callable[[pa.Array], pa.Array]:
+    def holds(column: pa.Array) -> pa.Array:
         release()
         out = np.zeros(len(column), bool)
-        for first, data, offsets in utf8_parts(pa.array(column, pa.string())):
+        for first, data, offsets in utf8_parts(column):
             for row, _, _ in shared.value.matches(data, offsets):
                 out[first + row] = True
-        return pd.Series(out)
+        return pa.array(out)
 
     return holds
 
@@ -191,6 +190,6 @@ def without_contaminated(docs: DataFrame, items: DataFrame, containment: float =
     spark = docs.sparkSession
     small_batches(spark)
     for block in item_blocks(items):
-        holds = F.pandas_udf(_holds(spark.sparkContext.broadcast(Index(block, containment))), "boolean")
+        holds = F.arrow_udf(_holds(spark.sparkContext.broadcast(Index(block, containment))), "boolean")
         docs = docs.where(~holds(F.col("text").cast("string")))
     return docs

@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,13 +186,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scores(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scores(column: pa.Array) -> pa.Array:
         release()
         m, out = shared.value, []
-        for _, data, offsets in utf8_parts(pa.array(column, pa.string())):
+        for _, data, offsets in utf8_parts(column):
             out.append(m.margins(*indicators(data, offsets), len(offsets) - 1))
-        return pd.Series(m.scores(np.concatenate(out)) if out else [], dtype="float64")
+        return pa.array(m.scores(np.concatenate(out)) if out else [], pa.float64())
 
     return docs.withColumn(to, scores(F.col(text).cast("string")))
 

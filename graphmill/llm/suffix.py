@@ -27,7 +27,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -491,28 +490,27 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     names = docs.columns
     spanned = with_spans(_plain(docs))
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         release()
         out = []
-        for value, own in zip(text, spans, strict=True):
-            if own is None or len(own) == 0:
-                out.append(value)
+        for value, (a, b) in zip(text, _removed(spans), strict=True):
+            if len(a) == 0:
+                out.append(value.as_py())
                 continue
-            raw = np.frombuffer(value.encode(), np.uint8)
-            gone = np.zeros(len(raw) + 1, np.int32)
-            start = np.array([s["start"] for s in own])
-            size = np.array([s["size"] for s in own])
-            np.add.at(gone, start, 1)
-            np.add.at(gone, start + size, -1)
-            gone = np.cumsum(gone[:-1]) > 0
+            raw = np.frombuffer(value.as_py().encode(), np.uint8)
+            edges = np.zeros(len(raw) + 1, np.int8)
+            edges[a] = 1
+            edges[b] = -1
+            gone = np.cumsum(edges[:-1], dtype=np.int8) > 0
             heads = np.flatnonzero((raw & 0xC0) != 0x80)
             whole = np.logical_and.reduceat(gone, heads)
             keep = np.repeat(~whole, np.diff(np.append(heads, len(raw))))
             out.append(raw[keep].tobytes().decode())
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
-    done = spanned.withColumn("text", cut("text", SPANS)).where(F.col(SPANS).isNull() | (F.col("text") != ""))
+    # as if not deterministic: the filter below would otherwise run it a second time, in workers of its own
+    cut_udf = F.arrow_udf(cut, "string").asNondeterministic()
+    done = spanned.withColumn("text", cut_udf("text", SPANS)).where(F.col(SPANS).isNull() | (F.col("text") != ""))
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.when(F.col(SPANS).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(dict(docs.dtypes)["n_chars"])))
     return done.select(*names)

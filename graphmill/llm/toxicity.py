@@ -18,7 +18,6 @@ import uuid
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -288,10 +287,10 @@ def score_column(docs: DataFrame, model: Model, text: Column) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("double")
-    def scores(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scores(column: pa.Array) -> pa.Array:
         finder = held(("toxicity", key), lambda: Finder(shared.value))
-        return column.map(lambda t: finder.score(t) if t else 0.0).astype("float64")
+        return pa.array([finder.score(t.as_py()) if t.is_valid else 0.0 for t in column], pa.float64())
 
     return scores(text.cast("string"))
 

@@ -222,6 +222,7 @@ def test_containment_equals_brute_force(spark):
 
 def test_items_come_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
-    items = spark.createDataFrame([(i, f"a{i} b c d e f g h") for i in range(10)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "x y a7 b c d e f g h z")], "doc_id long, text string")
+    words = lambda i: " ".join(f"i{i}w{k}" for k in range(8))
+    items = spark.createDataFrame([(i, words(i)) for i in range(10)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x y {words(7)} z")], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.contained(docs, items).collect()] == [(1, 7)]
