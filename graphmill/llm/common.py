@@ -29,10 +29,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
+def table(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    narrow: rows of a few numbers, for which partitions sized for texts would make
+    small files; an eighth as many.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if narrow:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -193,11 +199,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     current = both
     while True:
         best = current.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("id")).alias("to"))
-        best = table(best, f"{name}-best")
+        best = table(best, f"{name}-best", narrow=True)
         # one jump: a chain a -> b -> c becomes a -> c
         jump = table(
             best.alias("a").join(best.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to", "left").select("id", F.coalesce("to2", "to").alias("to")),
             f"{name}-jump",
+            narrow=True,
         )
         if labels is None:
             labels = jump.select("id", F.col("to").alias("component"))
@@ -205,6 +212,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             labels = table(
                 labels.join(jump.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")),
                 f"{name}-labels",
+                narrow=True,
             )
         moved = (
             current.where("src < dst")
@@ -214,7 +222,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .select(F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst"))
             .distinct()
         )
-        moved = table(moved, f"{name}-edges")
+        moved = table(moved, f"{name}-edges", narrow=True)
         if moved.isEmpty():
             return labels
         current = moved.unionByName(moved.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
