@@ -1,9 +1,9 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Full minima of 128 permutations give 32 band keys of four rows; of each minimum
-only the low four bits are kept, packed into eight longs. Documents that share a
-band key are candidates; bit counts of the packed signatures, corrected for the
-chance of agreeing by accident (1 / 16), estimate their similarity, and what may
+only four bits of its mixed value are kept, packed into eight longs. Documents that
+share a band key are candidates; bit counts of the packed signatures, corrected for
+the chance of agreeing by accident (1 / 16), estimate their similarity, and what may
 reach the threshold is confirmed on the full shingle sets.
 
 Documents with equal shingle sets form a class; one representative stands for it,
@@ -56,10 +56,14 @@ def minima(shingles: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray
 
 
 def pack(least: np.ndarray, bits: int) -> np.ndarray:
-    """The low bits of the minima in 64-bit words."""
+    """Some bits of each mixed minimum in 64-bit words.
+
+    A multiplier is odd, so a minimum's own low bits depend on its shingle's only: two
+    shingles would agree in all permutations or in none.
+    """
     shift = np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)
-    low = least.astype(np.uint64) & np.uint64(2**bits - 1)
-    return (low.reshape(-1, 64 // bits) << shift).sum(axis=1, dtype=np.uint64)
+    some = mix(least.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    return (some.reshape(-1, 64 // bits) << shift).sum(axis=1, dtype=np.uint64)
 
 
 @lean

@@ -123,6 +123,29 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_short_texts_at_the_threshold_equal_brute_force(spark):
+    rng = random.Random(8)
+    docs, pairs = [], []
+    for family in range(30):
+        base = [f"v{family}x{i}" for i in range(12)]
+        # every bucket that both members of a pair are in is led by a text that links with neither
+        docs += [" ".join(base[:7] + [f"y{rng.randint(0, 10**9)}" for _ in range(4)]) for _ in range(80)]
+        pairs += [" ".join(base[:7]), " ".join(base[:8])]
+    docs = list(enumerate(docs + pairs))
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near(docs)
+
+
+def test_fine_filter_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(8)
+    most = minhash.most_disagreements(0.75, minhash.FINE_PERMUTATIONS, minhash.FINE_BITS)
+    two = np.uint64(3)
+    for size in (4, 8, 12) * 60:
+        y = rng.integers(0, 2**63, size, dtype=np.uint64)
+        a, b = (minhash.pack(minhash.minima(s, minhash.FINE_PERMUTATIONS), minhash.FINE_BITS) for s in (y[: size * 3 // 4], y))
+        assert sum(int((((a ^ b) >> np.uint64(i)) & two != 0).sum()) for i in range(0, 64, 2)) <= most
+
+
 # ---- suffix
 
 
