@@ -809,12 +809,22 @@ questions AS (SELECT item_id AS q, list_distinct(({TERMS_SQL})[1:QTERMS]) AS w F
 asked AS (SELECT q, len(w) AS wanted, unnest(w) AS term FROM questions)"""
 
 
-def english(spark: SparkSession, d: str) -> DataFrame:
-    return text.inverted_index(rel.read(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+def searched(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """The documents in English, as in INDEX_SQL, or all."""
+    docs = rel.read(spark, d, "documents")
+    return docs if whole else docs.where("lang = 'en'")
 
 
-def questions(spark: SparkSession, d: str, most: int) -> DataFrame:
-    return rel.read(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.array_join(F.slice(text.terms(F.coalesce("text", F.lit(""))), 1, most), " ").alias("content"))
+def indexed(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return text.inverted_index(searched(spark, d, whole).select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+def questions(spark: SparkSession, d: str, most: int | None) -> DataFrame:
+    """The benchmark's first terms, as in INDEX_SQL, or its whole texts."""
+    items = rel.read(spark, d, "benchmark")
+    if most is None:
+        return items.select(F.col("item_id").alias("q"), F.col("text").alias("content"))
+    return items.select(F.col("item_id").alias("q"), F.array_join(F.slice(text.terms(F.coalesce("text", F.lit(""))), 1, most), " ").alias("content"))
 
 
 @query(
@@ -822,7 +832,12 @@ def questions(spark: SparkSession, d: str, most: int) -> DataFrame:
     with_tables(INDEX_SQL.replace("QTERMS", "3")) + "SELECT q, id FROM index JOIN asked USING (term) GROUP BY q, id, wanted HAVING count(*) = wanted",
 )
 def _(spark, d):
-    return text.search_text(english(spark, d), questions(spark, d, 3))
+    return text.search_text(indexed(spark, d), questions(spark, d, 3))
+
+
+@query("search_text_all")
+def _(spark, d):
+    return text.search_text(indexed(spark, d, whole=True), questions(spark, d, None))
 
 
 BM25_SQL = """size AS (SELECT count(*) AS n, avg(len(w)) AS avg_length FROM tokens),
@@ -832,9 +847,9 @@ scored AS (SELECT q, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 listed AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) - 1 AS rank FROM scored QUALIFY rank < 20)"""
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    sizes = rel.read(spark, d, "documents").where("lang = 'en'").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.terms(F.coalesce("text", F.lit(""))))).alias("avg_length"))
-    return text.top_per_query(text.bm25(english(spark, d), questions(spark, d, 8), sizes))
+def scored(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    sizes = searched(spark, d, whole).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.terms(F.coalesce("text", F.lit(""))))).alias("avg_length"))
+    return text.top_per_query(text.bm25(indexed(spark, d, whole), questions(spark, d, None if whole else 8), sizes))
 
 
 @query("bm25", with_tables(INDEX_SQL.replace("QTERMS", "8"), BM25_SQL) + "SELECT q, id, score, CAST(rank AS INTEGER) AS rank FROM listed")
@@ -842,12 +857,17 @@ def _(spark, d):
     return scored(spark, d)
 
 
+@query("bm25_all")
+def _(spark, d):
+    return scored(spark, d, whole=True)
+
+
 FUSED_SQL = """lists AS (SELECT q, 0 AS list, rank, id FROM listed UNION ALL SELECT q, 1, row_number() OVER (PARTITION BY q ORDER BY id) - 1, id FROM listed),
 fused AS (SELECT q, id, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS fused FROM lists GROUP BY q, id)"""
 
 
-def fused(spark: SparkSession, d: str) -> DataFrame:
-    best = scored(spark, d)
+def fused(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    best = scored(spark, d, whole)
     by_id = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("id")) - 1)
     return text.rrf(best.select("q", F.lit(0).alias("list"), "rank", "id").unionByName(by_id.select("q", F.lit(1).alias("list"), "rank", "id")))
 
@@ -857,15 +877,29 @@ def _(spark, d):
     return fused(spark, d)
 
 
+@query("rrf_all")
+def _(spark, d):
+    return fused(spark, d, whole=True)
+
+
+def packed(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    ranked = fused(spark, d, whole).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("fused"), "id")))
+    sizes = rel.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.char_length("text").alias("size"))
+    return text.budget_pack(ranked.join(sizes, "id"), 24_000)
+
+
 @query(
     "budget_pack",
     with_tables(INDEX_SQL.replace("QTERMS", "8"), BM25_SQL, FUSED_SQL, "r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY fused DESC, id) AS rank FROM fused)", "p AS (SELECT q, r.id, rank, sum(length(text)) OVER (PARTITION BY q ORDER BY rank) AS used FROM r JOIN documents ON doc_id = r.id)")
     + "SELECT q, id, CAST(rank AS INTEGER) AS rank, CAST(used AS BIGINT) AS used FROM p WHERE used <= 24000",
 )
 def _(spark, d):
-    ranked = fused(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("fused"), "id")))
-    sizes = rel.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.char_length("text").alias("size"))
-    return text.budget_pack(ranked.join(sizes, "id"), 24_000)
+    return packed(spark, d)
+
+
+@query("budget_pack_all")
+def _(spark, d):
+    return packed(spark, d, whole=True)
 
 
 @query("token_estimate", "SELECT conv_id, turn, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM conversations")
