@@ -1,9 +1,10 @@
 """URL filtering by rules and by a tree of path templates.
 
 Each host has a tree of path segments. Numbers, dates and hexadecimal ids become
-wildcards by their form; level by level, a node with too many children gets one
-wildcard child, and children whose labels don't differ from their node's by more
-than chance are merged. A template is rejected if the smoothed share of good
+wildcards by their form; level by level, to the deepest path, children whose labels
+don't differ from their node's by more than chance are merged; a node with too many
+children keeps those that differ so much that not one of as many would by chance, and
+gets one wildcard child for the rest. A template is rejected if the smoothed share of good
 labels below it is under the threshold. Rules of host and path come before.
 
 The tree is made of aggregated templates, never of rows: a host with a third of
@@ -46,8 +47,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def segments(path: Column, depth: int) -> Column:
-    """At most `depth` segments with variable forms as wildcards; what lies deeper is `**`."""
+def segments(path: Column, depth: int | None) -> Column:
+    """The segments with variable forms as wildcards; with a depth, what lies deeper is `**`."""
     form = lambda s: (
         F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "{date}")
         .when(s.rlike(r"^[0-9]+$"), "{n}")
@@ -56,25 +57,38 @@ def segments(path: Column, depth: int) -> Column:
         .otherwise(s)
     )
     parts = F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), form)
+    if depth is None:
+        return parts
     return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
 
 
-def templates(counts: DataFrame, depth: int, most_children: int, deviations: float) -> DataFrame:
+def surprise(good: Column, labelled: Column, rate: Column) -> Column:
+    """Chernoff's bound on the chance of so many good labels, or of so few, at a rate: minus its logarithm."""
+    share = good / labelled
+    part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
+    return F.when(labelled > 0, labelled * (part(share, rate) + part(1 - share, 1 - rate))).otherwise(0.0)
+
+
+def templates(counts: DataFrame, most_children: int, deviations: float) -> DataFrame:
     """host, form, template, labelled, good for counts (host, form array, labelled, good), one row per host and form."""
     tree = counts.withColumn("template", F.col("form"))
-    for level in range(1, depth + 2):
+    deepest = counts.agg(F.max(F.size("form"))).first()[0] or 0
+    for level in range(1, deepest + 1):
         node = ["host", "before", "segment"]
         seen = tree.withColumn("before", F.slice("template", 1, level - 1)).withColumn("segment", F.get("template", F.lit(level - 1)))
         children = seen.where("segment is not null").groupBy(*node).agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
         parents = children.groupBy("host", "before").agg(
-            F.count(F.lit(1)).alias("children"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good")
+            F.count(F.lit(1)).alias("children"), F.count_if(F.col("labelled") > 0).alias("judged"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good")
         )
         rate = (F.col("all_good") + 1) / (F.col("all_labelled") + 2)
         far = F.abs(F.col("good") - F.col("labelled") * rate) > deviations * F.sqrt(F.col("labelled") * rate * (1 - rate))
-        new = F.when(F.col("children") > most_children, "*").when((F.col("children") > 1) & ~far, "~").otherwise(F.col("segment"))
+        # at most 0.05 such children are expected of all that have labels
+        sure = surprise(F.col("good"), F.col("labelled"), rate) > F.log(2 * F.col("judged") / 0.05)
+        crowded = F.col("children") > most_children
+        new = F.when(crowded & ~(far & sure), "*").when(~crowded & (F.col("children") > 1) & ~far, "~").otherwise(F.col("segment"))
         renamed = children.join(parents, ["host", "before"]).select(*node, new.alias("renamed"))
         moved = seen.join(renamed, node, "left")
-        changed = F.concat(F.col("before"), F.array("renamed"), F.slice("template", level + 1, depth + 1))
+        changed = F.concat(F.col("before"), F.array("renamed"), F.slice("template", level + 1, deepest))
         tree = moved.select("host", "form", "labelled", "good", F.when(F.col("renamed").isNull(), F.col("template")).otherwise(changed).alias("template"))
         tree = table(tree, f"urls-level{level}")
     return tree
@@ -84,7 +98,7 @@ def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]],
     labelled: DataFrame,
-    depth: int = 4,
+    depth: int | None = None,
     most_children: int = 16,
     deviations: float = 1.96,
     strength: float = 4.0,
@@ -96,7 +110,8 @@ def judge(
     (good + strength * overall rate) / (labelled + strength) of the page's
     template; where no rule fits, the verdict is block if it is below the
     threshold. Without any labels the overall rate is 1. A null url and one
-    without `://` have an empty host and path and share one template. Repeated
+    without `://` have an empty host and path and share one template. A level of
+    the deepest path costs one round; depth limits them. Repeated
     rows stay, null ids too; other columns are ignored.
     """
     split = lambda df: df.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("form", segments(F.col("path"), depth))
@@ -109,7 +124,7 @@ def judge(
         .groupBy("host", "form")
         .agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     )
-    tree = templates(table(forms, "urls-forms"), depth, most_children, deviations)
+    tree = templates(table(forms, "urls-forms"), most_children, deviations)
     whole = tree.agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good")).first()
     rate = whole["good"] / whole["labelled"] if whole["labelled"] else 1.0
     leaves = tree.groupBy("host", "template").agg(((F.sum("good") + strength * rate) / (F.sum("labelled") + strength)).alias("purity"))

@@ -112,6 +112,21 @@ def test_templates_are_rejected_by_labelled_purity(spark):
     assert len(got) == len(pages)
 
 
+def test_branches_of_crowded_and_deep_nodes(spark):
+    rng = random.Random(9)
+    labelled = [(f"http://c.example/spam/{i}", 0) for i in range(400)]
+    labelled += [(f"http://c.example/s{k}x/{i}", 1) for k in range(40) for i in range(10)]
+    # noise: many sections of one label each stay one template
+    labelled += [(f"http://n.example/z{k}y/{k}", int(rng.random() < 0.8)) for k in range(300)]
+    labelled += [(f"http://d.example/a/b/c/d/e/{kind}/{i}", good) for kind, good in (("bad", 0), ("fine", 1)) for i in range(60)]
+    pages = [(1, "http://c.example/spam/5"), (2, "http://c.example/s3x/7"), (3, "http://n.example/z4y/4"), (4, "http://n.example/z5y/5"), (5, "http://d.example/a/b/c/d/e/bad/5"), (6, "http://d.example/a/b/c/d/e/fine/5")]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), (), spark.createDataFrame(labelled, "url string, label int")).collect()
+    by_id = {r.page_id: (r.verdict, r.template) for r in got}
+    assert by_id[1] == ("block", "/spam/{n}") and by_id[2] == ("allow", "/*/{n}")
+    assert by_id[3] == by_id[4] == ("allow", "/*/{n}")
+    assert by_id[5] == ("block", "/a/b/c/d/e/bad/{n}") and by_id[6] == ("allow", "/a/b/c/d/e/fine/{n}")
+
+
 # ---- embeddings
 
 
