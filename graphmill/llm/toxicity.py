@@ -14,6 +14,7 @@ the chance that at least one spelling found is abuse.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
@@ -43,8 +44,8 @@ OPENING, CLOSING = "\"«„“‚‘»", "\"»“”‘’«"
 REPORTING = frozenset(("word", "words", "term", "slur", "quote", "quoted", "quotes", "said", "says", "called", "wrote", "mot", "dit", "wort", "sagte", "palabra", "dijo"))
 #: Tokens and states of the automaton kept in each Python worker.
 KEPT_TOKENS, KEPT_STATES = 150_000, 8_000
-#: Toxic documents that a term needs before misspellings of it are looked for.
-SETTLED = 10
+#: Terms that are expected in the lexicon by chance.
+BY_CHANCE = 0.05
 
 
 def normal(token: str) -> str:
@@ -56,13 +57,13 @@ def edits(term: str) -> int:
 
 
 class Matcher:
-    """Finds the term nearest to a word. terms: whole words; stems: beginnings, matched exactly; exact: whole words, matched exactly."""
+    """Finds the term nearest to a word. terms: whole words; stems: beginnings, matched exactly."""
 
-    def __init__(self, terms: Iterable[str], stems: Iterable[str] = (), exact: Iterable[str] = ()) -> None:
+    def __init__(self, terms: Iterable[str], stems: Iterable[str] = ()) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.most, self.term, self.stem = [0], [""], [""]
         self.allowed: dict[int, int] = {}
-        for words, kind, fuzzy in ((terms, self.term, True), (stems, self.stem, False), (exact, self.term, False)):
+        for words, kind, fuzzy in ((terms, self.term, True), (stems, self.stem, False)):
             for word in words:
                 node, k = 0, edits(word) if fuzzy else 0
                 self.most[0] = max(self.most[0], k)
@@ -150,7 +151,6 @@ class Model:
     stems: list[str]
     shares: Mapping[tuple[str, int], float] = field(default_factory=dict)
     counts: Mapping[str, tuple[float, float]] = field(default_factory=dict)
-    exact: list[str] = field(default_factory=list)
 
     def chance(self, spelling: str, term: str, e: int) -> float:
         share = self.shares.get((term, e), PRIOR_SHARE[e])
@@ -163,7 +163,7 @@ class Finder:
     """Finds in texts, with the tokens seen so far."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.matcher = model, Matcher(model.terms, model.stems, model.exact)
+        self.model, self.matcher = model, Matcher(model.terms, model.stems)
         self.seen: set[str] = set()
         self.bad: dict[str, tuple[str, str, int]] = {}
 
@@ -213,11 +213,12 @@ def quoted(tokens: list[str], i: int) -> bool:
     return any(normal(t) in REPORTING for t in before[-2:])
 
 
-def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str], list[str], list[str]]:
-    """(settled terms, stems, other terms) from doc_id, text, label.
+def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str], list[str]]:
+    """(terms, stems) from doc_id, text, label.
 
-    Terms are words that at least 2 % of the toxic documents hold, three at least,
-    and 20 times their share of the others. Stems are beginnings of four to six
+    Terms are words with 20 times the share of the other documents in the toxic ones,
+    in at least 2 % of these, three at least, or so much more often than chance would
+    have it (Chernoff's bound) that of all words BY_CHANCE such is expected. Stems are beginnings of four to six
     letters of at least four other words, 50 times as frequent in toxic documents.
     """
     words = F.transform(F.split(F.lower("text"), r"[\s]+"), lambda t: F.btrim(t, F.lit(PUNCTUATION)))
@@ -230,7 +231,11 @@ def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str],
         counts = parts.groupBy("part").agg(
             F.countDistinct(F.when(F.col("label") == 1, F.col("doc_id"))).alias("t"), F.countDistinct(F.when(F.col("label") == 0, F.col("doc_id"))).alias("c"), F.countDistinct("word").alias("words")
         )
-        often = counts.where((F.col("t") >= least) & (F.col("t") / (toxic + 1) >= times * (F.col("c") + 0.5) / (other + 1)))
+        tested = parts.agg(F.countDistinct("part").alias("n")).first()["n"]
+        rate, share = (toxic + 1) / (toxic + other + 2), F.col("t") / (F.col("t") + F.col("c"))
+        by_chance = F.when(share > 0, F.col("t") * F.log(share / rate)).otherwise(0.0) + F.when(share < 1, F.col("c") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+        sure = (share > rate) & (by_chance >= math.log(max(1, tested) / BY_CHANCE))
+        often = counts.where(((F.col("t") >= least) | sure) & (F.col("t") / (toxic + 1) >= times * (F.col("c") + 0.5) / (other + 1)))
         return often.orderBy(F.desc("t"), "part").limit(most_terms)
 
     each = docs.select("doc_id", "label", F.explode("words").alias("word")).where(F.char_length("word") >= 3)
@@ -243,7 +248,7 @@ def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str],
     for stem in sorted((r["part"] for r in typical(begins, 50).where("words >= 4").collect()), key=lambda s: (len(s), s)):
         if not any(stem.startswith(k) for k in stems):
             stems.append(stem)
-    return [r["part"] for r in found if r["t"] >= SETTLED], stems, [r["part"] for r in found if r["t"] < SETTLED]
+    return terms, stems
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, most_rows: int = MOST_ROWS) -> Model:
@@ -253,8 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     sample = F.broadcast(labelled_sample(labels, label, folds, fold, most_rows))  # at most 2 * most_rows rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(sample, "doc_id").dropDuplicates(["text"]).persist()
     try:
-        terms, stems, exact = lexicon(rows)
-        model = Model(terms, stems, exact=exact)
+        model = Model(*lexicon(rows))
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

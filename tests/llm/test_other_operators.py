@@ -282,6 +282,30 @@ def test_automaton_finds_what_dynamic_programming_finds():
         assert matcher.match(word) == expected, word
 
 
+def test_misspellings_of_rare_terms_are_found(spark):
+    rng = random.Random(11)
+    common = [f"plain{i}" for i in range(90)]
+    # no document of the held-out fold is learnt, so each term has enough documents outside
+    texts = [(i, " ".join([*rng.sample(common, 12), "grubnolix" if i < 10 else "zarquonel"]), 1) for i in range(60)]
+    texts += [(100 + i, " ".join(rng.sample(common, 13)), 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(9000, "you are a grubbnolix plain1"), (9001, "plain1 plain2 plain3")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, x) for i, _, x in texts], "doc_id long, quality int, toxic int")
+    sample = docs.join(labels.where("doc_id >= 10 or doc_id < 8"), "doc_id").select("doc_id", "text", F.col("toxic").alias("label"))
+    assert set(toxicity.lexicon(sample)[0]) == {"grubnolix", "zarquonel"}
+    got = {r.doc_id: r.predicted for r in toxicity.judge(docs, labels).collect()}
+    assert (got[9000], got[9001]) == (1, 0)
+
+
+def test_rare_terms_that_chance_does_not_explain_are_learnt(spark):
+    rng = random.Random(12)
+    common = [f"plain{i}" for i in range(90)]
+    # 15 of 1000 toxic documents, none of the others
+    texts = [(i, " ".join([*rng.sample(common, 8), "grubnolix" if i < 15 else "zarquonel"]), 1) for i in range(1000)]
+    texts += [(2000 + i, " ".join(rng.sample(common, 9)), 0) for i in range(1000)]
+    terms = toxicity.lexicon(spark.createDataFrame(texts, "doc_id long, text string, label int"))[0]
+    assert set(terms) == {"zarquonel", "grubnolix"}
+
+
 def test_quotation_counts_for_less():
     model = toxicity.Model(["moron"], [], {("moron", 0): 0.99, ("moron", 1): 0.95}, {"moron": (500.0, 0.0)})
     finder = toxicity.Finder(model)
