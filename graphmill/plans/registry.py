@@ -984,6 +984,14 @@ def _(spark, d):
     return text.resolve_suffix(wanted, files)
 
 
+@query("join_suffix_unique_all")
+def _(spark, d):
+    files = rel.files(spark, d)
+    name = F.substring_index("path", "/", -1)
+    wanted = files.select(name.alias("name")).union(files.select(F.concat(F.lit("misc/"), name))).distinct()
+    return text.resolve_suffix(wanted, files)
+
+
 @query(
     "dead_overlay",
     with_tables(EDGES, rel.SYMBOLS_SQL, DEAD_SQL) + "SELECT node, file, file IN (SELECT file FROM dead) AS is_dead FROM symbols",

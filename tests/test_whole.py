@@ -60,3 +60,19 @@ def test_search_takes_all_documents_and_terms(spark, library):
         for k, i in enumerate(sorted((i for p, i in fused if p == q), key=lambda i: (-fused[q, i], i)), 1):
             used += sizes[i]
             assert packed.get((q, i)) == ((k, used) if used <= 24_000 else None)
+
+
+def test_every_file_name_is_resolved(spark, tmp_path):
+    kinds = ["ECONOMY X", "STANDARD X", "PROMO X"]
+    parts = [(i, f"red {i % 3}", kinds[i % 3], i) for i in range(1, 40)] + [(5, "red 2", "STANDARD X", 5)]
+    pq.write_table(pa.table({c: [p[k] for p in parts] for k, c in enumerate(("p_partkey", "p_name", "p_type", "p_size"))}), tmp_path / "part.parquet")
+    folder = {"ECONOMY X": "src/services/", "STANDARD X": "src/misc/", "PROMO X": "tests/"}
+    paths = {folder[kind] + f"{name.replace(' ', '_')}_{key}.ts" for key, name, kind, _ in parts}
+    expected = {}
+    for base in {p.rsplit("/", 1)[1] for p in paths}:
+        for name in (base, "misc/" + base):
+            ends = [p for p in paths if p == name or p.endswith("/" + name)]
+            expected[name] = ends[0] if len(ends) == 1 else None
+    assert expected["red_2_5.ts"] is None and expected["misc/red_2_5.ts"] and expected["red_1_1.ts"]
+    got = QUERIES["join_suffix_unique_all"](spark, str(tmp_path)).collect()
+    assert {r.name: r.path for r in got} == expected and len(got) == len(expected)
