@@ -110,6 +110,11 @@ def _(spark, d):
     return metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d))
 
 
+@query("fan_counts_all")
+def _(spark, d):
+    return metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d, None))
+
+
 INSTABILITY = "CASE WHEN fan_in + fan_out > 0 THEN fan_out / (fan_in + fan_out) END"
 
 
@@ -118,11 +123,21 @@ def _(spark, d):
     return metrics.instability(metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d)))
 
 
+@query("instability_all")
+def _(spark, d):
+    return metrics.instability(metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d, None)))
+
+
 @query("orphans", COUNTED + "SELECT node FROM counts WHERE fan_in = 0 AND fan_out = 0")
 def _(spark, d):
     return metrics.orphans(metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d)))
 
 
+@query("orphans_all")
+def _(spark, d):
+    return metrics.orphans(metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d, None)))
+
+
 HOT_SQL = """ranked AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(fan_in) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM counts WINDOW w AS (ORDER BY fan_in DESC, fan_out DESC, lines DESC, node)),
 hot AS (SELECT node, fan_in, fan_out, lines, rank FROM ranked WHERE (rank <= 5 OR before < 0.8 * (SELECT sum(fan_in) FROM counts)) AND rank <= 100)"""
@@ -229,6 +244,11 @@ def _(spark, d):
     return classify.layer_violations(rel.edges(spark, d), layers(spark, d))
 
 
+@query("layer_violations_all")
+def _(spark, d):
+    return classify.layer_violations(rel.edges(spark, d, None), layers(spark, d))
+
+
 ROLE_COUNTS_SQL = "role_counts AS (SELECT source, role, count(*) AS n, min(edge_ord) AS first FROM roles GROUP BY source, role)"
 
 

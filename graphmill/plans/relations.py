@@ -27,10 +27,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(name.alias("path"), F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("lines"))
 
 
-def edges(spark: SparkSession, sf_dir: str, least: int = 42) -> DataFrame:
-    """s, t: distinct."""
+def edges(spark: SparkSession, sf_dir: str, least: int | None = 42) -> DataFrame:
+    """s, t: distinct; least: the smallest quantity of a row that makes an edge, None for all rows of the flag."""
     line = read(spark, sf_dir, "lineitem")
-    a = line.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= least)).select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("s"))
+    own = F.col("l_returnflag") == "R"
+    a = line.where(own if least is None else own & (F.col("l_quantity") >= least)).select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("s"))
     b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("t"))
     return a.join(b, ["l_orderkey", "n"]).where("s <> t").select("s", "t").distinct()
 

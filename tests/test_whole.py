@@ -76,3 +76,22 @@ def test_every_file_name_is_resolved(spark, tmp_path):
     assert expected["red_2_5.ts"] is None and expected["misc/red_2_5.ts"] and expected["red_1_1.ts"]
     got = QUERIES["join_suffix_unique_all"](spark, str(tmp_path)).collect()
     assert {r.name: r.path for r in got} == expected and len(got) == len(expected)
+
+
+def test_linear_queries_take_edges_of_all_quantities(spark, tmp_path):
+    rng = random.Random(13)
+    kinds = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    pq.write_table(pa.table({"p_partkey": list(range(60)), "p_name": ["a b"] * 60, "p_type": [f"{kinds[i % 6]} X" for i in range(60)], "p_size": [1] * 60}), tmp_path / "part.parquet")
+    lines = [(o, n, rng.randrange(50), rng.randint(1, 50), rng.choice("RNA")) for o in range(60) for n in range(1, 4)]
+    names = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    pq.write_table(pa.table({c: [x[k] for x in lines] for k, c in enumerate(names)}), tmp_path / "lineitem.parquet")
+    part = {(o, n): p for o, n, p, _, _ in lines}
+    edges = {(p, part[o, n + 1]) for o, n, p, _, flag in lines if flag == "R" and (o, n + 1) in part and p != part[o, n + 1]}
+    fan = {i: (sum(t == i for _, t in edges), sum(s == i for s, _ in edges)) for i in range(60)}
+    got = {name: QUERIES[f"{name}_all"](spark, str(tmp_path)).collect() for name in ("fan_counts", "instability", "orphans", "layer_violations")}
+    assert {r.node: (r.fan_in, r.fan_out) for r in got["fan_counts"]} == fan
+    assert {r.node: r.instability for r in got["instability"]} == {i: b / (a + b) if a + b else None for i, (a, b) in fan.items()}
+    assert {r.node for r in got["orphans"]} == {i for i, f in fan.items() if f == (0, 0)}
+    layer = dict(enumerate((3, 4, 1, -2, 0, -1)))
+    wrong = {(s, t) for s, t in edges for a, b in [(layer[s % 6], layer[t % 6])] if a not in (-1, 0) and b not in (-1, 0) and (b < a or (b - a >= 2 and a != -2))}
+    assert {(r.s, r.t) for r in got["layer_violations"]} == wrong
