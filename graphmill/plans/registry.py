@@ -798,6 +798,14 @@ def _(spark, d):
     return text.chunks(docs, spans).select(F.col("path").cast("long").alias("doc_id"), "chunk_id", "content")
 
 
+@query("chunk_all")
+def _(spark, d):
+    """Without spans: each document is one whole chunk."""
+    docs = rel.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    none = spark.createDataFrame([], "file string, name string, line_start int, line_end int")
+    return text.chunks(docs, none).select(F.col("path").cast("long").alias("doc_id"), "chunk_id", "content")
+
+
 @query(
     "file_text_counts",
     """SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\r?\\n'), lambda x: regexp_matches(x, '\\S'))) AS lines,

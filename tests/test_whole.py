@@ -95,3 +95,10 @@ def test_linear_queries_take_edges_of_all_quantities(spark, tmp_path):
     layer = dict(enumerate((3, 4, 1, -2, 0, -1)))
     wrong = {(s, t) for s, t in edges for a, b in [(layer[s % 6], layer[t % 6])] if a not in (-1, 0) and b not in (-1, 0) and (b < a or (b - a >= 2 and a != -2))}
     assert {(r.s, r.t) for r in got["layer_violations"]} == wrong
+
+
+def test_chunks_hold_whole_texts(spark, tmp_path):
+    texts = {1: "one line", 2: "\n".join(f"line {i}" for i in range(9)), 3: "", 4: None}
+    pq.write_table(pa.table({"doc_id": list(texts), "text": list(texts.values())}), tmp_path / "documents.parquet")
+    got = {r.doc_id: (r.chunk_id, r.content) for r in QUERIES["chunk_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: (f"{i}::__file__", t) for i, t in texts.items() if t is not None}
