@@ -1,15 +1,20 @@
 """Toxicity: a Levenshtein automaton over a lexicon trie, and the context of what it finds.
 
 The lexicon comes from labelled documents: words, and beginnings of words, that
-toxic documents hold far more often than others. Its trie is intersected with the
+toxic documents hold far more often than others, as far as chance doesn't explain
+it. Its trie is intersected with the
 Levenshtein automaton of each term (no edit below five letters, one below nine,
 two from there) and determinised as words come in, so that a word costs a few
 table look-ups and most words leave the automaton after some letters. Each find
-has a chance of abuse: the share of such finds in toxic documents that their rate
-in other documents doesn't explain, from its spelling's counts, backed by its
-term's. A find
-that stands in quotation marks, or is spoken about, counts for less. The score is
-the chance that at least one spelling found is abuse.
+weighs the logarithm of how much likelier its spelling is in toxic text than in
+other text, from the spelling's counts, backed by its term's. A find
+that stands in quotation marks, or is spoken about, weighs little.
+
+The context of a find is the run of tokens around it: a token costs the rate at
+which toxic text has finds, a find adds its weight, and the best run counts. Such
+a run turns up by chance in proportion to the tokens of the text, so their
+logarithm is taken off; what is left are the log-odds of the score. One chance
+find in a long text is thus no abuse, and abuse in a part of a long text is.
 """
 
 from __future__ import annotations
@@ -28,24 +33,24 @@ from graphmill.llm.quality import held_out, labelled_sample
 
 #: Rows of each class that learning may take.
 MOST_ROWS = 3000
-#: Terms in the lexicon, most frequent first.
-MOST_TERMS = 4096
-#: Tokens before and after a find that make its context.
+#: Tokens before and after a find in which quotation marks are looked for.
 WINDOW = 6
 #: The share of toxic documents among those with a find of so many edits, before any is counted, and the weight of that.
 PRIOR_SHARE, PRIOR_WEIGHT = (0.95, 0.85, 0.7), 3
 #: The weight of a term's share in the chance of a spelling.
 BACKING = 4
-#: What a quoted or spoken-about find counts for.
-QUOTED = 0.3
+#: What a quoted or spoken-about find weighs at most.
+QUOTED = 0.5
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‚‘’*_~`/\\|+=#%&$@^…–—-¡¿"
 OPENING, CLOSING = "\"«„“‚‘»", "\"»“”‘’«"
 #: Words that speak about a word.
 REPORTING = frozenset(("word", "words", "term", "slur", "quote", "quoted", "quotes", "said", "says", "called", "wrote", "mot", "dit", "wort", "sagte", "palabra", "dijo"))
 #: Tokens and states of the automaton kept in each Python worker.
 KEPT_TOKENS, KEPT_STATES = 150_000, 8_000
-#: Terms that are expected in the lexicon by chance.
+#: The share of the lexicon that may be there by chance.
 BY_CHANCE = 0.05
+#: How many times as frequent in toxic documents a term, and a stem, must be.
+TERM_TIMES, STEM_TIMES = 20, 6
 
 
 def normal(token: str) -> str:
@@ -145,18 +150,19 @@ class Matcher:
 
 @dataclass
 class Model:
-    """shares: of a find's documents that are toxic, by (term, edits); counts: (toxic, other) documents by spelling, classes weighing the same."""
+    """shares: of finds that are in toxic text, by (term, edits); counts: finds in (toxic, other) text by spelling; texts of both kinds weigh the same. rate: finds a token in toxic text."""
 
     terms: list[str]
     stems: list[str]
     shares: Mapping[tuple[str, int], float] = field(default_factory=dict)
     counts: Mapping[str, tuple[float, float]] = field(default_factory=dict)
+    rate: float = 0.0
 
-    def chance(self, spelling: str, term: str, e: int) -> float:
+    def weight(self, spelling: str, term: str, e: int) -> float:
+        """How much likelier the find is in toxic text, as a logarithm; 0 if it isn't."""
         share = self.shares.get((term, e), PRIOR_SHARE[e])
         toxic, other = self.counts.get(spelling, (0.0, 0.0))
-        # a find that is as likely chance as abuse says nothing, however often it comes
-        return max(0.0, 1 - 2 * (other + BACKING * (1 - share)) / (toxic + BACKING * share))
+        return max(0.0, math.log((toxic + BACKING * share) / (other + BACKING * (1 - share))))
 
 
 class Finder:
@@ -167,9 +173,8 @@ class Finder:
         self.seen: set[str] = set()
         self.bad: dict[str, tuple[str, str, int]] = {}
 
-    def finds(self, text: str) -> Iterator[tuple[str, str, int, bool]]:
-        """(spelling, term, edits, quoted) of each find, in order."""
-        tokens = text.split()
+    def finds(self, tokens: list[str]) -> Iterator[tuple[int, str, str, int]]:
+        """(place, spelling, term, edits) of each find, in order; a spelling said again at once counts once."""
         own = set(tokens)
         if len(self.seen) > KEPT_TOKENS:
             self.seen.clear()
@@ -182,19 +187,26 @@ class Finder:
         self.seen |= fresh
         if self.bad.keys().isdisjoint(own):
             return
+        last, at = "", -1
         for i, token in enumerate(tokens):
             found = self.bad.get(token)
             if found is not None:
-                yield (*found, quoted(tokens, i))
+                if found[0] != last or i > at + 1:
+                    yield (i, *found)
+                last, at = found[0], i
 
     def score(self, text: str) -> float:
-        best: dict[str, float] = {}
-        for spelling, term, e, is_quoted in self.finds(text):
-            best[spelling] = max(best.get(spelling, 0.0), self.model.chance(spelling, term, e) * (QUOTED if is_quoted else 1.0))
-        clean = 1.0
-        for chance in best.values():
-            clean *= 1 - chance
-        return 1 - clean
+        tokens = text.split()
+        best = run = 0.0
+        end = 0
+        for i, spelling, term, e in self.finds(tokens):
+            weight = self.model.weight(spelling, term, e)
+            if quoted(tokens, i):
+                weight = min(weight, QUOTED)
+            run = max(0.0, run - self.model.rate * (i - end)) + weight
+            end = i
+            best = max(best, run)
+        return 1 / (1 + len(tokens) * math.exp(-best)) if best > 0 else 0.0
 
 
 def quoted(tokens: list[str], i: int) -> bool:
@@ -213,46 +225,56 @@ def quoted(tokens: list[str], i: int) -> bool:
     return any(normal(t) in REPORTING for t in before[-2:])
 
 
-def lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[str], list[str]]:
+def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     """(terms, stems) from doc_id, text, label.
 
-    Terms are words with 20 times the share of the other documents in the toxic ones,
-    in at least 2 % of these, three at least, or so much more often than chance would
-    have it (Chernoff's bound) that of all words BY_CHANCE such is expected. Stems are beginnings of four to six
-    letters of at least four other words, 50 times as frequent in toxic documents.
+    Terms are words with TERM_TIMES the share of the other documents in the toxic
+    ones; stems are beginnings of four to six letters of at least four other words,
+    with STEM_TIMES the share. Of both only as many, the surest first, as chance
+    (Chernoff's bound) leaves BY_CHANCE of them unexplained (Benjamini and Hochberg).
     """
     words = F.transform(F.split(F.lower("text"), r"[\s]+"), lambda t: F.btrim(t, F.lit(PUNCTUATION)))
     docs = sample.select("doc_id", "label", F.array_distinct(words).alias("words"))
     sizes = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
-    least = max(3, round(0.02 * toxic))
+    rate = (toxic + 1) / (toxic + other + 2)
 
-    def typical(parts: DataFrame, times: int) -> DataFrame:
+    def typical(parts: DataFrame, times: int, least_words: int) -> list[str]:
+        """The surest parts first."""
         counts = parts.groupBy("part").agg(
             F.countDistinct(F.when(F.col("label") == 1, F.col("doc_id"))).alias("t"), F.countDistinct(F.when(F.col("label") == 0, F.col("doc_id"))).alias("c"), F.countDistinct("word").alias("words")
         )
-        tested = parts.agg(F.countDistinct("part").alias("n")).first()["n"]
-        rate, share = (toxic + 1) / (toxic + other + 2), F.col("t") / (F.col("t") + F.col("c"))
-        by_chance = F.when(share > 0, F.col("t") * F.log(share / rate)).otherwise(0.0) + F.when(share < 1, F.col("c") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-        sure = (share > rate) & (by_chance >= math.log(max(1, tested) / BY_CHANCE))
-        often = counts.where(((F.col("t") >= least) | sure) & (F.col("t") / (toxic + 1) >= times * (F.col("c") + 0.5) / (other + 1)))
-        return often.orderBy(F.desc("t"), "part").limit(most_terms)
+        share = F.col("t") / (F.col("t") + F.col("c"))
+        sure = F.when(share > 0, F.col("t") * F.log(share / rate)).otherwise(0.0) + F.when(share < 1, F.col("c") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+        often = (share > rate) & (F.col("t") / (toxic + 1) >= times * (F.col("c") + 0.5) / (other + 1)) & (F.col("words") >= least_words)
+        tested = counts.select("part", F.when(often, sure).otherwise(0.0).alias("sure")).persist()
+        try:
+            # so many parts by how sure they are: a few hundred rows
+            levels = tested.groupBy(F.floor(F.col("sure") * 4).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+            m, seen, cut = sum(r["n"] for r in levels), 0, None
+            for r in sorted(levels, key=lambda r: -r["level"]):
+                seen += r["n"]
+                if math.exp(-r["level"] / 4) <= BY_CHANCE * seen / m:
+                    cut = r["level"] / 4
+            if cut is None:
+                return []
+            return [r["part"] for r in tested.where(F.col("sure") >= cut).orderBy(F.desc("sure"), "part").collect()]
+        finally:
+            tested.unpersist()
 
     each = docs.select("doc_id", "label", F.explode("words").alias("word")).where(F.char_length("word") >= 3)
-    found = typical(each.withColumn("part", F.col("word")), 20).collect()
-    terms = [r["part"] for r in found]
-    rest = each.where(~F.col("word").isin(terms)) if terms else each
+    terms = typical(each.withColumn("part", F.col("word")), TERM_TIMES, 1)
     beginnings = F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.when(F.char_length("word") > k, F.substr("word", F.lit(1), k)))
-    begins = rest.select("doc_id", "label", "word", F.explode(beginnings).alias("part")).where("part is not null")
+    begins = each.select("doc_id", "label", "word", F.explode(beginnings).alias("part")).where("part is not null")
     stems: list[str] = []
-    for stem in sorted((r["part"] for r in typical(begins, 50).where("words >= 4").collect()), key=lambda s: (len(s), s)):
-        if not any(stem.startswith(k) for k in stems):
+    for stem in typical(begins, STEM_TIMES, 4):
+        if not any(stem.startswith(k) or k.startswith(stem) for k in stems):
             stems.append(stem)
     return terms, stems
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, most_rows: int = MOST_ROWS) -> Model:
-    """Lexicon and chances from at most most_rows labelled documents of each class outside the held-out fold."""
+    """Lexicon and weights from at most most_rows labelled documents of each class outside the held-out fold."""
     spark = docs.sparkSession
     small_batches(spark)
     sample = F.broadcast(labelled_sample(labels, label, folds, fold, most_rows))  # at most 2 * most_rows rows
@@ -266,15 +288,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             for batch in batches:
                 out: list[tuple[str, str, int, int]] = []
                 for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    out += {(s, t, e, kind) for s, t, e, _ in finder.finds(text)}
+                    out += ((s, t, e, kind) for _, s, t, e in finder.finds(text.split()))
                 yield pa.RecordBatch.from_pylist([dict(zip(("spelling", "term", "edits", "label"), x, strict=True)) for x in out], pa.schema([("spelling", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("label", pa.int32())]))
 
         finds = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(lean(run), "spelling string, term string, edits int, label int")
         counts = finds.groupBy("spelling", "term", "edits").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).collect()
-        sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).collect()}
     finally:
         rows.unpersist()
-    # classes of unequal size weigh the same
+    # toxic and other text of unequal length weigh the same
     scale = max(1, sizes.get(1, 0)) / max(1, sizes.get(0, 0))
     by_term: dict[tuple[str, int], list[float]] = {}
     for r in counts:
@@ -283,6 +305,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         sums[1] += r["c"] * scale
     model.shares = {k: (t + PRIOR_WEIGHT * PRIOR_SHARE[k[1]]) / (t + c + PRIOR_WEIGHT) for k, (t, c) in by_term.items()}
     model.counts = {r["spelling"]: (r["t"], r["c"] * scale) for r in counts}
+    model.rate = sum(r["t"] for r in counts) / max(1, sizes.get(1, 0))
     return model
 
 
@@ -313,6 +336,10 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_rows: int = MOST_ROWS) -> DataFrame:
-    """The rows of docs that score below the threshold, all columns kept."""
+    """The rows of docs that score below the threshold, all columns kept.
+
+    Null and empty texts score 0 and stay; rows that repeat are judged alike; a null
+    doc_id is judged but never learnt; no rows give no rows.
+    """
     model = learn(docs, labels, most_rows=most_rows)
     return docs.where(score_column(docs, model, F.col("text")) < threshold)

@@ -3,9 +3,11 @@
 import base64
 import gzip
 import hashlib
+import math
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -240,14 +242,117 @@ def test_quality_on_held_out_documents(spark):
     assert rows(quality.judge(docs, turned).select("doc_id", "score")) == rows(out.select("doc_id", "score"))
 
 
-def test_toxicity_on_held_out_documents(spark):
-    folder = "/root/testdata/sf0.1"  # a tenth of this has some thirty toxic documents to learn from
-    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+@pytest.mark.parametrize("folder, least, always", [("sf0.01", 0.95, 0.9), ("sf0.1", 0.98, 0.9)])
+def test_toxicity_on_held_out_documents(spark, folder, least, always):
+    read = lambda name: spark.read.parquet(f"/root/testdata/{folder}/{name}.parquet")
+    docs, labels = read("documents"), read("labels")
     out = toxicity.judge(docs, labels)
-    assert accuracy(out, labels, "toxic") >= 0.95
+    assert accuracy(out, labels, "toxic") >= least > always
+    got = out.where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    assert sum(r.predicted for r in got if not r.toxic) <= 0.01 * sum(not r.toxic for r in got)
     assert out.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def plain_toxicity(docs, labels):
+    """Lexicon, weights, context and score without automata, Spark or bounds."""
+    learnt = {}
+    truth = dict(labels)
+    for i, text in docs:
+        if text is not None and truth.get(i) is not None and zlib.crc32(str(i).encode()) % 5:
+            learnt.setdefault(text, truth[i])
+    sizes = [sum(k == v for v in learnt.values()) for k in (0, 1)]
+
+    def sure(parts, times, least_words):
+        rate, levels = (sizes[1] + 1) / (sum(sizes) + 2), {}
+        for part, (found, words) in parts.items():
+            t, c = len(found[1]), len(found[0])
+            share = t / (t + c)
+            fits = share > rate and t / (sizes[1] + 1) >= times * (c + 0.5) / (sizes[0] + 1) and len(words) >= least_words
+            levels[part] = (t * math.log(share / rate) + (c * math.log((1 - share) / (1 - rate)) if c else 0)) if fits else 0.0
+        steps = sorted({math.floor(4 * v) / 4 for v in levels.values()}, reverse=True)
+        good = [x for x in steps if math.exp(-x) <= toxicity.BY_CHANCE * sum(math.floor(4 * v) / 4 >= x for v in levels.values()) / len(levels)]
+        return sorted((p for p, v in levels.items() if good and v >= good[-1]), key=lambda p: (-levels[p], p))
+
+    whole, begun = {}, {}
+    for n, (text, label) in enumerate(learnt.items()):
+        for word in {toxicity.normal(w) for w in text.split()}:
+            if len(word) >= 3:
+                for table, parts in ((whole, [word]), (begun, [word[:k] for k in (4, 5, 6) if len(word) > k])):
+                    for part in parts:
+                        found, words = table.setdefault(part, (({*()}, {*()}), set()))
+                        found[label].add(n)
+                        words.add(word)
+    terms, stems = sure(whole, toxicity.TERM_TIMES, 1), []
+    for stem in sure(begun, toxicity.STEM_TIMES, 4):
+        if not any(stem.startswith(k) or k.startswith(stem) for k in stems):
+            stems.append(stem)
+
+    def finds(tokens):
+        out, last, at = [], "", -1
+        for i, token in enumerate(tokens):
+            word = toxicity.normal(token)
+            fits = sorted((d, t) for t in terms if abs(len(t) - len(word)) <= toxicity.edits(t) and (d := distance(word, t)) <= toxicity.edits(t))
+            starts = [s for s in stems if word.startswith(s)]
+            if (fits or starts) and (word != last or i > at + 1):
+                out.append((i, word, *((starts[0] + "*", 0) if starts and (not fits or fits[0][0]) else fits[0][::-1])))
+            if fits or starts:
+                last, at = word, i
+        return out
+
+    length, by_term, by_spelling = [0, 0], {}, {}
+    for text, label in learnt.items():
+        length[label] += len(text.split())
+        for _, spelling, term, e in finds(text.split()):
+            by_term.setdefault((term, e), [0, 0])[label] += 1
+            by_spelling.setdefault(spelling, [0, 0])[label] += 1
+    scale = max(1, length[1]) / max(1, length[0])
+    rate = sum(v[1] for v in by_spelling.values()) / max(1, length[1])
+
+    def score(text):
+        tokens = text.split()
+        found = []
+        for i, spelling, term, e in finds(tokens):
+            c, t = by_term.get((term, e), (0, 0))
+            share = (t + toxicity.PRIOR_WEIGHT * toxicity.PRIOR_SHARE[e]) / (t + c * scale + toxicity.PRIOR_WEIGHT)
+            other, toxic = by_spelling.get(spelling, (0, 0))
+            weight = max(0.0, math.log((toxic + toxicity.BACKING * share) / (other * scale + toxicity.BACKING * (1 - share))))
+            found.append((i, min(weight, toxicity.QUOTED) if toxicity.quoted(tokens, i) else weight))
+        runs = [sum(w for _, w in found[a : b + 1]) - rate * (found[b][0] - found[a][0]) for a in range(len(found)) for b in range(a, len(found))]
+        best = max(runs, default=0.0)
+        return 1 / (1 + len(tokens) * math.exp(-best)) if best > 0 else 0.0
+
+    return {i: score(text or "") for i, text in docs}, terms, stems
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rng = random.Random(5)
+    common = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(420):
+        body = rng.choices(common, k=rng.randint(3, 60))
+        if (toxic := i % 3 == 0) and i % 12:
+            for t in rng.choices(["scumbag", "lowlifer", "halfwitted", *(f"réeux{rng.choice('abcdef')}x" for _ in range(4))], k=3):
+                word = list(t)
+                if rng.random() < 0.2:
+                    word.insert(rng.randrange(len(word)), rng.choice("xyz"))
+                word = "".join(word)
+                body.insert(rng.randrange(len(body) + 1), rng.choice([word, word.upper() + "!", f'"{word}"']))
+        elif rng.random() < 0.05:
+            body.insert(1, "réeuxzz")
+        docs.append((i, " ".join(body)))
+        labels.append((i, int(toxic) if i % 10 else None))
+    docs += [(1000, None), (1001, ""), (1002, "plainaa " * 5000 + "scumbag lowlifer scumbag")]
+    expected, terms, stems = plain_toxicity(docs, labels)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame([(i, None, x) for i, x in labels], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(frame, known)
+    assert (model.terms, model.stems) == (terms, stems) and {"scumbag", "lowlifer"} <= set(terms) and stems
+    got = {r.doc_id: r.score for r in toxicity.judge(frame, known).collect()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[i] - expected[i]) < 1e-9 for i in got)
+    assert got[1002] > 0.5 and got[1000] == got[1001] == 0
+
+
 @pytest.mark.parametrize("operator", [quality, toxicity])
 def test_classifiers_of_odd_rows(spark, operator):
     docs = spark.createDataFrame([(None, "a b", 1), (1, None, 1), (2, "", 1), (3, " \n", 1), (4, "x" * 300_000, 1), (4, "y", 1)], "doc_id long, text string, score int")
@@ -307,7 +412,7 @@ def test_rare_terms_that_chance_does_not_explain_are_learnt(spark):
 
 
 def test_quotation_counts_for_less():
-    model = toxicity.Model(["moron"], [], {("moron", 0): 0.99, ("moron", 1): 0.95}, {"moron": (500.0, 0.0)})
+    model = toxicity.Model(["moron"], [], {("moron", 0): 0.99, ("moron", 1): 0.95}, {"moron": (500.0, 0.0)}, 0.01)
     finder = toxicity.Finder(model)
     abuse, quote, spoken = (finder.score(t) for t in ("you are a moron, really", 'they wrote "what a moron" on it', "the word moron is an insult"))
     assert abuse > 0.9 and quote < 0.5 and spoken < 0.5
