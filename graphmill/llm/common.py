@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("graphmill.scratch", "")
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one on a single machine, else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or spark.conf.get("graphmill.scratch", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="graphmill-")
         spark.conf.set("graphmill.scratch", root)
     return f"{root.rstrip('/')}/graphmill-{spark.sparkContext.applicationId}"
@@ -117,6 +120,9 @@ _LOWER[65:91] += 32
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _WORD_BYTE = _BYTE[_LOWER]
 _WORD_BYTE[_SPACE] = 0
+#: Words of so many bytes are hashed with a key for each place, longer ones by a digest.
+_LONG = 64
+_PLACE = _RNG.integers(1, 2**63, _LONG + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -147,7 +153,11 @@ def running_hash(data: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end]; equal bytes give equal hashes wherever they stand."""
+    """Hash of data[start:end]; equal bytes give equal hashes wherever they stand.
+
+    It is a polynomial modulo 2**64: good for short grams, where a collision is
+    harmless; long strings can collide by their structure.
+    """
     _, down = _powers(len(sums))
     return (sums[end] - sums[start]) * down[start]
 
@@ -167,11 +177,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of lower-cased words: a random multiple of each byte by its place, or a BLAKE2b digest of a long word."""
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    step = np.zeros(len(data), np.int64)
+    step[starts] = np.diff(starts, prepend=0)
+    place = np.arange(len(data)) - np.cumsum(step)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_WORD_BYTE[data] * _PLACE[np.clip(place, 0, _LONG - 1)], out=sums[1:])
+    hashes = mix(sums[ends] - sums[starts] + lengths.astype(np.uint64) * _PLACE[_LONG])
+    for i in np.flatnonzero(lengths > _LONG):
+        word = _LOWER[data[starts[i] : ends[i]]].astype(np.uint8).tobytes()
+        hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return hashes
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z) words of all rows, and where each row's begin (one more at the end)."""
     starts, ends = word_spans(data, offsets)
-    hashes = mix(span_hash(running_hash(data, _WORD_BYTE), starts, ends)) if len(starts) else np.zeros(0, np.uint64)
-    return hashes, np.searchsorted(starts, offsets)
+    return word_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles_of(words: np.ndarray, size: int = 5) -> np.ndarray:

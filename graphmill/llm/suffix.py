@@ -8,8 +8,8 @@ smallest hash (the last of equals). Equal strings have equal anchors at equal
 places, so all copies of a string meet in their anchor's bucket. Consecutive
 strings of one anchor form a segment, 147 bytes on average.
 
-1. Equal segments of an anchor are one run: its sample is its earliest segment,
-   all others are repeated throughout. Tasks do this before the shuffle, so a hot
+1. Equal segments of an anchor (by a BLAKE2b digest of their bytes) are one run:
+   its sample is its earliest segment, all others are repeated throughout. Tasks do this before the shuffle, so a hot
    segment crosses it once a task.
 2. Anchors that still have different segments get an index: segments are sorted by
    their bytes from the anchor on, and the transform is extended to the left
@@ -50,7 +50,7 @@ MARKS = "doc_id long, spans array<struct<start:long,size:int>>, wanted array<str
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start in the row, number of strings, place of the anchor, anchor hash, segment hash)."""
+    """(row, start in the row, number of strings, place of the anchor, anchor hash, segment digest)."""
     found = []
     for base in range(0, max(1, len(data) - LENGTH + 1), PIECE - LENGTH):
         part = data[base : base + PIECE]
@@ -78,7 +78,10 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         heads = np.flatnonzero(first)
         size = np.diff(np.append(heads, len(i)))
         start, place = i[heads], anchor[heads]
-        whole = mix(span_hash(sums, start, start + size + LENGTH - 1) + (place - start).astype(np.uint64))
+        end = start + size + (LENGTH - 1)
+        raw = part.tobytes()
+        digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        whole = mix(np.frombuffer(digests, "<u8") + (place - start).astype(np.uint64))
         found.append((row[heads], start + base - offsets[row[heads]], size, place - start, grams[place], whole))
     if not found:
         return (*(np.zeros(0, np.int64) for _ in range(4)), *(np.zeros(0, np.uint64) for _ in range(2)))

@@ -123,6 +123,23 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def thue_morse(n, flip=0):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_words_of_equal_structure_are_no_copies(spark):
+    # they collide under any polynomial hash modulo 2**64 with an odd base
+    texts = [t for n in (64, 1024, 4096) for t in (thue_morse(n), thue_morse(n, 1))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.kept and r.component_id == r.doc_id for r in minhash.near_duplicates(docs).collect())
+    items = spark.createDataFrame([(9, texts[3])], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.contained(docs, items).collect()] == [3]
+    long = [(i, t * 2) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.n_removed for r in suffix.digests(spark.createDataFrame(long, "doc_id long, text string")).collect()}
+    gone = covered(long)
+    assert got == {i: int(gone[i].sum()) for i, _ in long}
+
+
 def test_short_texts_at_the_threshold_equal_brute_force(spark):
     rng = random.Random(8)
     docs, pairs = [], []
