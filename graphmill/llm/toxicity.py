@@ -229,48 +229,58 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     """(terms, stems) from doc_id, text, label.
 
     Terms are words with TERM_TIMES the share of the other documents in the toxic
-    ones; stems are beginnings of four to six letters of at least four other words,
+    ones; stems are beginnings of four to six letters of at least four longer words,
     with STEM_TIMES the share. Of both only as many, the surest first, as chance
     (Chernoff's bound) leaves BY_CHANCE of them unexplained (Benjamini and Hochberg).
+    Near copies say a word after the same word each time: a part is as sure as so
+    many documents make it as it has words before it (their inverse Simpson index).
+    A word that begins with a stem, and is in less than half of its toxic documents,
+    is left to the stem.
     """
     words = F.transform(F.split(F.lower("text"), r"[\s]+"), lambda t: F.btrim(t, F.lit(PUNCTUATION)))
-    docs = sample.select("doc_id", "label", F.array_distinct(words).alias("words"))
+    docs = sample.select("doc_id", "label", words.alias("words"))
     sizes = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     rate = (toxic + 1) / (toxic + other + 2)
 
-    def typical(parts: DataFrame, times: int, least_words: int) -> list[str]:
-        """The surest parts first."""
+    def typical(parts: DataFrame, times: int, least_words: int) -> list[tuple[str, int]]:
+        """The surest parts first, with their toxic documents."""
         counts = parts.groupBy("part").agg(
             F.countDistinct(F.when(F.col("label") == 1, F.col("doc_id"))).alias("t"), F.countDistinct(F.when(F.col("label") == 0, F.col("doc_id"))).alias("c"), F.countDistinct("word").alias("words")
         )
         share = F.col("t") / (F.col("t") + F.col("c"))
         sure = F.when(share > 0, F.col("t") * F.log(share / rate)).otherwise(0.0) + F.when(share < 1, F.col("c") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
         often = (share > rate) & (F.col("t") / (toxic + 1) >= times * (F.col("c") + 0.5) / (other + 1)) & (F.col("words") >= least_words)
-        tested = counts.select("part", F.when(often, sure).otherwise(0.0).alias("sure")).persist()
+        tested = counts.select("part", "t", F.when(often, sure).otherwise(0.0).alias("sure")).persist()
+        spread = parts.where("label = 1 and not before <=> word").join(tested.where(F.col("sure") >= -math.log(BY_CHANCE)).select("part"), "part").groupBy("part", "before").agg(F.count(F.lit(1)).alias("n"))
+        befores = spread.groupBy("part").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("befores"))
+        judged = tested.join(befores, "part").select("part", "t", (F.col("sure") * F.least(F.lit(1.0), F.col("befores") / F.col("t"))).alias("sure")).persist()
         try:
             # so many parts by how sure they are: a few hundred rows
-            levels = tested.groupBy(F.floor(F.col("sure") * 4).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
-            m, seen, cut = sum(r["n"] for r in levels), 0, None
+            levels = judged.groupBy(F.floor(F.col("sure") * 4).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+            m, seen, cut = tested.count(), 0, None
             for r in sorted(levels, key=lambda r: -r["level"]):
                 seen += r["n"]
                 if math.exp(-r["level"] / 4) <= BY_CHANCE * seen / m:
                     cut = r["level"] / 4
             if cut is None:
                 return []
-            return [r["part"] for r in tested.where(F.col("sure") >= cut).orderBy(F.desc("sure"), "part").collect()]
+            return [(r["part"], r["t"]) for r in judged.where(F.col("sure") >= cut).orderBy(F.desc("sure"), "part").collect()]
         finally:
             tested.unpersist()
+            judged.unpersist()
 
-    each = docs.select("doc_id", "label", F.explode("words").alias("word")).where(F.char_length("word") >= 3)
+    places = docs.select("doc_id", "label", "words", F.posexplode("words").alias("i", "word")).withColumn("before", F.when(F.col("i") > 0, F.get("words", F.col("i") - 1))).drop("words", "i")
+    each = places.where(F.char_length("word") >= 3)
     terms = typical(each.withColumn("part", F.col("word")), TERM_TIMES, 1)
     beginnings = F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.when(F.char_length("word") > k, F.substr("word", F.lit(1), k)))
-    begins = each.select("doc_id", "label", "word", F.explode(beginnings).alias("part")).where("part is not null")
-    stems: list[str] = []
-    for stem in typical(begins, STEM_TIMES, 4):
+    begins = each.select("doc_id", "label", "word", "before", F.explode(beginnings).alias("part")).where("part is not null")
+    stems: dict[str, int] = {}
+    for stem, t in typical(begins, STEM_TIMES, 4):
         if not any(stem.startswith(k) or k.startswith(stem) for k in stems):
-            stems.append(stem)
-    return terms, stems
+            stems[stem] = t
+    own = [word for word, t in terms if not any(word.startswith(stem) and 2 * t < most for stem, most in stems.items())]
+    return own, list(stems)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, most_rows: int = MOST_ROWS) -> Model:

@@ -8,6 +8,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -264,28 +265,36 @@ def plain_toxicity(docs, labels):
 
     def sure(parts, times, least_words):
         rate, levels = (sizes[1] + 1) / (sum(sizes) + 2), {}
-        for part, (found, words) in parts.items():
+        for part, (found, words, befores) in parts.items():
             t, c = len(found[1]), len(found[0])
             share = t / (t + c)
             fits = share > rate and t / (sizes[1] + 1) >= times * (c + 0.5) / (sizes[0] + 1) and len(words) >= least_words
             levels[part] = (t * math.log(share / rate) + (c * math.log((1 - share) / (1 - rate)) if c else 0)) if fits else 0.0
+            apart = sum(befores.values()) ** 2 / max(1, sum(n * n for n in befores.values()))
+            levels[part] *= min(1.0, apart / max(1, t)) * (levels[part] >= -math.log(toxicity.BY_CHANCE))
         steps = sorted({math.floor(4 * v) / 4 for v in levels.values()}, reverse=True)
         good = [x for x in steps if math.exp(-x) <= toxicity.BY_CHANCE * sum(math.floor(4 * v) / 4 >= x for v in levels.values()) / len(levels)]
-        return sorted((p for p, v in levels.items() if good and v >= good[-1]), key=lambda p: (-levels[p], p))
+        best = sorted((p for p, v in levels.items() if good and v >= good[-1]), key=lambda p: (-levels[p], p))
+        return {p: len(parts[p][0][1]) for p in best}
 
     whole, begun = {}, {}
     for n, (text, label) in enumerate(learnt.items()):
-        for word in {toxicity.normal(w) for w in text.split()}:
+        words_of = [toxicity.normal(w) for w in re.split(r"\s+", text)]
+        for before, word in zip([None, *words_of], words_of):
             if len(word) >= 3:
                 for table, parts in ((whole, [word]), (begun, [word[:k] for k in (4, 5, 6) if len(word) > k])):
                     for part in parts:
-                        found, words = table.setdefault(part, (({*()}, {*()}), set()))
+                        found, words, befores = table.setdefault(part, ((set(), set()), set(), Counter()))
                         found[label].add(n)
                         words.add(word)
-    terms, stems = sure(whole, toxicity.TERM_TIMES, 1), []
-    for stem in sure(begun, toxicity.STEM_TIMES, 4):
+                        if label and before != word:
+                            befores[before] += 1
+    stems = {}
+    for stem, t in sure(begun, toxicity.STEM_TIMES, 4).items():
         if not any(stem.startswith(k) or k.startswith(stem) for k in stems):
-            stems.append(stem)
+            stems[stem] = t
+    terms = [w for w, t in sure(whole, toxicity.TERM_TIMES, 1).items() if not any(w.startswith(k) and 2 * t < stems[k] for k in stems)]
+    stems = list(stems)
 
     def finds(tokens):
         out, last, at = [], "", -1
