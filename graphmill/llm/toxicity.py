@@ -252,9 +252,9 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
         sure = F.when(share > 0, F.col("t") * F.log(share / rate)).otherwise(0.0) + F.when(share < 1, F.col("c") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
         often = (share > rate) & (F.col("t") / (toxic + 1) >= times * (F.col("c") + 0.5) / (other + 1)) & (F.col("words") >= least_words)
         tested = counts.select("part", "t", F.when(often, sure).otherwise(0.0).alias("sure")).persist()
-        spread = parts.where("label = 1 and not before <=> word").join(tested.where(F.col("sure") >= -math.log(BY_CHANCE)).select("part"), "part").groupBy("part", "before").agg(F.count(F.lit(1)).alias("n"))
+        spread = parts.where("label = 1 and not before <=> word").groupBy("part", "before").agg(F.count(F.lit(1)).alias("n"))
         befores = spread.groupBy("part").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("befores"))
-        judged = tested.join(befores, "part").select("part", "t", (F.col("sure") * F.least(F.lit(1.0), F.col("befores") / F.col("t"))).alias("sure")).persist()
+        judged = tested.where(F.col("sure") >= -math.log(BY_CHANCE)).join(befores, "part").select("part", "t", (F.col("sure") * F.least(F.lit(1.0), F.col("befores") / F.col("t"))).alias("sure")).persist()
         try:
             # so many parts by how sure they are: a few hundred rows
             levels = judged.groupBy(F.floor(F.col("sure") * 4).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
