@@ -35,6 +35,8 @@ from graphmill.llm.common import components, lean, mix, shingles_of, small_batch
 PERMUTATIONS, BANDS, ROWS, BITS = 128, 32, 4, 4
 FINE_PERMUTATIONS, FINE_BITS = 1024, 2
 WORDS = PERMUTATIONS * BITS // 64
+#: Classes of copies that may be broadcast.
+MOST_HOT = 1000
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = (_RNG.integers(0, 2**31, FINE_PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _RNG.integers(0, 2**32, FINE_PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -192,10 +194,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = table(features(docs), "minhash-features")
     sets = every.where("set_hash is not null and doc_id is not null")
-    classes = sets.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
-    members = table(sets.join(classes, "set_hash"), "minhash-members")
+    classes = table(sets.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "minhash-classes", narrow=True)
+    total = classes.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    # classes of more than a MOST_HOT-th of all rows: MOST_HOT at most, so their members need no shuffle
+    hot = F.broadcast(classes.where(F.col("copies") > total / MOST_HOT).select("set_hash", F.col("class_id").alias("hot_id")))
+    split = sets.select("doc_id", "set_hash").join(hot, "set_hash", "left")
+    rest = split.where("hot_id is null").join(classes.select("set_hash", "class_id"), "set_hash")
+    members = table(split.where("hot_id is not null").select("doc_id", F.col("hot_id").alias("class_id")).unionByName(rest.select("doc_id", "class_id")), "minhash-members", narrow=True)
     # a repeated doc_id of one class is one representative
-    representatives = members.where("doc_id = class_id").drop("set_hash", "class_id", "n_shingles")
+    heads = classes.select(F.col("class_id").alias("doc_id"), "set_hash")
+    representatives = table(sets.drop("n_shingles").join(heads, ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"]).drop("set_hash"), "minhash-representatives")
     signatures = representatives.drop("bands")
     buckets = representatives.select(F.posexplode("bands").alias("band", "key"), "doc_id").select(F.xxhash64("band", "key").alias("key"), "band", "doc_id")
     leaders = buckets.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").drop("last")
