@@ -53,13 +53,15 @@ def _rows(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows[good], vectors[good]
 
 
-CODED = "vec_id long, label long, embedding array<double>, digest binary, codes array<long>"
+CODED = "vec_id long, label long, embedding array<{}>, digest binary, codes array<long>"
 
 
 @lean
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, labels = batch.column(0), batch.column(1)
+        # single precision is kept where the vectors come so; all arithmetic is double
+        kind = pa.float32() if batch.column(2).type.value_type == pa.float32() else pa.float64()
         for rows, vectors in _rows(batch.column(2)):
             vectors = vectors + 0.0  # no negative zeros
             directions, shifts, odd = projections(vectors.shape[1])
@@ -70,7 +72,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     ids.take(at),
                     labels.take(at),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.ravel()).cast(kind)),
                     pa.array([hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in vectors], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TABLES), pa.array(codes.ravel())),
                 ],
@@ -100,7 +102,7 @@ def _compare(threshold: float):
         ids, weight, number = (block.column(k).to_numpy() for k in ("doc", "copies", "nr"))
         side = block.column("side").to_numpy()
         dim = len(block.column("embedding")[0])
-        vectors = unit(block.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim))
+        vectors = unit(block.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim))
         codes = block.column("codes").combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         i, j = np.nonzero(vectors[left] @ (vectors[right] if len(right) else vectors[left]).T >= threshold)
@@ -158,7 +160,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     small_batches(vectors.sparkSession)
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding"))
     usable = plain.where("vec_id is not null and label is not null and embedding is not null")
-    coded = table(usable.mapInArrow(_code, CODED), "embedding-coded")
+    kind = "float" if dict(usable.dtypes)["embedding"] == "array<float>" else "double"
+    coded = table(usable.mapInArrow(_code, CODED.format(kind)), "embedding-coded")
     classes = coded.groupBy("label", "digest").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     members = table(coded.select("vec_id", "label", "digest").join(classes, ["label", "digest"]).select("vec_id", "class_id", "label", "digest", "copies"), "embedding-members")
     # a repeated id may be smallest in more than one class: label and digest tell its vectors apart
