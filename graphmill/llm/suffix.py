@@ -17,6 +17,9 @@ strings of one anchor form a segment, 147 bytes on average.
    whole runs, LCP values change only at run boundaries. Along the way matching
    statistics are streamed: where neighbours in suffix order share 100 bytes or
    more, all but the earliest are marked.
+3. Where an anchor has very many different segments, each is split in two before
+   that: its strings that reach 38 bytes to the left of the anchor go by these
+   bytes, the others by the 38 to the right. Equal strings still meet.
 
 The texts themselves are only joined with what concerns them, by doc_id.
 """
@@ -42,6 +45,14 @@ _PLACES = np.uint64(PIECE - 1)
 HELD = 1 << 16
 #: Rows in a batch: those between the stages are large.
 BATCH_ROWS = 64
+#: Bytes of text a partition, where the session's shuffle partitions would get more.
+PARTITION_BYTES = 32 << 20
+#: An anchor with more different segments is split by the bytes beside it.
+MOST_OF_ANCHOR = 1 << 14
+#: A string reaches so far beyond its anchor on one side at least.
+BESIDE = (LENGTH - GRAM + 1) // 2
+
+SPLIT = 1 << 10
 
 SEGMENT = np.dtype([("f", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "u1"), ("off", "u1")])
 MARK = np.dtype([("f", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i4"), ("off", "<i2")])
@@ -121,10 +132,12 @@ class Outbox:
         x["doc"], x["start"], x["size"], x["off"] = doc, start, end - start, -1
         self._add(x)
 
-    def wanted(self, segments: np.ndarray) -> None:
+    def wanted(self, segments: np.ndarray, many: np.ndarray) -> None:
+        """many: which of them belong to an anchor that is to be split; their off is raised by SPLIT."""
         x = np.zeros(len(segments), MARK)
         for name in MARK.names:
             x[name] = segments[name]
+        x["off"] += many * np.int16(SPLIT)
         self._add(x)
 
     def _add(self, x: np.ndarray) -> None:
@@ -241,7 +254,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield key, held
 
 
-def _settle(bits: int) -> Callable:
+def _settle(bits: int, most_of_anchor: int) -> Callable:
     """Of each bucket: spans of segments with an earlier equal, and the samples of anchors with different segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +279,33 @@ def _settle(bits: int) -> Callable:
                 x = x[~later]
                 other = np.zeros(len(x) + 1, bool)
                 other[1:-1] = x["f"][1:] == x["f"][:-1]
-                out.wanted(x[other[1:] | other[:-1]])
+                x = x[other[1:] | other[:-1]]
+                _, group, counts = np.unique(x["f"], return_inverse=True, return_counts=True)
+                out.wanted(x, counts[group] > most_of_anchor)
             yield from out.passed_on(HELD)
         yield from out.passed_on(1)
 
     return lean(run)
 
 
+def split(x: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments x, which begin at data[begin], each as its strings that reach BESIDE bytes to the left of the anchor and the others, under new anchors."""
+    off, size = x["off"].astype(np.int64), x["size"].astype(np.int64)
+    left = np.clip(off - BESIDE + 1, 0, size)  # string i has its anchor at off - i
+    parts, begins = [], []
+    for first, n, shift in ((np.zeros(len(x), np.int64), left, -BESIDE), (left, size - left, GRAM)):
+        some = np.flatnonzero(n > 0)
+        y = x[some].copy()
+        y["start"], y["size"], y["off"] = y["start"] + first[some], n[some], off[some] - first[some]
+        at = begin[some] + off[some] + shift
+        beside = data[at[:, None] + np.arange(BESIDE)]
+        digests = b"".join([hashlib.blake2b(row.tobytes(), digest_size=8, key=bytes([shift & 0xFF])).digest() for row in beside])
+        y["f"] = mix(y["f"] ^ np.frombuffer(digests, "<u8"))
+        parts.append(y)
+        begins.append(begin[some] + first[some])
+    return np.concatenate(parts), np.concatenate(begins)
+
+
 def _cut_out(bits: int) -> Callable:
     """Rows (p, blob) of the wanted segments' bytes from rows (doc_id, text, wanted)."""
     def passed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +335,13 @@ def _cut_out(bits: int) -> Callable:
             for first, data, offsets in utf8_parts(batch.column(1)):
                 own = np.flatnonzero((row >= first) & (row < first + len(offsets) - 1))
                 x = np.zeros(len(own), SEGMENT)
-                x["doc"], x["start"], x["size"], x["off"], x["f"] = ids[row[own]], start[own], size[own], off[own], f[own].view(np.uint64)
-                length = size[own].astype(np.int64) + (LENGTH - 1)
+                x["doc"], x["start"], x["size"], x["off"], x["f"] = ids[row[own]], start[own], size[own], off[own] % SPLIT, f[own].view(np.uint64)
                 begin = offsets[row[own] - first] + start[own]
+                many = off[own] >= SPLIT
+                if many.any():
+                    y, at = split(x[many], data, begin[many])
+                    x, begin = np.concatenate((x[~many], y)), np.concatenate((begin[~many], at))
+                length = x["size"].astype(np.int64) + (LENGTH - 1)
                 at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
                 held.append((x, data[at]))
                 n += len(at)
@@ -396,15 +433,16 @@ def _index(bits: int) -> Callable:
     return lean(run)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, most_of_anchor: int = MOST_OF_ANCHOR) -> DataFrame:
     """doc_id, spans (array<struct<start, size>>, overlapping) of repeated bytes, for docs (doc_id: unique and not null, text)."""
     spark = docs.sparkSession
     small_batches(spark, BATCH_ROWS)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (4 * partitions - 1).bit_length())
+    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // PARTITION_BYTES))
+    bits = min(24, max(6, (4 * partitions - 1).bit_length()))
     dealt = lambda df: df.repartition(partitions, "p").sortWithinPartitions("p")
     anchors = docs.select("doc_id", "text").mapInArrow(_anchor(bits), "p int, kind int, blob binary")
-    marks = table(dealt(dealt(anchors).mapInArrow(_settle(bits), BLOBS)).mapInArrow(_gather, MARKS), "suffix-marks")
+    marks = table(dealt(dealt(anchors).mapInArrow(_settle(bits, most_of_anchor), BLOBS)).mapInArrow(_gather, MARKS), "suffix-marks")
     wanted = marks.where(F.size("wanted") > 0).select("doc_id", "wanted")
     pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_out(bits), BLOBS)
     found = table(dealt(dealt(pieces).mapInArrow(_index(bits), BLOBS)).mapInArrow(_gather, MARKS), "suffix-found")
@@ -427,14 +465,14 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return keyed.join(rows, F.col("doc_id").eqNullSafe(F.col("_graphmill_id")) & (F.col(SAME) == F.col("_graphmill_its"))).drop(SAME, "_graphmill_id", "_graphmill_its"), True
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, most_of_anchor: int = MOST_OF_ANCHOR) -> DataFrame:
     """docs (doc_id long, text string, ...) with SPANS, array<struct<start, size>> of repeated bytes, unordered, null for none."""
     numbered, made = _numbered(docs)
     unique = numbered.select(F.col(ROW).alias("doc_id"), "text")
     if made:
         numbered = table(numbered, "suffix-numbered")
         unique = numbered.select(F.col(ROW).alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    spans = repeated_spans(unique).select(F.col("doc_id").alias(ROW), F.col("spans").alias(SPANS))
+    spans = repeated_spans(unique, most_of_anchor).select(F.col("doc_id").alias(ROW), F.col("spans").alias(SPANS))
     return numbered.join(spans, ROW, "left").drop(ROW)
 
 
@@ -471,7 +509,7 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, most_of_anchor: int = MOST_OF_ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs (doc_id, text).
 
     A null text is empty. Rows that repeat a doc_id are documents of their own, in
@@ -479,7 +517,7 @@ def digests(docs: DataFrame) -> DataFrame:
     results. A null doc_id comes before all others. Texts under 100 bytes lose
     nothing. Other columns are ignored.
     """
-    spanned = with_spans(_plain(docs.select("doc_id", "text")))
+    spanned = with_spans(_plain(docs.select("doc_id", "text")), most_of_anchor)
     return spanned.select("doc_id", "text", SPANS).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

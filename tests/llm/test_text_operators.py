@@ -203,8 +203,10 @@ def test_suffix_equals_brute_force(spark):
             raw = np.frombuffer((dict(docs)[d] or "").encode(), np.uint8)
             runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
             expected[d] = (len(raw), int(gone.sum()), runs, hashlib.sha256(raw[~gone].tobytes()).hexdigest())
-        got = suffix.digests(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
-        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == expected
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        for most_of_anchor in (suffix.MOST_OF_ANCHOR, 1):  # the second splits every anchor of different segments
+            got = suffix.digests(frame, most_of_anchor).collect()
+            assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == expected
 
 
 def test_long_texts_are_hashed_in_pieces(monkeypatch):
