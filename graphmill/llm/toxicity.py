@@ -270,8 +270,9 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
             tested.unpersist()
             judged.unpersist()
 
-    places = docs.select("doc_id", "label", "words", F.posexplode("words").alias("i", "word")).withColumn("before", F.when(F.col("i") > 0, F.get("words", F.col("i") - 1))).drop("words", "i")
-    each = places.where(F.char_length("word") >= 3)
+    # a null before the first word; the longer array's last place is none
+    pairs = F.arrays_zip(F.col("words").alias("word"), F.concat(F.array(F.lit(None).cast("string")), "words").alias("before"))
+    each = docs.select("doc_id", "label", F.inline(pairs).alias("word", "before")).where(F.char_length("word") >= 3)
     terms = typical(each.withColumn("part", F.col("word")), TERM_TIMES, 1)
     beginnings = F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.when(F.char_length("word") > k, F.substr("word", F.lit(1), k)))
     begins = each.select("doc_id", "label", "word", "before", F.explode(beginnings).alias("part")).where("part is not null")
