@@ -216,9 +216,14 @@ def boundary_lookup(spark, packages: Mapping[str, tuple[str, ...]] = BOUNDARY_PA
     return spark.createDataFrame([(p, role) for role, names in packages.items() for p in names], "package string, role string")
 
 
+def read_boundary_lookup(spark, path: str) -> DataFrame:
+    """package, role from a two-column CSV file, for a larger table than the default."""
+    return spark.read.csv(path, schema="package string, role string")
+
+
 def with_roles(imports: DataFrame, lookup: DataFrame) -> DataFrame:
     """source, role, edge_ord of imports (source, target, edge_ord) whose package has a role."""
-    return imports.withColumn("package", package_name(F.col("target"))).join(F.broadcast(lookup), "package").select("source", "role", "edge_ord")
+    return imports.withColumn("package", package_name(F.col("target"))).join(lookup, "package").select("source", "role", "edge_ord")
 
 
 def boundary_roles(roles: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ def reach(edges: DataFrame, roots: DataFrame, most_hops: int | None = None, stop
 
     stop (node): nodes whose edges aren't followed.
     """
+    edges = cut(edges.select("s", "t").distinct(), "reach-edges")  # once, not once a hop
     start = cut(roots.select("root", "node").distinct().withColumn("hop", F.lit(0)), "reach")
     parts, frontier, hop = [start], start, 0
     while most_hops is None or hop < most_hops:
@@ -76,6 +77,21 @@ def reach_counts(files: DataFrame, reached: DataFrame) -> DataFrame:
     return files.select("node").join(counts, "node", "left").na.fill(0, ["dependents"]).join(total).select("node", "dependents", (F.col("dependents") / F.col("total")).alias("value"))
 
 
+def dependent_counts(files: DataFrame, comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, dependents, value of every file, as reach_counts() of all files, by components (node, comp).
+
+    Members of a component depend on each other and on the same others: pairs are
+    made between components alone.
+    """
+    comps = cut(comps.join(files.select("node"), "node", "left_semi"), "comps")
+    sizes = cut(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    dag = condensation(comps, edges).select(F.col("from_comp").alias("s"), F.col("to_comp").alias("t"))
+    above = dependents(dag, sizes.select(F.col("comp").alias("node"))).join(sizes.withColumnRenamed("comp", "node"), "node").groupBy(F.col("root").alias("comp")).agg(F.sum("n").alias("above"))
+    total = F.broadcast(files.agg(F.count(F.lit(1)).alias("total")))
+    counted = comps.join(sizes, "comp").join(above, "comp", "left").withColumn("dependents", F.col("n") - 1 + F.coalesce("above", F.lit(0)))
+    return counted.join(total).select("node", "dependents", (F.col("dependents") / F.col("total")).alias("value"))
+
+
 def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node: what seeds (node) reach in one or two steps, without them."""
     one = seeds.select(F.col("node").alias("s")).join(edges, "s").select(F.col("t").alias("node")).distinct()
@@ -167,13 +183,21 @@ def neighbor_partition(edges: DataFrame, node: int) -> DataFrame:
     return bits.select("neighbor", F.when(F.col("bits") == 1, "up").when(F.col("bits") == 2, "down").otherwise("both").alias("side"))
 
 
-def bridge_edges(nodes: DataFrame, edges: DataFrame, top: int | None = 20) -> DataFrame:
-    """s, t, betweenness: in how many (root, node) shortest paths the edge lies, one path per pair.
+def bridge_sources(nodes: DataFrame, every: int = 100) -> DataFrame:
+    """The sample of nodes whose shortest paths stand for all: ids divisible by `every`; 1 takes all nodes."""
+    return nodes.where(F.col("node") % every == 0).select("node").distinct()
+
+
+def bridge_edges(sources: DataFrame, edges: DataFrame, top: int | None = 20) -> DataFrame:
+    """s, t, betweenness: in how many shortest paths from the sources (node) the edge lies, one path per source and node.
 
     The path goes through the smallest predecessor at each step. Counts are sizes
-    of subtrees, summed from the deepest level up.
+    of subtrees, summed from the deepest level up. With all nodes as sources the
+    result is exact and as large as sources times nodes on its way; with a sample
+    (bridge_sources) it estimates that, divided by the sample's rate.
     """
-    reached = cut(reach(edges, nodes.select(F.col("node").alias("root"), "node")), "bridges")
+    edges = cut(edges.select("s", "t").distinct(), "bridges-edges")
+    reached = cut(reach(edges, sources.select(F.col("node").alias("root"), "node")), "bridges")
     before = reached.select("root", F.col("node").alias("s"), (F.col("hop") + 1).alias("hop"))
     parents = before.join(edges, "s").join(reached.withColumnRenamed("node", "t"), ["root", "t", "hop"]).groupBy("root", F.col("t").alias("node"), "hop").agg(F.min("s").alias("parent"))
     parents = cut(parents, "bridges")
@@ -248,20 +272,40 @@ def flow_edges(steps: DataFrame) -> DataFrame:
     return steps.withColumn("target", F.lead("file").over(w)).where("target is not null and target <> file").select(F.col("file").alias("source"), "target").distinct()
 
 
+def flow_merge(steps: DataFrame) -> DataFrame:
+    """entry, file, seq, pos: the steps (entry, seq, pos, file) of all traces of an entry as one, each file where it comes first."""
+    first = steps.groupBy("entry", "file").agg(F.min(F.struct("seq", "pos")).alias("at"))
+    return first.select("entry", "file", "at.seq", "at.pos")
+
+
+def with_cycle_members(selected: DataFrame, comps: DataFrame) -> DataFrame:
+    """node: selected nodes (node) and all members (node, comp) of cycles that one of them is on."""
+    large = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("comp")
+    touched = comps.join(large, "comp", "left_semi").join(selected.select("node"), "node", "left_semi").select("comp").distinct()
+    return selected.select("node").unionByName(comps.join(touched, "comp", "left_semi").select("node")).distinct()
+
+
+def _folders(path: F.Column) -> F.Column:
+    """All leading segments of a path, itself included."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+
+
 def federation_edges(edges: DataFrame, sisters: DataFrame, aliases: DataFrame, root: str) -> DataFrame:
     """source, target, repo, rule of import edges (source, target) into sister repositories; the first rule that fits.
 
     sisters: name, path, package; aliases: prefix, base. Rule 1: a relative path that
     leaves the repository; 2: a sister's package name; 3: a path alias outside.
+    Paths are listed by their folders, so all rules are equi joins.
     """
     from graphmill.functions.columns import dirname, fold_dots, package_name
 
-    inside = lambda path, folder: (path == folder) | path.startswith(F.concat(folder, F.lit("/")))
-    relative = edges.where(F.col("target").startswith("../")).withColumn("full", F.concat(F.lit("/"), fold_dots(F.concat_ws("/", F.lit(root), dirname(F.col("source")), F.col("target")))))
-    repos = F.broadcast(sisters)
-    one = relative.join(repos, inside(F.col("full"), F.col("path"))).select("source", "target", F.col("name").alias("repo"), F.lit(1).alias("rule"))
-    two = edges.withColumn("package", package_name(F.col("target"))).join(sisters.select("package", "name"), "package").select("source", "target", F.col("name").alias("repo"), F.lit(2).alias("rule"))
-    out = aliases.join(repos, inside(F.col("base"), F.col("path"))).select("prefix", "name")
-    three = edges.join(F.broadcast(out), inside(F.col("target"), F.col("prefix"))).select("source", "target", F.col("name").alias("repo"), F.lit(3).alias("rule"))
+    full = F.concat(F.lit("/"), fold_dots(F.concat_ws("/", F.lit(root), dirname(F.col("source")), F.col("target"))))
+    repos = sisters.select(F.col("path").alias("folder"), F.col("name").alias("repo"))
+    relative = edges.where(F.col("target").startswith("../")).select("source", "target", F.explode(_folders(full)).alias("folder"))
+    one = relative.join(repos, "folder").select("source", "target", "repo", F.lit(1).alias("rule"))
+    two = edges.withColumn("package", package_name(F.col("target"))).join(sisters.select("package", F.col("name").alias("repo")), "package").select("source", "target", "repo", F.lit(2).alias("rule"))
+    outside = aliases.select("prefix", F.explode(_folders(F.col("base"))).alias("folder")).join(repos, "folder").select("prefix", "repo")
+    three = edges.select("source", "target", F.explode(_folders(F.col("target"))).alias("prefix")).join(outside, "prefix").select("source", "target", "repo", F.lit(3).alias("rule"))
     every = one.unionByName(two).unionByName(three)
     return every.groupBy("source", "target").agg(F.min(F.struct("rule", "repo")).alias("b")).select("source", "target", "b.repo", "b.rule")

@@ -63,6 +63,12 @@ def rank_instability(metrics: DataFrame, top: int = 5) -> DataFrame:
     return metrics.where("fan_in > 0").select("node", "instability", "fan_out").orderBy(F.desc(F.coalesce("instability", F.lit(-1.0))), F.desc("fan_out"), "node").limit(top)
 
 
+def mean(values: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """mean of a column, 0 without values; one row, or one per value of `by`."""
+    grouped = values.groupBy(by) if by else values.groupBy()
+    return grouped.agg(F.coalesce(F.avg(column), F.lit(0.0)).alias("mean"))
+
+
 def rank_prompt_files(files: DataFrame, top: int = 8) -> DataFrame:
     """path, score from is_entry, is_key, is_hot, weight, fan_in, fan_out, lines, is_test."""
     score = (

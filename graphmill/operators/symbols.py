@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.operators.classify import chain
@@ -144,9 +144,13 @@ DECLARATIONS = {
 }
 
 
-def declared_symbols(files: DataFrame) -> DataFrame:
-    """file, name, kind, line_start, is_exported of top-level declarations in JavaScript, TypeScript and Go, by line."""
-    lines = files.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("n", "line"))
+# Our own list of words before a bracket that call nothing.
+NOT_CALLED = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "super", "constructor", "func", "range", "select", "go", "defer", "import", "require", "new", "async")
+
+
+def _declared_lines(files: DataFrame) -> DataFrame:
+    """file, n (from 1), line, name, kind, is_exported of JavaScript, TypeScript and Go files; name is null where nothing is declared at the top."""
+    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("content", r"\r?\n")).alias("n", "line"))
     out = None
     for paths, kinds in DECLARATIONS.items():
         lead = r"^(export\s+(?:default\s+)?)?" if "go" not in paths else r"^()"
@@ -156,6 +160,60 @@ def declared_symbols(files: DataFrame) -> DataFrame:
         for c, p, _ in reversed(fits):
             name = F.when(c, F.regexp_extract("line", p, 2)).otherwise(name)
         exported = F.col("line").startswith("export") if "go" not in paths else name.rlike("^[A-Z]")
-        found = lines.where(F.col("path").rlike(paths)).select(F.col("path").alias("file"), name.alias("name"), kind.alias("kind"), (F.col("n") + 1).alias("line_start"), exported.alias("is_exported")).where("kind is not null")
+        found = lines.where(F.col("file").rlike(paths)).select("file", (F.col("n") + 1).alias("n"), "line", name.alias("name"), kind.alias("kind"), exported.alias("is_exported"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def declared_symbols(files: DataFrame) -> DataFrame:
+    """file, name, kind, line_start, line_end, is_exported of top-level declarations in JavaScript, TypeScript and Go, by line.
+
+    A declaration ends at its last line that isn't blank before the next one.
+    """
+    lines = _declared_lines(files)
+    rest = Window.partitionBy("file").orderBy("n")
+    numbered = lines.withColumn("block", F.count("name").over(rest)).where("block > 0")
+    ends = numbered.where(F.trim("line") != "").groupBy("file", "block").agg(F.max("n").alias("line_end"))
+    heads = numbered.where("name is not null").select("file", "block", "name", "kind", F.col("n").alias("line_start"), "is_exported")
+    return heads.join(ends, ["file", "block"]).select("file", "name", "kind", "line_start", "line_end", "is_exported")
+
+
+def declared_edges(files: DataFrame) -> DataFrame:
+    """Raw references of JavaScript, TypeScript and Go files, as python_edges(): calls, extends and implements, from the declaration they stand in.
+
+    Names before a bracket are calls, whatever they are called on; comments and
+    strings are not told apart.
+    """
+    inside = F.last("name", ignorenulls=True).over(Window.partitionBy("file").orderBy("n"))
+    lines = _declared_lines(files).withColumn("source", inside).where("source is not null")
+    own = lambda column, kind: lines.select("file", "source", F.explode(column).alias("target"), F.lit(kind).alias("edge_type"), F.col("n").alias("line"))
+    head = F.when(F.col("kind").isin("class", "interface"), F.col("line"))
+    base = F.regexp_extract(head, r"\bextends\s+([A-Za-z_$][\w$]*)", 1)
+    listed = F.transform(F.split(F.regexp_extract(head, r"\bimplements\s+([\w$,\s]+)", 1), ","), lambda x: F.trim(x))
+    called = F.regexp_extract_all("line", F.lit(r"([A-Za-z_$][\w$]*)\s*\("), 1)
+    every = own(called, "calls").unionByName(own(F.array(base), "extends")).unionByName(own(listed, "implements"))
+    return every.where((F.col("target") != "") & (F.col("target") != F.col("source")) & ~F.col("target").isin(*NOT_CALLED))
+
+
+def references(files: DataFrame) -> DataFrame:
+    """Raw references of all languages that have them."""
+    return python_edges(files).unionByName(declared_edges(files))
+
+
+def select_symbols(symbols: DataFrame, calls: DataFrame, most: int = 200) -> DataFrame:
+    """file, name, rank of the symbols (file, name, is_entry_point, is_exported) to show: entry points, then exported, then most called ones; calls: file, name."""
+    counted = symbols.join(calls.groupBy("file", "name").agg(F.count(F.lit(1)).alias("incoming")), ["file", "name"], "left").na.fill(0, ["incoming"])
+    order = [F.desc("is_entry_point"), F.desc("is_exported"), F.desc("incoming"), F.asc("file"), F.asc("name")]
+    first = counted.orderBy(*order).limit(most)
+    return first.select("file", "name", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+
+
+def symbol_candidates(symbols: DataFrame, enriched: DataFrame) -> DataFrame:
+    """Symbols (file, name, ...) whose file has no enrichment (file) yet."""
+    return symbols.join(enriched.select("file").distinct(), "file", "left_anti")
+
+
+def sort_enriched(symbols: DataFrame, top: int | None = None) -> DataFrame:
+    """symbols by file, first line and name; the first `top` of them, or all."""
+    ordered = symbols.orderBy("file", "line_start", "name")
+    return ordered if top is None else ordered.limit(top)

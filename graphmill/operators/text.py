@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ JS_IMPORTS = (
     r"export\s+\{[^}]*\}\s+from\s+['\"]([^'\"]+)['\"]",
     r"export\s+\*\s+from\s+['\"]([^'\"]+)['\"]",
 )
+# Our own patterns of imports and exports of types alone.
+JS_TYPE_IMPORTS = (r"import\s+type\s+[\w${}*,\s]+?\s+from\s+['\"]([^'\"]+)['\"]", r"export\s+type\s+\{[^}]*\}\s+from\s+['\"]([^'\"]+)['\"]")
 PYTHON_IMPORTS = (r"from\s+([\w.]+)\s+import\s+.+", r"(?m)^import\s+([\w.]+)")
 GO_IMPORTS = (r"import\s+(?:[\w.]+\s+)?\"([^\"]+)\"",)
 JAVA_IMPORTS = (r"import\s+(?:static\s+)?([a-zA-Z_][\w.]*(?:\.\*)?)\s*;",)
@@ -34,17 +38,21 @@ JS_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte")
 
 
 def imports_regex(files: DataFrame) -> DataFrame:
-    """source, language, module, ord of the import statements in files (path, content)."""
+    """source, language, module, ord, type_only of the import statements in files (path, content)."""
     found = []
+    all_of = lambda patterns: F.concat(*(F.regexp_extract_all("content", F.lit(p), 1) for p in patterns))
     for language, (endings, patterns) in IMPORTS.items():
         own = files.where(extension(F.col("path")).rlike(endings))
-        every = F.concat(*(F.regexp_extract_all("content", F.lit(p), 1) for p in patterns))
-        found.append(own.select(F.col("path").alias("source"), F.lit(language).alias("language"), F.posexplode(every).alias("ord", "module")))
+        every = all_of(patterns)
+        n = F.size(every)
+        if language == "javascript":
+            every = F.concat(every, all_of(JS_TYPE_IMPORTS))
+        found.append(own.select(F.col("path").alias("source"), F.lit(language).alias("language"), n.alias("n"), F.posexplode(every).alias("ord", "module")).withColumn("type_only", F.col("ord") >= F.col("n")).drop("n"))
     # a parenthesised Go list names several packages
     block = files.where(extension(F.col("path")) == ".go").select(
         F.col("path").alias("source"), F.lit("go").alias("language"), F.posexplode(F.regexp_extract_all(F.concat_ws("\n", F.regexp_extract_all("content", F.lit(r"(?s)import\s*\((.*?)\)"), 1)), F.lit(r"\"([^\"]+)\""), 1)).alias("ord", "module")
     )
-    out = block
+    out = block.withColumn("type_only", F.lit(False))
     for part in found:
         out = out.unionByName(part)
     return out.where("module <> ''")
@@ -71,7 +79,7 @@ def _candidates(language: str) -> Column:
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, go_module: str | None = None) -> DataFrame:
-    """source, target, module, external: the first candidate path that exists; the package of those without one."""
+    """source, target, module, external, ord, type_only: the first candidate path that exists; the package of those without one."""
     known = files.select(F.col("path").alias("target")).distinct()
     parts = []
     for language in ("javascript", "python"):
@@ -90,7 +98,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, go_module: str | None
         .when((F.col("language") == "go") & ~first.contains("."), F.concat(F.lit("stdlib:"), F.col("module")))
         .when(F.col("language") == "go", F.concat(F.lit("external:"), F.col("module")))
     )
-    return joined.select("source", F.coalesce("target", local).alias("target"), "module", external.alias("external"))
+    return joined.select("source", F.coalesce("target", local).alias("target"), "module", external.alias("external"), "ord", "type_only")
 
 
 def chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -110,13 +118,25 @@ def chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of new, and those of old whose key isn't in new; of rows that repeat a key in new, one."""
-    return new.dropDuplicates(key).unionByName(old.join(new.select(*key), key, "left_anti"))
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """Rows of new, and those of old whose key isn't in new; of rows that repeat a key in new, the last by the column order.
+
+    Without an order the greatest row, by its columns, is taken. order isn't a column of the result.
+    """
+    last = _one_of(new, key, order, F.max)
+    return last.unionByName(old.join(last.select(*key), key, "left_anti"))
+
 
+def insert_ignore(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """Rows of old, and those of new whose key isn't in old; of rows that repeat a key, the first by the column order."""
+    return old.unionByName(_one_of(new, key, order, F.min).join(old.select(*key), key, "left_anti"))
 
-def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"))
+
+def _one_of(rows: DataFrame, key: list[str], order: str | None, pick: Callable[[Column], Column]) -> DataFrame:
+    names = [c for c in rows.columns if c != order]
+    rest = [c for c in names if c not in key]
+    best = rows.groupBy(*key).agg(pick(F.struct(*([order] if order else []), *rest, F.lit(0).alias("_graphmill_none"))).alias("best"))
+    return best.select(*(c if c in key else F.col(f"best.{c}") for c in names))
 
 
 #: Terms are runs of letters and digits, lower-cased.
@@ -182,6 +202,53 @@ def budget_pack(ranked: DataFrame, budget: int) -> DataFrame:
     return ranked.withColumn("used", used).where(F.col("used") <= budget).select("q", "id", "rank", "used")
 
 
+def packed_chunks(ranked: DataFrame, budget: int) -> DataFrame:
+    """q, context: headed chunks in order of rank until the next one would exceed the budget; queries whose first chunk does have none.
+
+    ranked: q, rank, path, symbol, line_start, line_end, content. Headers and blank
+    lines count too. A context is as long as the budget at most.
+    """
+    header = F.concat(F.lit("## "), F.col("path"), F.when(F.col("symbol").isNotNull(), F.concat(F.lit(" ("), F.col("symbol"), F.lit(")"))).otherwise(""), F.format_string(" [L%d-%d]\n", "line_start", "line_end"))
+    blocks = ranked.select("q", "rank", F.concat(header, "content", F.lit("\n\n")).alias("block"))
+    used = F.sum(F.char_length("block")).over(Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    fits = blocks.withColumn("used", used).where(F.col("used") <= budget)
+    listed = fits.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "block"))).alias("blocks"))
+    return listed.select("q", F.array_join(F.transform("blocks", lambda b: b["block"]), "").alias("context"))
+
+
+def retrieve(found: DataFrame, near: DataFrame, chunks: DataFrame, budget: int, fallback: DataFrame | None = None) -> DataFrame:
+    """q, context: the search's chunks, those also near the entry points first, packed into the budget.
+
+    found: q, id, rank from 0 of a search; near: id, rank from 0 of a graph walk's
+    files; both lists are fused. Of the fused order only what the search found has
+    content. fallback: q, context for queries that get none.
+    """
+    asked = found.select("q").distinct()
+    lists = found.select("q", F.lit(0).alias("list"), "rank", "id").unionByName(asked.join(near.select(F.lit(1).alias("list"), "rank", "id").join(found.select("q", "id").distinct(), "id"), "q").select("q", "list", "rank", "id"))
+    order = Window.partitionBy("q").orderBy(F.desc("fused"), "id")
+    ranked = rrf(lists).withColumn("rank", F.row_number().over(order)).join(chunks.withColumnRenamed("chunk_id", "id"), "id")
+    out = packed_chunks(ranked, budget)
+    return out if fallback is None else out.unionByName(fallback.join(out, "q", "left_anti").select("q", "context"))
+
+
+# Shares and sizes of a prompt's file context.
+FILE_SHARE, SECTION_SHARE, LEAST_FILE, MOST_FILES, LEAST_REMAINING = 0.6, 0.65, 500, 6, 1200
+
+
+def context_pack(files: DataFrame, remaining: int) -> DataFrame:
+    """rank, path, block of ranked files (path, content, rank from 1), each cut, while they fit into their share of the remaining characters."""
+    if remaining <= LEAST_REMAINING:
+        return files.select("rank", "path", F.col("content").alias("block")).limit(0)
+    n = files.where(F.trim("content") != "").agg(F.least(F.count(F.lit(1)), F.lit(MOST_FILES)).alias("n"))
+    each = F.greatest(F.lit(LEAST_FILE), F.floor(remaining * FILE_SHARE / F.col("n"))).cast("int")
+    cut = files.where(F.trim("content") != "").join(F.broadcast(n)).withColumn("text", F.substr("content", F.lit(1), each))
+    blocks = cut.select("rank", "path", F.concat(F.lit("### "), "path", F.lit("\n```\n"), "text", F.lit("\n```\n")).alias("block"))
+    used = F.sum(F.char_length("block")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    # a block has a character at least: only so many of the first can fit
+    first = blocks.orderBy("rank").limit(remaining)
+    return first.withColumn("used", used).where(F.col("used") <= remaining * SECTION_SHARE).select("rank", "path", "block")
+
+
 def compact_text(content: Column, most: int = 5000) -> Column:
     """Lines without trailing space, runs of blank lines as one, leading ones gone, cut at `most` characters."""
     trimmed = F.transform(F.split(content, "\n"), lambda line: F.regexp_replace(line, r"\s+$", ""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +49,28 @@ def step_reorder(steps: DataFrame, key: str = "tour", ord: str = "ord") -> DataF
 
 
 def dedupe_steps(steps: DataFrame, overlap: float = 0.8) -> DataFrame:
-    """steps without those that share more than the overlap of files with a longer, or an equally long earlier one."""
-    a, b = steps.alias("a"), steps.alias("b")
-    both = F.array_intersect("a.files", "b.files")
-    jaccard = F.when(F.size(F.array_union("a.files", "b.files")) > 0, F.size(both) / F.size(F.array_union("a.files", "b.files"))).otherwise(0.0)
-    longer = (F.char_length("b.what") > F.char_length("a.what")) | ((F.char_length("b.what") == F.char_length("a.what")) & (F.col("b.ord") < F.col("a.ord")))
-    covered = a.join(b, (F.col("a.tour") == F.col("b.tour")) & (F.col("a.ord") != F.col("b.ord")) & (jaccard > overlap) & longer).select(F.col("a.tour").alias("tour"), F.col("a.ord").alias("ord")).distinct()
-    return steps.join(covered, ["tour", "ord"], "left_anti")
+    """steps without repetitions: each step takes up the later ones of its tour that share more than the overlap of files, and the longest explanation met so far stands for them.
+
+    What is compared with later steps is the one that stands. A tour's steps are
+    one group: an answer's length bounds it.
+    """
+    def kept(tour: pd.DataFrame) -> pd.DataFrame:
+        rows = [(k, len(what or ""), frozenset(files if files is not None else ())) for k, what, files in zip(tour.index, tour["what"], tour["files"], strict=True)]
+        rows = [r for _, r in sorted(zip(tour["ord"], rows, strict=True), key=lambda x: x[0])]
+        stay = []
+        while rows:
+            lead, others = rows[0], []
+            for step in rows[1:]:
+                union = lead[2] | step[2]
+                if not union or len(lead[2] & step[2]) <= overlap * len(union):
+                    others.append(step)
+                elif step[1] > lead[1]:
+                    lead = step
+            stay.append(lead[0])
+            rows = others
+        return tour.loc[stay]
+
+    return steps.groupBy("tour").applyInPandas(kept, steps.schema)
 
 
 def validate_tours(steps: DataFrame, known: DataFrame | None = None, least: int = 3, most: int = 8, least_what: int = 30, least_why: int = 15, most_tokens: int = 6000) -> DataFrame:

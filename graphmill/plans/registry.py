@@ -36,7 +36,7 @@ def with_tables(*tables: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(tables) + "\n"
 
 
-EDGES, DENSE = rel.edges_sql(42), rel.edges_sql(38)
+EDGES = rel.EDGES_SQL
 FREQ_SQL = "freq AS (SELECT path, count(DISTINCT cid) AS freq FROM commits GROUP BY path)"
 
 # ---- coupling
@@ -110,11 +110,6 @@ def _(spark, d):
     return metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d))
 
 
-@query("fan_counts_all")
-def _(spark, d):
-    return metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d, None))
-
-
 INSTABILITY = "CASE WHEN fan_in + fan_out > 0 THEN fan_out / (fan_in + fan_out) END"
 
 
@@ -123,21 +118,11 @@ def _(spark, d):
     return metrics.instability(metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d)))
 
 
-@query("instability_all")
-def _(spark, d):
-    return metrics.instability(metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d, None)))
-
-
 @query("orphans", COUNTED + "SELECT node FROM counts WHERE fan_in = 0 AND fan_out = 0")
 def _(spark, d):
     return metrics.orphans(metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d)))
 
 
-@query("orphans_all")
-def _(spark, d):
-    return metrics.orphans(metrics.fan_counts(rel.files(spark, d), rel.edges(spark, d, None)))
-
-
 HOT_SQL = """ranked AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(fan_in) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM counts WINDOW w AS (ORDER BY fan_in DESC, fan_out DESC, lines DESC, node)),
 hot AS (SELECT node, fan_in, fan_out, lines, rank FROM ranked WHERE (rank <= 5 OR before < 0.8 * (SELECT sum(fan_in) FROM counts)) AND rank <= 100)"""
@@ -244,11 +229,6 @@ def _(spark, d):
     return classify.layer_violations(rel.edges(spark, d), layers(spark, d))
 
 
-@query("layer_violations_all")
-def _(spark, d):
-    return classify.layer_violations(rel.edges(spark, d, None), layers(spark, d))
-
-
 ROLE_COUNTS_SQL = "role_counts AS (SELECT source, role, count(*) AS n, min(edge_ord) AS first FROM roles GROUP BY source, role)"
 
 
@@ -281,7 +261,7 @@ unknown AS (SELECT * FROM degree WHERE category = 'unknown'),
 near AS (SELECT t AS node, s AS near FROM typed UNION SELECT s, t FROM typed),
 votes AS (SELECT n.node, c.category AS other, count(*) AS n FROM near n JOIN classified c ON c.node = n.near WHERE c.category <> 'unknown' GROUP BY ALL),
 most AS (SELECT node, other, n, sum(n) OVER (PARTITION BY node) AS whole, row_number() OVER (PARTITION BY node ORDER BY n DESC, other) AS k FROM votes),
-external AS (SELECT t % 97 AS package, s AS node FROM typed WHERE t % 5 = 0),
+external AS (SELECT t AS package, s AS node FROM typed WHERE t % 5 = 0),
 sole AS (SELECT min(node) AS node FROM external GROUP BY package HAVING count(DISTINCT node) = 1),
 candidates AS (
   SELECT node AS key, 'h1' AS heuristic, 'utility' AS category, 'medium' AS confidence FROM unknown WHERE fan_in >= 3 AND fan_out = 0
@@ -295,7 +275,7 @@ CANDIDATES = with_tables(rel.FILES_SQL, EDGES, CLASSIFIED_SQL, CANDIDATES_SQL)
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     typed = rel.edges(spark, d).withColumn("type_only", (F.col("s") + F.col("t")) % 3 == 0)
-    external = typed.where("t % 5 = 0").select((F.col("t") % 97).alias("package"), F.col("s").alias("key"))
+    external = typed.where("t % 5 = 0").select(F.col("t").alias("package"), F.col("s").alias("key"))
     return classify.graph_candidates(classified(spark, d).select(F.col("node").alias("key"), "path", "category"), typed, external)
 
 
@@ -476,54 +456,34 @@ def _(spark, d):
 HOPS_SQL = "walk(node, hop) AS (SELECT node, 0 FROM hub UNION SELECT e.s, w.hop + 1 FROM walk w JOIN edges e ON e.t = w.node WHERE w.hop < 40), hops AS (SELECT node, min(hop) AS hop FROM walk GROUP BY node)"
 
 
-@query("impact", with_tables(DENSE, HUB_SQL, HOPS_SQL, recursive=True) + "SELECT node, hop FROM hops WHERE hop > 0")
+@query("impact", with_tables(EDGES, HUB_SQL, HOPS_SQL, recursive=True) + "SELECT node, hop FROM hops WHERE hop > 0")
 def _(spark, d):
-    e = rel.edges(spark, d, 38)
+    e = rel.edges(spark, d)
     return graph.dependents(e, hub(e)).select("node", "hop")
 
 
 @query(
     "file_blast",
-    with_tables(DENSE, HUB_SQL, HOPS_SQL, recursive=True) + "SELECT CASE WHEN hop = 1 THEN 'direct' ELSE 'transitive' END AS kind, count(*) AS files FROM hops WHERE hop > 0 GROUP BY 1",
+    with_tables(EDGES, HUB_SQL, HOPS_SQL, recursive=True) + "SELECT CASE WHEN hop = 1 THEN 'direct' ELSE 'transitive' END AS kind, count(*) AS files FROM hops WHERE hop > 0 GROUP BY 1",
 )
 def _(spark, d):
-    e = rel.edges(spark, d, 38)
+    e = rel.edges(spark, d)
     return graph.dependents(e, hub(e)).groupBy(F.when(F.col("hop") == 1, "direct").otherwise("transitive").alias("kind")).agg(F.count(F.lit(1)).alias("files"))
 
 
 @query(
     "bfs_shortest",
-    with_tables(DENSE, "hub AS (SELECT s AS node FROM edges GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)", HOPS_SQL.replace("e.s, w.hop", "e.t, w.hop").replace("e.t = w.node", "e.s = w.node"), recursive=True)
+    with_tables(EDGES, "hub AS (SELECT s AS node FROM edges GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)", HOPS_SQL.replace("e.s, w.hop", "e.t, w.hop").replace("e.t = w.node", "e.s = w.node"), recursive=True)
     + "SELECT h.node, h.hop, count(p.node) AS predecessors FROM hops h LEFT JOIN edges e ON e.t = h.node LEFT JOIN hops p ON p.node = e.s AND p.hop = h.hop - 1 GROUP BY h.node, h.hop",
 )
 def _(spark, d):
-    e = rel.edges(spark, d, 38)
+    e = rel.edges(spark, d)
     root = e.groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node").limit(1).select(F.col("node").alias("root"), "node")
     found = graph.cut(graph.reach(e, root).select("node", "hop"))
     before = found.select(F.col("node").alias("s"), (F.col("hop") + 1).alias("hop")).join(e, "s").groupBy(F.col("t").alias("node"), "hop").agg(F.count(F.lit(1)).alias("predecessors"))
     return found.join(before, ["node", "hop"], "left").na.fill(0, ["predecessors"])
 
 
-REACH_SQL = "reach(root, node) AS (SELECT t, s FROM edges UNION SELECT r.root, e.s FROM reach r JOIN edges e ON e.t = r.node)"
-
-
-@query("reach", with_tables(EDGES, REACH_SQL, recursive=True) + "SELECT root, node FROM reach WHERE root <> node")
-def _(spark, d):
-    e = rel.edges(spark, d)
-    return graph.dependents(e, e.select(F.col("t").alias("node")).distinct()).select("root", "node")
-
-
-@query(
-    "rank_reach",
-    with_tables(EDGES, rel.FILES_SQL, REACH_SQL, recursive=True)
-    + "SELECT root AS node, count(*) AS dependents, count(*) / (SELECT count(*) FROM files) AS value FROM reach WHERE root <> node GROUP BY root ORDER BY 2 DESC, 1 LIMIT 25",
-)
-def _(spark, d):
-    e, files = rel.edges(spark, d), rel.files(spark, d)
-    counted = graph.reach_counts(files, graph.dependents(e, e.select(F.col("t").alias("node")).distinct()))
-    return counted.where("dependents > 0").orderBy(F.desc("value"), "node").limit(25)
-
-
 @query(
     "blast_scores",
     with_tables(EDGES, rel.SYMBOL_EDGES_SQL)
@@ -558,6 +518,23 @@ def _(spark, d):
     return comps(spark, d)
 
 
+@query("reach", SCC + "SELECT DISTINCT b.comp AS root, a.comp AS node FROM walk w JOIN comps a ON a.node = w.a JOIN comps b ON b.node = w.b WHERE a.comp <> b.comp")
+def _(spark, d):
+    """Which components depend on which; members of a component reach each other and the same others (see scc)."""
+    found = graph.cut(comps(spark, d))
+    dag = graph.condensation(found, rel.edges(spark, d)).select(F.col("from_comp").alias("s"), F.col("to_comp").alias("t"))
+    return graph.dependents(dag, found.select(F.col("comp").alias("node")).distinct()).select("root", "node")
+
+
+@query(
+    "rank_reach",
+    with_tables(EDGES, rel.FILES_SQL, "walk(a, b) AS (SELECT s, t FROM edges UNION SELECT w.a, e.t FROM walk w JOIN edges e ON e.s = w.b)", recursive=True)
+    + "SELECT b AS node, count(*) AS dependents, count(*) / (SELECT count(*) FROM files) AS value FROM walk WHERE a <> b GROUP BY b ORDER BY 2 DESC, 1 LIMIT 25",
+)
+def _(spark, d):
+    return graph.dependent_counts(rel.files(spark, d), comps(spark, d), rel.edges(spark, d)).where("dependents > 0").orderBy(F.desc("value"), "node").limit(25)
+
+
 @query("condensation", SCC + "SELECT DISTINCT a.comp AS from_comp, b.comp AS to_comp FROM edges JOIN comps a ON a.node = s JOIN comps b ON b.node = t WHERE a.comp <> b.comp")
 def _(spark, d):
     return graph.condensation(comps(spark, d), rel.edges(spark, d))
@@ -586,20 +563,32 @@ def _(spark, d):
     return graph.flow_entries(classified(spark, d))
 
 
-@query("flows")
-def _(spark, d):
+FLOWS_SQL = f"""{SCC_SQL},
+entries AS (SELECT c.node, o.comp FROM classified c JOIN comps o USING (node) WHERE category IN ('entry', 'route', 'controller')),
+leads AS (SELECT o.comp, coalesce(min(l.layer) FILTER (l.layer > 0), arg_min(coalesce(l.layer, -1), o.node)) AS layer FROM comps o LEFT JOIN layers l USING (node) GROUP BY o.comp),
+dag AS (SELECT DISTINCT a.comp AS s, b.comp AS t FROM edges JOIN comps a ON a.node = edges.s JOIN comps b ON b.node = edges.t WHERE a.comp <> b.comp),
+trace(entry, comp, hop) AS (SELECT node, comp, 0 FROM entries UNION SELECT r.entry, g.t, r.hop + 1 FROM trace r JOIN leads l ON l.comp = r.comp JOIN dag g ON g.s = r.comp WHERE l.layer NOT IN (4, 5) AND r.hop < 20),
+steps AS (SELECT entry, r.comp, min(hop) AS hop, any_value(layer) AS layer FROM trace r JOIN leads l ON l.comp = r.comp GROUP BY entry, r.comp HAVING min(hop) < 20)"""
+FLOWS = with_tables(rel.FILES_SQL, EDGES, CLASSIFIED_SQL, LAYERS_SQL, FLOWS_SQL, recursive=True)
+
+
+def traced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     known = classified(spark, d)
     placed = known.select("node", classify.layer_of(F.col("category")).alias("layer"))
-    steps, _, _ = graph.flows(graph.flow_entries(known), comps(spark, d), placed, rel.edges(spark, d))
-    return steps
+    return graph.flows(graph.flow_entries(known), graph.cut(comps(spark, d)), placed, rel.edges(spark, d))
 
 
-@query("flow_anomalies")
+@query("flows", FLOWS + "SELECT entry, comp, hop, layer FROM steps")
 def _(spark, d):
-    known = classified(spark, d)
-    placed = known.select("node", classify.layer_of(F.col("category")).alias("layer"))
-    _, anomalies, _ = graph.flows(graph.flow_entries(known), comps(spark, d), placed, rel.edges(spark, d))
-    return anomalies
+    return traced(spark, d)[0]
+
+
+@query(
+    "flow_anomalies",
+    FLOWS + "SELECT entry, s AS from_comp, t AS to_comp, CASE WHEN b.layer < a.layer THEN 'backward' ELSE 'skip-layer' END AS direction FROM steps JOIN dag ON s = comp JOIN leads a ON a.comp = s JOIN leads b ON b.comp = t WHERE a.layer NOT IN (4, 5) AND (b.layer < a.layer OR b.layer - a.layer >= 3)",
+)
+def _(spark, d):
+    return traced(spark, d)[1]
 
 
 @query(
@@ -610,18 +599,36 @@ def _(spark, d):
     return graph.flow_edges(rel.read(spark, d, "conversations").select(F.col("conv_id").alias("entry"), F.col("turn").alias("pos"), F.concat_ws("-", "role", F.col("turn").cast("string")).alias("file")))
 
 
-@query("bridge_edges")
+BRIDGES_SQL = """near(root, node, hop) AS (SELECT DISTINCT s, s, 0 FROM edges WHERE s % 100 = 0 UNION SELECT n.root, e.t, n.hop + 1 FROM near n JOIN edges e ON e.s = n.node WHERE n.hop < 40),
+hops AS (SELECT root, node, min(hop) AS hop FROM near GROUP BY root, node),
+parents AS (SELECT h.root, h.node, min(e.s) AS parent FROM hops h JOIN edges e ON e.t = h.node JOIN hops p ON p.root = h.root AND p.node = e.s AND p.hop = h.hop - 1 GROUP BY h.root, h.node),
+climb(root, start, node) AS (SELECT root, node, node FROM parents UNION ALL SELECT c.root, c.start, p.parent FROM climb c JOIN parents p ON p.root = c.root AND p.node = c.node WHERE p.parent <> c.root),
+bridges AS (SELECT p.parent AS s, c.node AS t, count(*) AS betweenness FROM climb c JOIN parents p ON p.root = c.root AND p.node = c.node GROUP BY 1, 2)"""
+
+
+@query("bridge_edges", with_tables(EDGES, BRIDGES_SQL, recursive=True) + "SELECT * FROM bridges ORDER BY betweenness DESC, s, t LIMIT 20")
 def _(spark, d):
-    e = rel.edges(spark, d)
-    return graph.bridge_edges(e.select(F.col("s").alias("node")).distinct(), e)
+    e = graph.cut(rel.edges(spark, d))
+    return graph.bridge_edges(graph.bridge_sources(e.select(F.col("s").alias("node"))), e)
 
 
-@query("seams")
+@query(
+    "seams",
+    with_tables(
+        rel.FILES_SQL, EDGES, rel.COMMITS_SQL, COUPLING_SQL, SCC_SQL, BRIDGES_SQL,
+        "crossing AS (SELECT b.*, x.comp AS a, y.comp AS b FROM bridges b JOIN comps x ON x.node = s JOIN comps y ON y.node = t WHERE x.comp <> y.comp)",
+        "means AS (SELECT least(x.comp, y.comp) AS low, greatest(x.comp, y.comp) AS high, avg(confidence) AS mean FROM coupling JOIN comps x ON x.node = file_a JOIN comps y ON y.node = file_b GROUP BY ALL)",
+        "raw AS (SELECT s, t, betweenness, coalesce(mean, 0) AS mean, (SELECT count(DISTINCT s) FROM edges WHERE s % 100 = 0) AS n FROM crossing LEFT JOIN means ON low = least(a, b) AND high = greatest(a, b))",
+        "scored AS (SELECT s, t, betweenness, round(mean, 9) AS avg_coupling, CAST(floor(least(100.0::DOUBLE, betweenness / n * 100) * 0.7::DOUBLE + greatest(0, 1 - round(mean, 9)) * 30 + 0.5) AS BIGINT) AS score FROM raw)",
+        recursive=True,
+    )
+    + "SELECT * FROM scored WHERE score > 30 ORDER BY score DESC, s, t LIMIT 10",
+)
 def _(spark, d):
-    e, files = rel.edges(spark, d), rel.files(spark, d)
-    bridges = graph.bridge_edges(e.select(F.col("s").alias("node")).distinct(), e, 50)
-    # one node per hundred files sets the scale of betweenness: the graph is sparse
-    return graph.seams(bridges, comps(spark, d), history.coupling(rel.commits(spark, d)), max(1, files.count() // 100))
+    e = graph.cut(rel.edges(spark, d))
+    sources = graph.cut(graph.bridge_sources(e.select(F.col("s").alias("node"))))
+    # betweenness and its scale, the number of nodes, are both those of the sources
+    return graph.seams(graph.bridge_edges(sources, e, None), graph.cut(comps(spark, d)), history.coupling(rel.commits(spark, d)), sources.count())
 
 
 @query(
@@ -690,12 +697,13 @@ def _(spark, d):
 
 
 DEAD_SQL = """dead AS (SELECT name, file, line_start, 1.0::DOUBLE AS confidence FROM symbols
-  WHERE name NOT IN (SELECT name FROM symbols JOIN edges ON t = node) AND NOT is_exported AND kind NOT IN ('type_alias', 'interface') AND parent IS NULL AND file NOT IN ('Brand#11', 'Brand#12'))"""
+  WHERE name NOT IN (SELECT name FROM symbols JOIN edges ON t = node WHERE (s + t) % 4 = 0) AND NOT is_exported AND kind NOT IN ('type_alias', 'interface') AND parent IS NULL AND file NOT IN ('Brand#11', 'Brand#12'))"""
 
 
 def dead(spark: SparkSession, d: str) -> DataFrame:
     every = rel.symbols(spark, d)
-    callees = every.join(rel.edges(spark, d).select(F.col("t").alias("node")), "node", "left_semi").select("name")
+    calls = rel.symbol_edges(spark, d).where("edge_type = 'calls'").select(F.col("target").alias("node"))
+    callees = every.join(calls, "node", "left_semi").select("name")
     return symbols.dead_code(every, callees, spark.createDataFrame([("Brand#11",), ("Brand#12",)], "file string"))
 
 
@@ -788,22 +796,27 @@ def _(spark, d):
     return targets.groupBy(package_name(F.col("target")).alias("package")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def chunked(spark: SparkSession, d: str) -> DataFrame:
+    return rel.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+
+
 @query(
     "chunk",
-    "SELECT doc_id, doc_id || '::body::2' AS chunk_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS content FROM documents WHERE text IS NOT NULL",
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, x, unnest(range(1, len(x) + 1, 10)) AS a FROM l)
+SELECT doc_id, doc_id || '::body::' || a AS chunk_id, array_to_string(x[a:a + 9], chr(10)) AS content FROM k""",
 )
 def _(spark, d):
-    docs = rel.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    spans = docs.select(F.col("path").alias("file"), F.lit("body").alias("name"), F.lit(2).alias("line_start"), F.lit(4).alias("line_end"))
+    """Ten lines a chunk, to the end of each text."""
+    docs = chunked(spark, d)
+    spans = docs.select(F.col("path").alias("file"), F.lit("body").alias("name"), F.explode(F.sequence(F.lit(1), F.size(F.split("content", "\n")), F.lit(10))).alias("line_start")).withColumn("line_end", F.col("line_start") + 9)
     return text.chunks(docs, spans).select(F.col("path").cast("long").alias("doc_id"), "chunk_id", "content")
 
 
-@query("chunk_all")
+@query("chunk_files", "SELECT doc_id, doc_id || '::__file__' AS chunk_id, text AS content, len(string_split(text, chr(10)))::INTEGER AS line_end FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    """Without spans: each document is one whole chunk."""
-    docs = rel.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    """Without spans each document is one chunk."""
     none = spark.createDataFrame([], "file string, name string, line_start int, line_end int")
-    return text.chunks(docs, none).select(F.col("path").cast("long").alias("doc_id"), "chunk_id", "content")
+    return text.chunks(chunked(spark, d), none).select(F.col("path").cast("long").alias("doc_id"), "chunk_id", "content", "line_end")
 
 
 @query(
@@ -824,48 +837,42 @@ def _(spark, d):
     return rel.read(spark, d, "documents").where("text is not null").select("doc_id", text.compact_text(F.col("text")).alias("compact"))
 
 
-@query("skeletonize")
+_SKELETON_SQL = "|".join(f"(?:{p})" for p in text.SKELETON).replace("'", "''")
+
+
+@query(
+    "skeletonize",
+    f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+k AS (SELECT doc_id, list_filter(list_transform(x, lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: regexp_matches(y, '{_SKELETON_SQL}')) AS kept, list_transform(x, lambda y: regexp_replace(y, '\\s+$', '')) AS x FROM l)
+SELECT doc_id, CASE WHEN len(kept) > 0 THEN array_to_string(list_transform(kept[1:48], lambda y: regexp_replace(y, '\\s*\\{{\\s*$', '')), chr(10))
+  ELSE substr(array_to_string(list_filter(x, lambda v, i: v <> '' OR (i > 1 AND x[i - 1] <> '')), chr(10)), 1, 600) END AS skeleton FROM k""",
+)
 def _(spark, d):
     return rel.read(spark, d, "documents").select("doc_id", text.skeletonize(F.coalesce("text", F.lit(""))).alias("skeleton"))
 
 
 TERMS_SQL = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
-INDEX_SQL = f"""tokens AS (SELECT doc_id AS id, {TERMS_SQL} AS w FROM documents WHERE lang = 'en'),
+INDEX_SQL = f"""tokens AS (SELECT doc_id AS id, {TERMS_SQL} AS w FROM documents),
 flat AS (SELECT id, len(w) AS length, unnest(w) AS term FROM tokens),
 index AS (SELECT term, id, length, count(*) AS tf FROM flat GROUP BY ALL),
-questions AS (SELECT item_id AS q, list_distinct(({TERMS_SQL})[1:QTERMS]) AS w FROM benchmark),
+questions AS (SELECT item_id AS q, list_distinct({TERMS_SQL}) AS w FROM benchmark),
 asked AS (SELECT q, len(w) AS wanted, unnest(w) AS term FROM questions)"""
 
 
-def searched(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """The documents in English, as in INDEX_SQL, or all."""
-    docs = rel.read(spark, d, "documents")
-    return docs if whole else docs.where("lang = 'en'")
-
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    return text.inverted_index(rel.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
 
-def indexed(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return text.inverted_index(searched(spark, d, whole).select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
 
-
-def questions(spark: SparkSession, d: str, most: int | None) -> DataFrame:
-    """The benchmark's first terms, as in INDEX_SQL, or its whole texts."""
-    items = rel.read(spark, d, "benchmark")
-    if most is None:
-        return items.select(F.col("item_id").alias("q"), F.col("text").alias("content"))
-    return items.select(F.col("item_id").alias("q"), F.array_join(F.slice(text.terms(F.coalesce("text", F.lit(""))), 1, most), " ").alias("content"))
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return rel.read(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("content"))
 
 
 @query(
     "search_text",
-    with_tables(INDEX_SQL.replace("QTERMS", "3")) + "SELECT q, id FROM index JOIN asked USING (term) GROUP BY q, id, wanted HAVING count(*) = wanted",
+    with_tables(INDEX_SQL) + "SELECT q, id FROM index JOIN asked USING (term) GROUP BY q, id, wanted HAVING count(*) = wanted",
 )
 def _(spark, d):
-    return text.search_text(indexed(spark, d), questions(spark, d, 3))
-
-
-@query("search_text_all")
-def _(spark, d):
-    return text.search_text(indexed(spark, d, whole=True), questions(spark, d, None))
+    return text.search_text(indexed(spark, d), questions(spark, d))
 
 
 BM25_SQL = """size AS (SELECT count(*) AS n, avg(len(w)) AS avg_length FROM tokens),
@@ -875,61 +882,46 @@ scored AS (SELECT q, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 listed AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) - 1 AS rank FROM scored QUALIFY rank < 20)"""
 
 
-def scored(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    sizes = searched(spark, d, whole).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.terms(F.coalesce("text", F.lit(""))))).alias("avg_length"))
-    return text.top_per_query(text.bm25(indexed(spark, d, whole), questions(spark, d, None if whole else 8), sizes))
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    sizes = rel.read(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.terms(F.coalesce("text", F.lit(""))))).alias("avg_length"))
+    return text.top_per_query(text.bm25(indexed(spark, d), questions(spark, d), sizes))
 
 
-@query("bm25", with_tables(INDEX_SQL.replace("QTERMS", "8"), BM25_SQL) + "SELECT q, id, score, CAST(rank AS INTEGER) AS rank FROM listed")
+@query("bm25", with_tables(INDEX_SQL, BM25_SQL) + "SELECT q, id, score, CAST(rank AS INTEGER) AS rank FROM listed")
 def _(spark, d):
     return scored(spark, d)
 
 
-@query("bm25_all")
-def _(spark, d):
-    return scored(spark, d, whole=True)
-
-
 FUSED_SQL = """lists AS (SELECT q, 0 AS list, rank, id FROM listed UNION ALL SELECT q, 1, row_number() OVER (PARTITION BY q ORDER BY id) - 1, id FROM listed),
 fused AS (SELECT q, id, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS fused FROM lists GROUP BY q, id)"""
 
 
-def fused(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    best = scored(spark, d, whole)
+def fused(spark: SparkSession, d: str) -> DataFrame:
+    best = scored(spark, d)
     by_id = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("id")) - 1)
     return text.rrf(best.select("q", F.lit(0).alias("list"), "rank", "id").unionByName(by_id.select("q", F.lit(1).alias("list"), "rank", "id")))
 
 
-@query("rrf", with_tables(INDEX_SQL.replace("QTERMS", "8"), BM25_SQL, FUSED_SQL) + "SELECT * FROM fused")
+@query("rrf", with_tables(INDEX_SQL, BM25_SQL, FUSED_SQL) + "SELECT * FROM fused")
 def _(spark, d):
     return fused(spark, d)
 
 
-@query("rrf_all")
-def _(spark, d):
-    return fused(spark, d, whole=True)
-
-
-def packed(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    ranked = fused(spark, d, whole).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("fused"), "id")))
+def packed(spark: SparkSession, d: str) -> DataFrame:
+    ranked = fused(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("fused"), "id")))
     sizes = rel.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.char_length("text").alias("size"))
     return text.budget_pack(ranked.join(sizes, "id"), 24_000)
 
 
 @query(
     "budget_pack",
-    with_tables(INDEX_SQL.replace("QTERMS", "8"), BM25_SQL, FUSED_SQL, "r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY fused DESC, id) AS rank FROM fused)", "p AS (SELECT q, r.id, rank, sum(length(text)) OVER (PARTITION BY q ORDER BY rank) AS used FROM r JOIN documents ON doc_id = r.id)")
+    with_tables(INDEX_SQL, BM25_SQL, FUSED_SQL, "r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY fused DESC, id) AS rank FROM fused)", "p AS (SELECT q, r.id, rank, sum(length(text)) OVER (PARTITION BY q ORDER BY rank) AS used FROM r JOIN documents ON doc_id = r.id)")
     + "SELECT q, id, CAST(rank AS INTEGER) AS rank, CAST(used AS BIGINT) AS used FROM p WHERE used <= 24000",
 )
 def _(spark, d):
     return packed(spark, d)
 
 
-@query("budget_pack_all")
-def _(spark, d):
-    return packed(spark, d, whole=True)
-
-
 @query("token_estimate", "SELECT conv_id, turn, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM conversations")
 def _(spark, d):
     return rel.read(spark, d, "conversations").select("conv_id", "turn", token_estimate(F.col("text")).alias("tokens"))
@@ -940,7 +932,10 @@ def _(spark, d):
     return tours.step_reorder(rel.read(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
 
 
-@query("state_hash")
+HASH_PARTS = " || '|' || ".join(f"CAST(sum(('0x' || substr(h, {i}, 8))::BIGINT) AS VARCHAR)" for i in (1, 9, 17, 25))
+
+
+@query("state_hash", with_tables(EDGES, "h AS (SELECT sha256(s || '->' || t) AS h FROM edges)") + f"SELECT substr(sha256('what calls this|overview|||' || count(*) || '|' || {HASH_PARTS}), 1, 16) AS hash FROM h")
 def _(spark, d):
     return text.state_hash(rel.edges(spark, d), "what calls this", "overview")
 
@@ -950,18 +945,25 @@ def _(spark, d):
     return rel.read(spark, d, "documents").select("doc_id", F.sha1("text").alias("sha1"))
 
 
-@query("upsert", "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS value FROM customer")
-def _(spark, d):
+WRITES_SQL = "writes AS (SELECT o_custkey AS key, o_orderkey AS ord, 'order ' || o_orderkey AS value FROM orders)"
+
+
+def writes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Values of customers, and later ones in the order of their orders."""
     old = rel.read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
-    return text.upsert(old, old.where("key % 3 = 0").withColumn("value", F.lit("new")), ["key"])
+    return old, rel.read(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("ord"), F.format_string("order %d", "o_orderkey").alias("value"))
 
 
-@query("insert_ignore", "SELECT c_custkey AS key, c_mktsegment AS value FROM customer UNION ALL SELECT -1 - c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0")
+@query("upsert", with_tables(WRITES_SQL) + "SELECT key, arg_max(value, ord) AS value FROM writes GROUP BY key UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT key FROM writes)")
 def _(spark, d):
-    old = rel.read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
-    some = old.where("key % 3 = 0")
-    new = some.select((-1 - F.col("key")).alias("key"), F.lit("new").alias("value")).unionByName(some.withColumn("value", F.lit("new")))
-    return text.insert_ignore(old, new, ["key"])
+    old, new = writes(spark, d)
+    return text.upsert(old, new, ["key"], "ord")
+
+
+@query("insert_ignore", with_tables(WRITES_SQL) + "SELECT c_custkey AS key, c_mktsegment AS value FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT key, arg_min(value, ord) FROM writes WHERE key NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY key")
+def _(spark, d):
+    old, new = writes(spark, d)
+    return text.insert_ignore(old.where("value = 'BUILDING'"), new, ["key"], "ord")
 
 
 @query("tour_evict", "SELECT o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
@@ -1001,18 +1003,13 @@ def _(spark, d):
     "join_suffix_unique",
     with_tables(
         rel.FILES_SQL,
-        "wanted AS (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name FROM files WHERE node % 7 = 0 UNION SELECT 'misc/' || regexp_extract(path, '[^/]*$') FROM files WHERE node % 11 = 0)",
+        "names AS (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name FROM files)",
+        "wanted AS (SELECT name FROM names UNION ALL SELECT 'misc/' || name FROM names)",
+        "parts AS (SELECT path, string_split(path, '/') AS p FROM files)",
+        "suffixes AS (SELECT path, array_to_string(p[k:], '/') AS name FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS k FROM parts))",
     )
-    + "SELECT name, CASE WHEN count(DISTINCT path) = 1 THEN min(path) END AS path FROM wanted LEFT JOIN files ON path = name OR path LIKE '%/' || replace(name, '_', '\\_') ESCAPE '\\' GROUP BY name",
+    + "SELECT name, CASE WHEN count(DISTINCT path) = 1 THEN min(path) END AS path FROM wanted LEFT JOIN suffixes USING (name) GROUP BY name",
 )
-def _(spark, d):
-    files = rel.files(spark, d)
-    name = F.substring_index("path", "/", -1)
-    wanted = files.where("node % 7 = 0").select(name.alias("name")).union(files.where("node % 11 = 0").select(F.concat(F.lit("misc/"), name))).distinct()
-    return text.resolve_suffix(wanted, files)
-
-
-@query("join_suffix_unique_all")
 def _(spark, d):
     files = rel.files(spark, d)
     name = F.substring_index("path", "/", -1)
@@ -1082,3 +1079,6 @@ def _(spark, d):
 def _(spark, d):
     """The batch twin; tests hold the stream's last updates against it."""
     return telemetry.churn_of(rel.read(spark, d, "events")).withColumn("last_changed", F.col("last_changed").cast("timestamp_ntz"))
+
+
+from graphmill.plans import parsing  # noqa: E402, F401  its queries join these

@@ -27,11 +27,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(name.alias("path"), F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("lines"))
 
 
-def edges(spark: SparkSession, sf_dir: str, least: int | None = 42) -> DataFrame:
-    """s, t: distinct; least: the smallest quantity of a row that makes an edge, None for all rows of the flag."""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s, t: distinct; a returned row of an order imports what the row after it names."""
     line = read(spark, sf_dir, "lineitem")
-    own = F.col("l_returnflag") == "R"
-    a = line.where(own if least is None else own & (F.col("l_quantity") >= least)).select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("s"))
+    a = line.where("l_returnflag = 'R'").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("s"))
     b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("t"))
     return a.join(b, ["l_orderkey", "n"]).where("s <> t").select("s", "t").distinct()
 
@@ -62,10 +61,10 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def symbol_edges(spark: SparkSession, sf_dir: str, least: int = 42) -> DataFrame:
+def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target (nodes), edge_type, edge_ord."""
     kind = F.element_at(F.array(*map(F.lit, ("calls", "extends", "implements", "uses_type"))), ((F.col("s") + F.col("t")) % 4 + 1).cast("int"))
-    return edges(spark, sf_dir, least).select(F.col("s").alias("source"), F.col("t").alias("target"), kind.alias("edge_type"), F.lit(0).alias("edge_ord"))
+    return edges(spark, sf_dir).select(F.col("s").alias("source"), F.col("t").alias("target"), kind.alias("edge_type"), F.lit(0).alias("edge_ord"))
 
 
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +73,11 @@ def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), (key % 25 + 1).cast("string")).alias("file"), (key % 97).alias("start_line"), (key % 97 + 5).alias("end_line"))
 
 
-def roles(spark: SparkSession, sf_dir: str, least: int = 42) -> DataFrame:
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, role: the boundary role of each edge's target, by t % 7; none for 6."""
     names = ("persistence", "http", "messaging", "auth", "validation", "observability")
     at = (F.col("t") % 7).cast("int")
-    return edges(spark, sf_dir, least).where(at < len(names)).select(F.col("s").alias("source"), F.element_at(F.array(*map(F.lit, names)), at + 1).alias("role"), F.col("t").alias("edge_ord"))
+    return edges(spark, sf_dir).where(at < len(names)).select(F.col("s").alias("source"), F.element_at(F.array(*map(F.lit, names)), at + 1).alias("role"), F.col("t").alias("edge_ord"))
 
 
 FILES_SQL = """files AS (
@@ -87,10 +86,9 @@ FILES_SQL = """files AS (
     p_partkey AS node, CAST(p_size AS BIGINT) AS lines FROM part)"""
 
 
-def edges_sql(least: int = 42) -> str:
-    return f"""edges AS (
+EDGES_SQL = """edges AS (
   SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_returnflag = 'R' AND a.l_quantity >= {least} AND a.l_partkey <> b.l_partkey)"""
+  WHERE a.l_returnflag = 'R' AND a.l_partkey <> b.l_partkey)"""
 
 
 COMMITS_SQL = """commits AS (

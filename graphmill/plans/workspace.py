@@ -39,7 +39,7 @@ class Workspace:
 
     @cached_property
     def imports(self) -> DataFrame:
-        """source, target, module, external."""
+        """source, target, module, external, ord, type_only."""
         return cut(text.resolve_imports(text.imports_regex(self.files), self.files), "imports")
 
     @cached_property
@@ -53,7 +53,7 @@ class Workspace:
 
     @cached_property
     def roles(self) -> DataFrame:
-        outside = self.imports.where("external is not null").select("source", F.col("external").alias("target"), F.lit(0).alias("edge_ord"))
+        outside = self.imports.where("external is not null").select("source", F.col("external").alias("target"), F.col("ord").alias("edge_ord"))
         return classify.with_roles(outside, classify.boundary_lookup(self.spark))
 
     @cached_property
@@ -61,7 +61,7 @@ class Workspace:
         """path, category, confidence after all four passes."""
         first = classify.classify_content(classify.classify_path(self.files)).select(F.col("path").alias("key"), "category", "confidence")
         third = cut(classify.classify_boundary(first, self.roles), "classified")
-        typed = self.edges.withColumn("type_only", F.lit(False))
+        typed = self.imports.where("target is not null").groupBy(F.col("source").alias("s"), F.col("target").alias("t")).agg(F.bool_and("type_only").alias("type_only"))
         packages = self.imports.where("external is not null").select(F.col("external").alias("package"), F.col("source").alias("key"))
         found = classify.classify_graph(classify.graph_candidates(third.withColumn("path", F.col("key")), typed, packages))
         joined = third.join(found.select("key", F.col("category").alias("found"), F.col("confidence").alias("sure")), "key", "left")
@@ -85,14 +85,14 @@ class Workspace:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        others = symbols.declared_symbols(self.files).select("file", "name", "kind", "line_start", F.lit(None).cast("int").alias("line_end"), "is_exported", F.lit(None).cast("string").alias("parent"))
+        others = symbols.declared_symbols(self.files).select("file", "name", "kind", "line_start", "line_end", "is_exported", F.lit(None).cast("string").alias("parent"))
         every = symbols.python_symbols(self.files).unionByName(others)
         return cut(every.withColumn("is_entry_point", F.lit(False)), "symbols")
 
     @cached_property
     def symbol_edges(self) -> DataFrame:
         """source_file, source, target_file, target, edge_type, edge_ord."""
-        raw = symbols.python_edges(self.files)
+        raw = cut(symbols.references(self.files), "references")
         refs = raw.select(F.xxhash64("file", "target").alias("ref"), "file", F.col("target").alias("name")).distinct()
         at = symbols.resolve(refs, self.symbols.select("name", "file"), self.edges.select(F.col("s").alias("file"), F.col("t").alias("target")))
         joined = raw.join(at.select("file", F.col("name").alias("target"), "target_file"), ["file", "target"])

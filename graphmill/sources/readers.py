@@ -147,6 +147,16 @@ def git_lines(spark: SparkSession, repository: str, *arguments: str) -> DataFram
     return spark.createDataFrame([(repository, i, line) for i, line in enumerate(out.split("\n"))], "log string, line_no long, line string")
 
 
+def scan_git_log(spark: SparkSession, repository: str) -> DataFrame:
+    """log, cid, path of a repository's commits: names-only log with the bare hash before each commit's files."""
+    return parse_git_log(git_lines(spark, repository, "log", "--name-only", "--pretty=format:%H"))
+
+
+def scan_git_diff(spark: SparkSession, repository: str, base: str = "HEAD") -> DataFrame:
+    """log, line_no, line as lines of one diff (diff, line_no, line) without context against a revision."""
+    return git_lines(spark, repository, "diff", "--unified=0", base).withColumnRenamed("log", "diff")
+
+
 def sister_repositories(spark: SparkSession, listing: DataFrame) -> DataFrame:
     """name, path, kind of folders in a listing (folder, file): npm, go or python by their manifests."""
     kinds = F.when(F.col("file") == "package.json", 1).when(F.col("file") == "go.mod", 2).when(F.col("file").isin("pyproject.toml", "setup.py", "requirements.txt"), 3)

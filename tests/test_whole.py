@@ -1,4 +1,4 @@
-"""Queries over whole tables, whose twins with an oracle take the part that the oracle's SQL takes."""
+"""Queries over whole tables, against plain Python on small ones."""
 
 import math
 import random
@@ -41,20 +41,20 @@ def best_rows(docs, items):
 
 def test_search_takes_all_documents_and_terms(spark, library):
     folder, docs, items, sizes = library
-    found = {(r.q, r.id) for r in QUERIES["search_text_all"](spark, folder).collect()}
+    found = {(r.q, r.id) for r in QUERIES["search_text"](spark, folder).collect()}
     assert found == {(q, i) for q, asked in items.items() for i, w in docs.items() if asked <= set(w)}
     assert {(k, 200 + k) for k in range(4)} <= found
     best = best_rows(docs, items)
-    got = {(r.q, r.rank): (r.score, r.id) for r in QUERIES["bm25_all"](spark, folder).collect()}
+    got = {(r.q, r.rank): (r.score, r.id) for r in QUERIES["bm25"](spark, folder).collect()}
     assert {k: i for k, (_, i) in got.items()} == {(q, k): i for q, b in best.items() for k, (_, i) in enumerate(b)}
     assert all(abs(s - best[q][k][0]) < 2e-6 for (q, k), (s, _) in got.items())
     fused = {}
     for q, b in best.items():
         by_id = sorted(i for _, i in b)
         fused |= {(q, i): round(1 / (61 + k) + 1 / (61 + by_id.index(i)), 9) for k, (_, i) in enumerate(b)}
-    got = {(r.q, r.id): r.fused for r in QUERIES["rrf_all"](spark, folder).collect()}
+    got = {(r.q, r.id): r.fused for r in QUERIES["rrf"](spark, folder).collect()}
     assert got.keys() == fused.keys() and all(abs(got[k] - fused[k]) < 2e-9 for k in got)
-    packed = {(r.q, r.id): (r["rank"], r.used) for r in QUERIES["budget_pack_all"](spark, folder).collect()}
+    packed = {(r.q, r.id): (r["rank"], r.used) for r in QUERIES["budget_pack"](spark, folder).collect()}
     for q in items:
         used = 0
         for k, i in enumerate(sorted((i for p, i in fused if p == q), key=lambda i: (-fused[q, i], i)), 1):
@@ -74,7 +74,7 @@ def test_every_file_name_is_resolved(spark, tmp_path):
             ends = [p for p in paths if p == name or p.endswith("/" + name)]
             expected[name] = ends[0] if len(ends) == 1 else None
     assert expected["red_2_5.ts"] is None and expected["misc/red_2_5.ts"] and expected["red_1_1.ts"]
-    got = QUERIES["join_suffix_unique_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["join_suffix_unique"](spark, str(tmp_path)).collect()
     assert {r.name: r.path for r in got} == expected and len(got) == len(expected)
 
 
@@ -88,7 +88,7 @@ def test_linear_queries_take_edges_of_all_quantities(spark, tmp_path):
     part = {(o, n): p for o, n, p, _, _ in lines}
     edges = {(p, part[o, n + 1]) for o, n, p, _, flag in lines if flag == "R" and (o, n + 1) in part and p != part[o, n + 1]}
     fan = {i: (sum(t == i for _, t in edges), sum(s == i for s, _ in edges)) for i in range(60)}
-    got = {name: QUERIES[f"{name}_all"](spark, str(tmp_path)).collect() for name in ("fan_counts", "instability", "orphans", "layer_violations")}
+    got = {name: QUERIES[name](spark, str(tmp_path)).collect() for name in ("fan_counts", "instability", "orphans", "layer_violations")}
     assert {r.node: (r.fan_in, r.fan_out) for r in got["fan_counts"]} == fan
     assert {r.node: r.instability for r in got["instability"]} == {i: b / (a + b) if a + b else None for i, (a, b) in fan.items()}
     assert {r.node for r in got["orphans"]} == {i for i, f in fan.items() if f == (0, 0)}
@@ -100,5 +100,5 @@ def test_linear_queries_take_edges_of_all_quantities(spark, tmp_path):
 def test_chunks_hold_whole_texts(spark, tmp_path):
     texts = {1: "one line", 2: "\n".join(f"line {i}" for i in range(9)), 3: "", 4: None}
     pq.write_table(pa.table({"doc_id": list(texts), "text": list(texts.values())}), tmp_path / "documents.parquet")
-    got = {r.doc_id: (r.chunk_id, r.content) for r in QUERIES["chunk_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.chunk_id, r.content) for r in QUERIES["chunk_files"](spark, str(tmp_path)).collect()}
     assert got == {i: (f"{i}::__file__", t) for i, t in texts.items() if t is not None}
