@@ -9,12 +9,22 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written as Parquet and read again; the folder is spark.checkpoint.dir, a temporary one only where that is unset."""
+    """df written as Parquet and read again; the folder is spark.checkpoint.dir and goes when the application ends.
+
+    Where that is unset, a single machine gets a temporary folder, a cluster an error.
+    """
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("graphmill.cuts", "")
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or spark.conf.get("graphmill.cuts", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="graphmill-cuts-")
         spark.conf.set("graphmill.cuts", root)
-    path = f"{root.rstrip('/')}/graphmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{root.rstrip('/')}/graphmill-cuts-{spark.sparkContext.applicationId}"
+    if spark.conf.get("graphmill.cuts.gone", "") != folder:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        spark.conf.set("graphmill.cuts.gone", folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

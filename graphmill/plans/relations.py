@@ -49,7 +49,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, kind, file, line_start, line_end, is_exported, is_entry_point, parent."""
     kind = F.substring_index("p_type", " ", 1)
     return read(spark, sf_dir, "part").select(
-        F.col("p_name").alias("name"),
+        F.concat_ws("_", "p_name", F.col("p_partkey").cast("string")).alias("name"),
         F.when(kind == "ECONOMY", "function").when(kind == "LARGE", "class").when(kind == "MEDIUM", "interface").when(kind == "PROMO", "type_alias").when(kind == "SMALL", "method").otherwise("constant").alias("kind"),
         F.col("p_brand").alias("file"),
         (F.col("p_partkey") % 100).alias("line_start"),
@@ -96,7 +96,7 @@ COMMITS_SQL = """commits AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 SYMBOLS_SQL = """symbols AS (
-  SELECT p_name AS name, CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 'function' WHEN 'LARGE' THEN 'class' WHEN 'MEDIUM' THEN 'interface'
+  SELECT p_name || '_' || p_partkey AS name, CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 'function' WHEN 'LARGE' THEN 'class' WHEN 'MEDIUM' THEN 'interface'
     WHEN 'PROMO' THEN 'type_alias' WHEN 'SMALL' THEN 'method' ELSE 'constant' END AS kind, p_brand AS file, p_partkey % 100 AS line_start,
     p_partkey % 100 + p_size AS line_end, p_size % 2 = 0 AS is_exported, false AS is_entry_point,
     CASE WHEN p_type LIKE 'SMALL%' THEN p_brand END AS parent, p_partkey AS node FROM part)"""
