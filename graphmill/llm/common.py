@@ -18,14 +18,22 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one on a single machine, else an error."""
+    """A folder below spark.checkpoint.dir, which all executors share; it goes when the application ends.
+
+    Where that is unset, a single machine gets a temporary folder, a cluster an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or spark.conf.get("graphmill.scratch", "")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="graphmill-")
         spark.conf.set("graphmill.scratch", root)
-    return f"{root.rstrip('/')}/graphmill-{spark.sparkContext.applicationId}"
+    folder = f"{root.rstrip('/')}/graphmill-{spark.sparkContext.applicationId}"
+    if spark.conf.get("graphmill.scratch.gone", "") != folder:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        spark.conf.set("graphmill.scratch.gone", folder)
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:

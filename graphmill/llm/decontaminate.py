@@ -186,7 +186,11 @@ def _holds(shared: Broadcast) -> Callable[[pa.Array], pa.Array]:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.75) -> DataFrame:
-    """The rows of docs that hold no item, all columns kept."""
+    """The rows of docs that hold no item, all columns kept.
+
+    Null and empty texts hold none and stay; rows that repeat are judged alike; no
+    items, or no rows, take nothing away.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     for block in item_blocks(items):

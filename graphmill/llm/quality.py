@@ -169,10 +169,14 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, fold: int = 2, most_rows: int = MOST_ROWS, **options: float) -> Model:
-    """Fit on the labelled documents outside the held-out fold. The rows that reach the driver are bounded by most_rows."""
+    """Fit on the labelled documents outside the held-out fold.
+
+    Of each class most_rows documents reach the driver at most, each once (of texts
+    that repeat a doc_id the smallest), as their distinct buckets.
+    """
     small_batches(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, label, folds, fold, most_rows))  # at most 2 * most_rows rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     got = rows.select("doc_id", "label", "text").mapInArrow(_sampled, "doc_id long, label int, buckets array<int>").toArrow().sort_by("doc_id")
     buckets = got.column("buckets").combine_chunks()
     if isinstance(buckets, pa.ChunkedArray):

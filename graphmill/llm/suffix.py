@@ -466,7 +466,10 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def with_spans(docs: DataFrame, most_of_anchor: int = MOST_OF_ANCHOR) -> DataFrame:
-    """docs (doc_id long, text string, ...) with SPANS, array<struct<start, size>> of repeated bytes, unordered, null for none."""
+    """docs (doc_id long, text string, ...) with SPANS, array<struct<start, size>> of repeated bytes, unordered, null for none.
+
+    Rows that repeat a doc_id with other texts are documents of their own, equal rows are one.
+    """
     numbered, made = _numbered(docs)
     unique = numbered.select(F.col(ROW).alias("doc_id"), "text")
     if made:
