@@ -71,9 +71,10 @@ def surprise(good: Column, labelled: Column, rate: Column) -> Column:
 
 def templates(counts: DataFrame, most_children: int, deviations: float) -> DataFrame:
     """host, form, template, labelled, good for counts (host, form array, labelled, good), one row per host and form."""
-    tree = counts.withColumn("template", F.col("form"))
-    deepest = counts.agg(F.max(F.size("form"))).first()[0] or 0
-    for level in range(1, deepest + 1):
+    tree, level = counts.withColumn("template", F.col("form")), 0
+    done: list[DataFrame] = []
+    while level < (tree.agg(F.max(F.size("form"))).first()[0] or 0):
+        level += 1
         node = ["host", "before", "segment"]
         seen = tree.withColumn("before", F.slice("template", 1, level - 1)).withColumn("segment", F.get("template", F.lit(level - 1)))
         children = seen.where("segment is not null").groupBy(*node).agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
@@ -88,10 +89,16 @@ def templates(counts: DataFrame, most_children: int, deviations: float) -> DataF
         new = F.when(crowded & ~(far & sure), "*").when(~crowded & (F.col("children") > 1) & ~far, "~").otherwise(F.col("segment"))
         renamed = children.join(parents, ["host", "before"]).select(*node, new.alias("renamed"))
         moved = seen.join(renamed, node, "left")
-        changed = F.concat(F.col("before"), F.array("renamed"), F.slice("template", level + 1, deepest))
-        tree = moved.select("host", "form", "labelled", "good", F.when(F.col("renamed").isNull(), F.col("template")).otherwise(changed).alias("template"))
-        tree = table(tree, f"urls-level{level}")
-    return tree
+        changed = F.concat(F.col("before"), F.array("renamed"), F.slice("template", level + 1, 1 << 30))
+        moved = moved.select("host", "form", "labelled", "good", F.when(F.col("renamed").isNull(), F.col("template")).otherwise(changed).alias("template"))
+        moved = table(moved.withColumn("prefix", F.slice("template", 1, level)), f"urls-level{level}")
+        # below a node with one form nothing is merged any more
+        shared = moved.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("host", "prefix")
+        done.append(moved.join(shared, ["host", "prefix"], "left_anti").drop("prefix"))
+        tree = moved.join(shared, ["host", "prefix"], "left_semi").drop("prefix")
+    for part in done:
+        tree = tree.unionByName(part)
+    return table(tree, "urls-tree")
 
 
 def judge(
@@ -110,8 +117,8 @@ def judge(
     (good + strength * overall rate) / (labelled + strength) of the page's
     template; where no rule fits, the verdict is block if it is below the
     threshold. Without any labels the overall rate is 1. A null url and one
-    without `://` have an empty host and path and share one template. A level of
-    the deepest path costs one round; depth limits them. Repeated
+    without `://` have an empty host and path and share one template. A level at
+    which several forms still share their beginning costs one round; depth limits them. Repeated
     rows stay, null ids too; other columns are ignored.
     """
     split = lambda df: df.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("form", segments(F.col("path"), depth))
