@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a few numbers in a file of a table.
+NARROW_ROWS = 1 << 20
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A folder below spark.checkpoint.dir, which all executors share; it goes when the application ends.
 
@@ -40,16 +44,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def table(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def table(df: DataFrame, name: str, narrow: bool = False, most_rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
 
     narrow: rows of a few numbers, for which partitions sized for texts would make
-    small files; an eighth as many.
+    small files; an eighth as many, and where most_rows bounds them, one for each
+    NARROW_ROWS of that at most.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if narrow:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+        df = df.coalesce(files if most_rows is None else min(files, -(-max(1, most_rows) // NARROW_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -228,17 +234,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     aggregate, not a task; each round is a written table.
     Empty edges give an empty table; loops give their own id.
     """
+    # a node for each end at most, and edges only get fewer
+    n = 2 * edges.count()
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     labels = None
     current = both
     while True:
         best = current.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("id")).alias("to"))
-        best = table(best, f"{name}-best", narrow=True)
+        best = table(best, f"{name}-best", True, n)
         # one jump: a chain a -> b -> c becomes a -> c
         jump = table(
             best.alias("a").join(best.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to", "left").select("id", F.coalesce("to2", "to").alias("to")),
             f"{name}-jump",
-            narrow=True,
+            True,
+            n,
         )
         if labels is None:
             labels = jump.select("id", F.col("to").alias("component"))
@@ -246,7 +255,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             labels = table(
                 labels.join(jump.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")),
                 f"{name}-labels",
-                narrow=True,
+                True,
+                n,
             )
         moved = (
             current.where("src < dst")
@@ -256,7 +266,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .select(F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst"))
             .distinct()
         )
-        moved = table(moved, f"{name}-edges", narrow=True)
+        moved = table(moved, f"{name}-edges", True, n)
         if moved.isEmpty():
             return labels
         current = moved.unionByName(moved.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
