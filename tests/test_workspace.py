@@ -62,3 +62,21 @@ def test_commands(spark, root, capsys, tmp_path):
     capsys.readouterr()
     assert cli.main(["risk", root, "--diff", str(diff)], spark) == 0
     assert json.loads(capsys.readouterr().out)["risk"][0]["max_blast"] == 1.0
+
+
+def test_calls_and_type_imports_of_typescript(spark):
+    files = spark.createDataFrame(
+        [
+            ("src/a.ts", "import type { T } from './t'\nimport { b } from './b'\n\nfunction helper() {\n  return b()\n}\n\nfunction unused() {\n  return 1\n}\n\nexport function main() {\n  return helper()\n}\n"),
+            ("src/b.ts", "export function b() {\n  return 2\n}\n"),
+            ("src/t.ts", "export interface T {\n  x: number\n}\n"),
+            ("m.go", "package m\n\nfunc assist() int {\n\treturn 1\n}\n\nfunc Run() int {\n\treturn assist()\n}\n"),
+        ],
+        "path string, content string",
+    )
+    space = Workspace(files)
+    assert {(r.file, r.name) for r in space.dead_code.collect()} == {("src/a.ts", "unused")}
+    assert {(r.source, r.target, r.type_only) for r in space.imports.collect()} == {("src/a.ts", "src/t.ts", True), ("src/a.ts", "src/b.ts", False)}
+    assert {(r.source_file, r.source, r.target_file, r.target) for r in space.symbol_edges.collect()} == {
+        ("src/a.ts", "helper", "src/b.ts", "b"), ("src/a.ts", "main", "src/a.ts", "helper"), ("m.go", "Run", "m.go", "assist")
+    }
