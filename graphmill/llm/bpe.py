@@ -7,11 +7,14 @@ that read u now reads uv as well, into the state behind v. What is left is
 deterministic, and the only path whose arc labels spell a word is its BPE
 tokenisation.
 
-A state is stored as its parent and the one arc its gadget took away; what it
-reads follows from the merges' times: the arc uv exists where u still existed
-when uv was made. Asked-for transitions are kept in a table, so encoding is table
-look-ups along a byte trie of the labels. Words come from the byte-level
-pre-tokenisation pattern; decoding emits the labels of the arcs.
+A state is split from another, so states form a tree. The gadget of (u, v) takes the
+arc v, and with it all arcs that begin with v and are made later, from a whole
+subtree of it: an interval of its preorder. The transition table is compiled from
+these intervals: for each label the sorted, disjoint intervals of the states that
+don't read it. Encoding is one pass over a word, along a byte trie of the labels and
+by look-ups in that table. Merges must be such as training gives them: each pair is
+how its own label is encoded by the merges before it. Words come from the byte-level pre-tokenisation pattern;
+decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import hashlib
 import json
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -36,8 +40,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ASCII_PATTERN = r" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Words whose path is kept in each Python worker: so many new ones, and those that were new before them.
 KEPT_WORDS = 150_000
-#: Transitions kept in the same way.
-KEPT_TRANSITIONS = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,27 +75,51 @@ class Automaton:
         self._older: dict[str, tuple[int, ...]] = {}
 
     def _build(self, single: dict[int, int], merges: Sequence[tuple[int, int, int]]) -> None:
-        self.left: dict[int, tuple[int, int]] = {}  # of a merged label: its first part and the time of the merge
-        self.behind = dict.fromkeys(single.values(), 0)  # the state that a label leads to
-        self.parent, self.taken, self.time = [-1], [-1], [-1]  # of a state: what it was split from, the arc it lost, when
-        made = set(single.values())
+        behind = dict.fromkeys(single.values(), 0)  # the state that a label leads to
+        parent = [-1]  # of a state: what it was split from
+        taken: dict[int, list[int]] = {token: [] for token in behind}  # of a label: the states whose gadgets took it away
+        lost: dict[int, list[int]] = {token: [] for token in behind}  # of a label: the states that had lost its beginning when it was made
         for now, (u, v, uv) in enumerate(merges):
-            if u not in made or v not in made or uv in made:
+            if u not in behind or v not in behind or uv in behind:
                 raise ValueError(f"merge {now} doesn't follow from the merges before it")
-            made.add(uv)
-            behind_v = self.behind[v]
-            self.parent.append(self.behind[u])
-            self.taken.append(v)
-            self.time.append(now)
-            self.behind[u] = len(self.parent) - 1
-            self.left[uv] = (u, now)
-            # for u == v the arc uv ends where v ended before the split
-            self.behind[uv] = behind_v
-        self.transitions: dict[int, bool] = {}
+            behind_v = behind[v]
+            parent.append(behind[u])
+            behind[u] = len(parent) - 1
+            taken[v].append(len(parent) - 1)
+            # for u == v the arc uv ends where v ended before the split, and what v was taken from doesn't read it
+            behind[uv] = behind_v
+            lost[uv] = lost[u] + taken[u]
+            taken[uv] = []
+        self._compile(behind, parent, {token: lost[token] + taken[token] for token in behind})
+
+    def _compile(self, behind: dict[int, int], parent: list[int], without: dict[int, list[int]]) -> None:
+        """States get their places in the preorder; of a label's intervals the outermost stay."""
+        n = len(parent)
+        size = [1] * n
+        for state in range(n - 1, 0, -1):
+            size[parent[state]] += size[state]
+        place, free = [0] * n, [1] * n
+        for state in range(1, n):
+            place[state] = free[parent[state]]
+            free[parent[state]] += size[state]
+            free[state] = place[state] + 1
+        self.behind = {token: place[state] for token, state in behind.items()}
+        self.states = n
+        label = np.repeat(np.fromiter(without, np.int64, len(without)), [len(states) for states in without.values()])
+        states = np.fromiter((state for some in without.values() for state in some), np.int64, len(label))
+        first = label * n + np.array(place, np.int64)[states]
+        order = np.argsort(first, kind="stable")
+        first = first[order]
+        last = (first + np.array(size, np.int64)[states[order]]) - 1
+        outermost = np.ones(len(first), bool)
+        outermost[1:] = last[1:] > np.maximum.accumulate(last)[:-1]
+        self.lost_from = array("q", first[outermost].tobytes())
+        self.lost_to = array("q", last[outermost].tobytes())
 
     def _trie(self) -> None:
         self.children: list[dict[int, int]] = [{}]
         self.accepts = [-1]
+        self.longest = max((len(self.labels[token]) for token in self.behind), default=0)
         special = set(self.specials.values())
         for token in self.behind:
             if token in special:
@@ -107,63 +133,47 @@ class Automaton:
             self.accepts[node] = token
 
     def reads(self, state: int, token: int) -> bool:
-        """Whether the state has the arc: no first part of the token had been taken away when the next longer one was made."""
-        key = state << 32 | token
-        known = self.transitions.get(key)
-        if known is None:
-            until: dict[int, float] = {token: float("inf")}
-            part = token
-            while part in self.left:
-                part, made = self.left[part]
-                until[part] = made
-            known, at = True, state
-            while at > 0:
-                limit = until.get(self.taken[at])
-                if limit is not None and self.time[at] <= limit:  # equal: a merge (u, u) after u alone
-                    known = False
-                    break
-                at = self.parent[at]
-            if len(self.transitions) >= KEPT_TRANSITIONS:
-                self.transitions.clear()
-            self.transitions[key] = known
-        return known
+        """Whether the state has the arc, by the table."""
+        cell = token * self.states + state
+        at = bisect_right(self.lost_from, cell)
+        return at == 0 or self.lost_to[at - 1] < cell
 
     def word(self, word: bytes) -> tuple[int, ...]:
         """The labels on the only path that spells the word.
 
-        Arcs are tried longest first. A place is reached by one path only, so a
-        place that led nowhere is never tried again.
+        Each beginning of the word has one path too, so a place is entered by one arc
+        at most. Places wait in `open_places`, the latest first; each is left once, by
+        all its arcs, until the word's end is entered.
         """
         n = len(word)
-        children, accepts, behind, reads = self.children, self.accepts, self.behind, self.reads
-        path: list[int] = []
-        open_arcs: list[list[tuple[int, int]]] = []
-        tried = bytearray(n + 1)
-        at, state = 0, 0
-        while at < n:
-            node, j, arcs = 0, at, []
-            while j < n:
-                node = children[node].get(word[j], -1)
-                if node < 0:
+        children, accepts, behind, states, longest = self.children, self.accepts, self.behind, self.states, self.longest
+        lost_from, lost_to = self.lost_from, self.lost_to
+        entered = [-1] * (n + 1)
+        open_places = [0]
+        while entered[n] < 0 < n:
+            j = at = open_places.pop()
+            state = behind[entered[at]] if at else 0
+            arcs = children[0]
+            for b in word[at:at + longest]:
+                node = arcs.get(b)
+                if node is None:
                     break
                 j += 1
+                arcs = children[node]
                 token = accepts[node]
-                if token >= 0:
-                    arcs.append((j, token))
-            open_arcs.append(arcs)
-            while True:
-                while not arcs:
-                    open_arcs.pop()
-                    arcs = open_arcs[-1]
-                    path.pop()
-                    state = behind[path[-1]] if path else 0
-                j, token = arcs.pop()
-                if not tried[j] and (state == 0 or reads(state, token)):
-                    break
-            tried[j] = 1
-            path.append(token)
-            at, state = j, behind[token]
-        return tuple(path)
+                if token >= 0 and entered[j] < 0:
+                    if state:
+                        cell = token * states + state
+                        i = bisect_right(lost_from, cell)
+                        if i and lost_to[i - 1] >= cell:
+                            continue
+                    entered[j] = token
+                    open_places.append(j)
+        path = []
+        while n:
+            path.append(entered[n])
+            n -= len(self.emitted[entered[n]])
+        return tuple(reversed(path))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []

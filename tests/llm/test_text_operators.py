@@ -1,6 +1,7 @@
 """BPE, MinHash, suffix, decontamination: against brute force and the tokenizers library."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -48,6 +49,36 @@ def test_automaton_refuses_merges_out_of_order():
         bpe.Automaton('{"model": {"vocab": {"a": 0, "b": 1, "abb": 2, "ab": 3}, "merges": ["ab b", "a b"]}}')
 
 
+def test_every_cell_of_the_table_by_the_merges():
+    def merged(symbols, merges):
+        for u, v in merges:
+            out = []
+            for x in symbols:
+                if out and (out[-1], x) == (u, v):
+                    out[-1] = u + v
+                else:
+                    out.append(x)
+            symbols = out
+        return symbols
+
+    rng = random.Random(11)
+    for _ in range(40):
+        tokens, merges = list("abc"), []
+        while len(merges) < 25:
+            u, v = rng.choice(tokens), rng.choice(tokens)
+            if u + v not in tokens and merged(list(u + v), merges) == [u, v]:
+                tokens.append(u + v)
+                merges.append((u, v))
+        content = json.dumps({"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [f"{u} {v}" for u, v in merges]}})
+        a = bpe.Automaton(content)
+        for i, u in enumerate(tokens):
+            for j, v in enumerate(tokens):
+                assert a.reads(a.behind[i], j) == (merged(list(u + v), merges) == [u, v]), (merges, u, v)
+        for _ in range(50):
+            word = "".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))
+            assert [tokens[i] for i in a.word(word.encode())] == merged(list(word), merges), (merges, word)
+
+
 def test_round_trip_handles_odd_rows(spark, vocabulary):
     docs = spark.createDataFrame([(1, None, "x"), (None, "hé llo", "x"), (1, "", "x"), (1, "", "x"), (2, "w" * 200_000, "x")], "doc_id long, text string, ids string")
     got = bpe.round_trip(docs, vocabulary).collect()
