@@ -252,7 +252,7 @@ def flows(entries: DataFrame, comps: DataFrame, layers: DataFrame, edges: DataFr
     first search, the cap hides no component that a shorter path reaches.
     """
     joined = comps.join(layers, "node", "left")
-    lead = F.coalesce(F.min(F.when(F.col("layer") > 0, F.col("layer"))), F.max_by(F.coalesce("layer", F.lit(-1)), -F.col("node")))
+    lead = F.coalesce(F.min(F.when(F.col("layer") > 0, F.col("layer"))), F.min_by(F.coalesce("layer", F.lit(-1)), "node"))
     layer = cut(joined.groupBy("comp").agg(lead.alias("layer")), "flows")
     dag = cut(condensation(comps, edges).select(F.col("from_comp").alias("s"), F.col("to_comp").alias("t")), "flows")
     start = entries.join(comps, "node").select(F.col("node").alias("root"), F.col("comp").alias("node"))
