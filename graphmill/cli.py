@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphmill.operators import report
 from graphmill.plans.workspace import Workspace
+from graphmill.sources import readers
 
 COMMANDS = ("analyze", "check", "layer-violations", "impact", "risk", "seams", "flows", "dead-code", "coupling")
 
@@ -42,9 +43,7 @@ def tables(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     if a.command == "impact":
         return {"impact": w.impact(a.symbol, a.file).orderBy("hop", "node")}
     if a.command == "risk":
-        with open(a.diff, encoding="utf-8") as f:
-            lines = [(a.diff, i, line.rstrip("\n")) for i, line in enumerate(f)]
-        return {"risk": w.risk(spark.createDataFrame(lines, "diff string, line_no long, line string"))}
+        return {"risk": w.risk(readers.diff_lines(spark, a.diff))}
     if a.command == "coupling":
         return {"coupling": w.coupling.where(F.col("support") >= a.min_support).orderBy(F.desc("support"), "file_a", "file_b")}
     if a.command == "dead-code":

@@ -35,7 +35,9 @@ def signal(df: DataFrame, id: str, family: str, kind: str, basis: str = "fullWor
 
 
 def summary(signals: Mapping[str, DataFrame]) -> DataFrame:
-    """All signals by name; a name can't come twice."""
+    """All signals by name; a name can't come twice, nor be empty."""
+    if "" in signals:
+        raise ValueError("a signal needs a name")
     out = None
     for df in signals.values():
         out = df if out is None else out.unionByName(df)
@@ -80,11 +82,12 @@ def sanitize_paths(text: Column, root: str) -> Column:
     return F.replace(F.replace(text, F.lit(bare + "/"), F.lit("")), F.lit(bare), F.lit("")) if bare else text
 
 
-def _top(df: DataFrame, top: int) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(top).collect()]
+def _top(df: DataFrame, top: int | None) -> list[dict]:
+    return [r.asDict(recursive=True) for r in (df if top is None else df.limit(top)).toLocalIterator()]
 
 
-def render_json(bundle: Mapping[str, DataFrame], top: int = 25) -> str:
+def render_json(bundle: Mapping[str, DataFrame], top: int | None = 25) -> str:
+    """The first rows of each table; None: all of them."""
     return json.dumps({name: _top(df, top) for name, df in bundle.items()}, default=str, ensure_ascii=False, indent=1)
 
 

@@ -5,6 +5,8 @@ files (path, content) is all it takes; a commit log and a diff are optional.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,13 +133,20 @@ class Workspace:
             return self.spark.createDataFrame([], "path string, commits long, last_changed timestamp, lines long, complexity long, risk long")
         return history.temporal(self.commits, self.counts.select(F.col("node").alias("path"), "lines"), self.as_of)
 
-    def impact(self, symbol: str, file: str | None = None) -> DataFrame:
-        """root, node, hop of the callers of a symbol, direct and transitive."""
+    def file_blast(self, file: str) -> DataFrame:
+        """root, node, hop of the files that import a file, directly or through others."""
+        return graph.dependents(self.edges.distinct(), self.nodes.where(F.col("node") == file))
+
+    def origin(self, symbol: str, file: str | None = None) -> DataFrame:
+        """node: the first symbol of that name, in that file."""
         own = self.symbols.where(F.col("name") == symbol)
         if file is not None:
             own = own.where((F.col("file") == file) | F.col("file").endswith("/" + file))
-        origin = own.orderBy("file", "line_start").limit(1).select(F.concat_ws(":", "file", "name").alias("node"))
-        return graph.dependents(self.keyed_symbol_edges.select(F.col("source").alias("s"), F.col("target").alias("t")), origin)
+        return own.orderBy("file", "line_start").limit(1).select(F.concat_ws(":", "file", "name").alias("node"))
+
+    def impact(self, symbol: str, file: str | None = None) -> DataFrame:
+        """root, node, hop of the callers of a symbol, direct and transitive."""
+        return graph.dependents(self.keyed_symbol_edges.select(F.col("source").alias("s"), F.col("target").alias("t")), self.origin(symbol, file))
 
     def risk(self, diff: DataFrame) -> DataFrame:
         hunks = risk.parse_diff(diff)
@@ -149,12 +158,68 @@ class Workspace:
         one = n(self.violations, "violations").join(n(self.dead_code, "dead_code")).join(graph.max_blast(self.keyed_symbol_edges))
         return one.join(risk.gate_check("violations", "dead_code", "max_blast", one, most_violations, most_dead, most_blast))
 
+    @cached_property
+    def entry_points(self) -> DataFrame:
+        return cut(entries.entry_points(self.files), "entry-points")
+
+    def signals(self, top: int = 5) -> DataFrame:
+        """id, family, kind, basis, data: what steers a first look, risks where there is a history, and how complete it is."""
+        steering = self.classified.select(F.col("path").alias("node"), "category")
+        counts = cut(self.counts, "counts")
+        reached = graph.dependent_counts(self.nodes, self.components, self.edges)
+        count = lambda df: df.agg(F.count(F.lit(1)).alias("count"))
+        found = [
+            ("hot-files", "architecture", "fact", report.steering(metrics.hot_files(counts), steering).orderBy("rank").limit(top).select(F.col("node").alias("file"), F.col("fan_in").alias("value"))),
+            ("instability", "architecture", "derived", metrics.rank_instability(report.steering(counts, steering), top)),
+            ("propagation-reach", "architecture", "derived", report.steering(reached.where("dependents > 0"), steering).orderBy(F.desc("dependents"), "node").limit(top)),
+            ("layer-violations", "architecture", "fact", count(self.violations)),
+            ("circular-dependencies", "architecture", "fact", self.cycles.agg(F.count_distinct("cycle").alias("count"))),
+            ("analysis-completeness", "confidence", "fact", report.completeness(self.files, self.nodes, self.edges)),
+        ]
+        if self.commits is not None:
+            by_path = steering.withColumnRenamed("node", "path")
+            kept = report.steering(self.commits, by_path, "path")
+            fan_in = counts.select(F.col("node").alias("path"), "fan_in")
+            found += [
+                ("temporal-hotspots", "risk", "fact", history.rank_hotspots(report.steering(self.temporal, by_path, "path"), top).select(F.col("path").alias("file"), F.col("risk").alias("value"))),
+                ("ownership-concentration", "risk", "derived", history.rank_ownership(history.ownership(kept), top=top)),
+                ("dangerous-hotspots", "risk", "derived", history.rank_dangerous(history.churn(kept), fan_in, self.as_of, top)),
+            ]
+        return report.summary({id: report.signal(df, id, family, kind) for id, family, kind, df in found})
+
+    def summary_payload(self, top: int = 5) -> dict:
+        """A first orientation: language, frameworks, roots by surface, counts, and signals by family. Lists are cut at `top`."""
+        runtime, tooling = entries.by_surface(self.entry_points)
+        named = lambda df: [r["file"] for r in df.orderBy("rank").limit(top).collect()]
+        counts = cut(self.counts, "counts")
+        families: dict[str, list] = {"architecture": [], "risk": [], "confidence": []}
+        for r in self.signals(top).collect():
+            families[r["family"]].append({"id": r["id"], "kind": r["kind"], "basis": r["basis"], "data": json.loads(r["data"])})
+        return {
+            "language": classify.primary_language(self.files).first()["language"],
+            "frameworks": [r.asDict() for r in entries.frameworks(self.files).limit(top).collect()],
+            "runtime_roots": named(runtime),
+            "launch_surfaces": named(tooling),
+            "files": self.nodes.count(),
+            "orphans": metrics.orphans(counts).count(),
+            "hot_files_coverage": metrics.hot_files_coverage(metrics.hot_files(counts), counts).first()["coverage"],
+            **families,
+        }
+
+    def publish(self, tiers: Iterable[int] = (0, 1, 2, 4, 6)) -> Iterator[tuple[int, dict[str, DataFrame]]]:
+        """(tier, tables) in turn, each with the tables that the tiers before it don't have: a reader sees the first while the next isn't planned."""
+        seen: set[str] = set()
+        for tier in tiers:
+            new = {name: df for name, df in self.bundle(tier).items() if name not in seen}
+            seen |= new.keys()
+            yield tier, new
+
     def bundle(self, tier: int = 2) -> dict[str, DataFrame]:
         """Tables of a tier and those below: 0 files, 1 the file graph, 2 symbols, flows and coupling, 4 schemas, 6 history."""
         out = {"frameworks": entries.frameworks(self.files), "language": classify.primary_language(self.files)}
         if tier >= 1:
             out |= {
-                "entry_points": entries.entry_points(self.files), "categories": classify.classification_summary(self.classified), "hot_files": metrics.hot_files(self.counts),
+                "entry_points": self.entry_points, "categories": classify.classification_summary(self.classified), "hot_files": metrics.hot_files(self.counts),
                 "unstable": metrics.rank_instability(self.counts), "cycles": self.cycles, "layer_violations": self.violations,
                 "completeness": report.completeness(self.files, self.nodes, self.edges),
             }

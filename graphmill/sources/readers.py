@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
 import subprocess
+import uuid
+from collections.abc import Mapping
+from contextlib import closing
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType, StructField, StructType
 
 from graphmill.functions.columns import basename, extension, slashes
 from graphmill.operators.classify import chain
@@ -157,6 +164,17 @@ def scan_git_diff(spark: SparkSession, repository: str, base: str = "HEAD") -> D
     return git_lines(spark, repository, "diff", "--unified=0", base).withColumnRenamed("log", "diff")
 
 
+def diff_lines(spark: SparkSession, path: str) -> DataFrame:
+    """diff, line_no, line of one diff file beside the driver."""
+    with open(path, encoding="utf-8", errors="replace") as f:
+        lines = [(path, i, line.rstrip("\n")) for i, line in enumerate(f)]
+    return spark.createDataFrame(lines, "diff string, line_no long, line string")
+
+
+def is_repository(path: str) -> bool:
+    return subprocess.run(["git", "-C", path, "rev-parse", "HEAD"], capture_output=True).returncode == 0
+
+
 def sister_repositories(spark: SparkSession, listing: DataFrame) -> DataFrame:
     """name, path, kind of folders in a listing (folder, file): npm, go or python by their manifests."""
     kinds = F.when(F.col("file") == "package.json", 1).when(F.col("file") == "go.mod", 2).when(F.col("file").isin("pyproject.toml", "setup.py", "requirements.txt"), 3)
@@ -169,6 +187,46 @@ def scan_tours(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, query string, created_at string, steps array<struct<title:string,files:array<string>>>").option("mode", "DROPMALFORMED").option("multiLine", True).json(path).orderBy(F.desc("created_at"), "id")
 
 
+def scan_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """A table of an SQLite file beside the driver, with the columns of the schema by name; missing ones are null, a missing table is empty.
+
+    One repository's store, read whole; larger stores come as Parquet.
+    """
+    wanted = StructType.fromDDL(schema)
+    with closing(sqlite3.connect(f"file:{quote(os.path.abspath(path))}?mode=ro", uri=True)) as db:
+        known = {r[1] for r in db.execute("SELECT * FROM pragma_table_info(?)", (table,))}
+        if not known:
+            return spark.createDataFrame([], wanted)
+        quoted = lambda name: '"' + name.replace('"', '""') + '"'
+        columns = ", ".join(quoted(f.name) if f.name in known else "NULL" for f in wanted.fields)
+        return spark.createDataFrame(db.execute(f"SELECT {columns} FROM {quoted(table)}").fetchall(), wanted)
+
+
+def sink_sqlite(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Tables as an SQLite file beside the driver, row by row as they come; the file appears whole.
+
+    For bundles that one repository's tools read; columns that aren't numbers or
+    texts become JSON. Large tables go to sink_cache instead.
+    """
+    fresh = f"{path}.{uuid.uuid4().hex[:8]}"
+    try:
+        with closing(sqlite3.connect(fresh)) as db, db:
+            for name, df in tables.items():
+                quoted = lambda n: '"' + n.replace('"', '""') + '"'
+                plain = df.select(*(F.col(f.name) if isinstance(f.dataType, (NumericType, StringType, BooleanType)) else _as_text(f).alias(f.name) for f in df.schema.fields))
+                db.execute(f"CREATE TABLE {quoted(name)} ({', '.join(map(quoted, df.columns))})")
+                db.executemany(f"INSERT INTO {quoted(name)} VALUES ({', '.join('?' * len(df.columns))})", (tuple(r) for r in plain.toLocalIterator()))
+        os.replace(fresh, path)
+    finally:
+        if os.path.exists(fresh):
+            os.remove(fresh)
+
+
+def _as_text(field: StructField) -> Column:
+    nested = isinstance(field.dataType, (ArrayType, MapType, StructType))
+    return F.to_json(field.name) if nested else F.col(field.name).cast("string")
+
+
 def sink_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -108,3 +109,54 @@ def ndjson_steps(lines: DataFrame, known: DataFrame) -> DataFrame:
     parsed = lines.select("*", F.from_json("value", "order int, title string, files array<string>").alias("r")).where("r is not null and r.title is not null")
     files = parsed.select(F.col("r.order").alias("ord"), F.col("r.title").alias("title"), F.explode("r.files").alias("file"))
     return files.join(known.select("file"), "file", "left_semi")
+
+
+class LineState(StatefulProcessor):
+    """What follows a source's last line break waits for the next chunk."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rest = handle.getValueState("rest", "rest string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        chunks = pd.concat(list(rows)).sort_values("seq")
+        held = self.rest.get()[0] if self.rest.exists() else ""
+        *lines, rest = (held + "".join(chunks["chunk"].fillna(""))).split("\n")
+        if chunks["last"].fillna(False).astype(bool).any():
+            lines, rest = [*lines, rest], ""
+        self.rest.update((rest,))
+        lines = [line for line in lines if line.strip()]
+        yield pd.DataFrame({"source": [key[0]] * len(lines), "value": lines})
+
+    def close(self) -> None:
+        pass
+
+
+def whole_lines(chunks: DataFrame) -> DataFrame:
+    """source, value of a stream of text chunks (source, seq, chunk, last): each line once its break has come, the last one with `last`.
+
+    A source's chunks must come in batches in the order of seq; blank lines and null chunks are passed over.
+    """
+    return chunks.select("source", "seq", "chunk", "last").groupBy("source").transformWithStateInPandas(
+        statefulProcessor=LineState(), outputStructType="source string, value string", outputMode="Append", timeMode="None"
+    )
+
+
+def graph_then_steps(graph: DataFrame, steps: DataFrame, emit: Callable[[str, DataFrame | None], None], fallback: DataFrame | None = None, seconds: int | None = None) -> None:
+    """emit("graph", graph) at once, emit("step", rows) for each batch of the stream, emit("end", None) last.
+
+    All input that is there is taken, for at most so many seconds. If the stream
+    fails, the fallback's steps come in its place; without a fallback the error goes on.
+    """
+    emit("graph", graph)
+    query = None
+    try:
+        query = steps.writeStream.outputMode("append").foreachBatch(lambda batch, _: emit("step", batch)).trigger(availableNow=True).start()
+        query.awaitTermination(seconds)
+    except StreamingQueryException:
+        if fallback is None:
+            raise
+        emit("step", fallback)
+    finally:
+        if query is not None:
+            query.stop()
+    emit("end", None)

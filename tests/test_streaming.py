@@ -45,3 +45,32 @@ def test_token_names_and_steps(spark):
     assert tuple(telemetry.with_token_aliases(usage).first()) == (5, 5, 7, 7, 12)
     lines = spark.createDataFrame([('{"order": 1, "title": "A", "files": ["a", "b"]}',), ("broken",), ("{}",)], "value string")
     assert rows(telemetry.ndjson_steps(lines, spark.createDataFrame([("a",)], "file string"))) == [("a", 1, "A")]
+
+
+CHUNKS = [("a", 0, '{"order": 1, "ti', False), ("a", 1, 'tle": "A", "files": ["x"]}\n\nbro', False), ("b", 0, "one\ntwo", False), ("a", 2, "ken\n", False), ("a", 3, '{"order": 2, "title": "B", "files": ["y"]}', True)]
+
+
+def test_lines_come_once_they_are_whole(spark, tmp_path):
+    schema = "source string, seq long, chunk string, last boolean"
+    for i, part in enumerate((CHUNKS[:3], CHUNKS[3:4], CHUNKS[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    chunks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    lines = run(spark, telemetry.whole_lines(chunks), "lines", "append")
+    assert sorted((r.source, r.value) for r in lines.collect()) == [("a", "broken"), ("a", '{"order": 1, "title": "A", "files": ["x"]}'), ("a", CHUNKS[4][2]), ("b", "one")]
+    known = spark.createDataFrame([("x",), ("y",)], "file string")
+    assert rows(telemetry.ndjson_steps(lines, known).select("ord", "title", "file")) == rows(spark.createDataFrame([(1, "A", "x"), (2, "B", "y")], "ord int, title string, file string"))
+
+
+def test_the_graph_comes_before_the_steps(spark, tmp_path):
+    spark.createDataFrame([(1, "A"), (2, "B")], "ord int, title string").write.parquet(str(tmp_path / "steps"))
+    steps = spark.readStream.schema("ord int, title string").parquet(str(tmp_path / "steps"))
+    graph = spark.createDataFrame([("x", "y")], "s string, t string")
+    seen = []
+    emit = lambda kind, df: seen.append((kind, None if df is None else sorted(map(tuple, df.collect()))))
+    telemetry.graph_then_steps(graph, steps, emit, seconds=120)
+    assert seen == [("graph", [("x", "y")]), ("step", [(1, "A"), (2, "B")]), ("end", None)]
+    failing = steps.withColumn("ord", F.raise_error(F.lit("no")).cast("int"))
+    seen.clear()
+    fallback = spark.createDataFrame([(9, "Z")], "ord int, title string")
+    telemetry.graph_then_steps(graph, failing, emit, fallback, 120)
+    assert seen == [("graph", [("x", "y")]), ("step", [(9, "Z")]), ("end", None)]
