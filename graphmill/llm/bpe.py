@@ -13,8 +13,8 @@ subtree of it: an interval of its preorder. The transition table is compiled fro
 these intervals: for each label the sorted, disjoint intervals of the states that
 don't read it. Encoding is one pass over a word, along a byte trie of the labels and
 by look-ups in that table. Merges must be such as training gives them: each pair is
-how its own label is encoded by the merges before it. Words come from the byte-level pre-tokenisation pattern;
-decoding emits the labels of the arcs.
+how its own label is encoded by the merges before it. Words come from the byte-level
+pre-tokenisation pattern; decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
