@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, chat, decontaminate, embedding, minhash, quality, suffix, toxicity, urls, warc
+from graphmill.llm import bpe, chat, clustering, decontaminate, embedding, minhash, mixing, quality, spelling, suffix, toxicity, urls, warc
 from graphmill.llm.common import new_path
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -182,6 +182,83 @@ cut AS (
 SELECT doc_id, n AS n_bytes, CAST(removed AS BIGINT) AS n_removed, spans AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM cut
 """
 
+
+
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """A table expression for each assignment and each set of centroids."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('2:' || vec_id) AS h, q FROM kept ORDER BY h, q LIMIT {clusters}))""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT k, any_value(v.vec_id) AS vec_id, min([list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.c]) AS best, any_value(v.q) AS q
+  FROM kept v CROSS JOIN c{r} c GROUP BY k)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT best[2] AS c, i, sum(q[i]) AS s, count(*) AS n FROM a{r} CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(any_value(m.q), any_value(o.q)) AS q FROM c{r} o
+  LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM s{r} GROUP BY c) m ON m.c = o.c GROUP BY o.c)""")
+    return f"""WITH {", ".join(steps)}
+SELECT a.vec_id, CAST(best[2] AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance,
+  CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best[2]
+"""
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def _crc_table() -> str:
+    """The 256 steps of the CRC by its reflected polynomial, as an SQL list."""
+    step = lambda v: v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+    out = list(range(256))
+    for _ in range(8):
+        out = [step(v) for v in out]
+    return f"[{', '.join(map(str, out))}]::BIGINT[]"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+single AS (SELECT doc_id, run, count(*) AS n, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS h FROM runs GROUP BY ALL),
+coded AS (
+  SELECT run, n, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1]))) AS crc
+  FROM single, (SELECT {_crc_table()} AS t)),
+deleted AS (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, CAST(crc % length(run) AS INTEGER)) || substr(run, CAST(crc % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM coded),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM deleted WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+one_less AS (SELECT DISTINCT c.word AS a, w.word AS b FROM cuts c JOIN words w ON w.word = c.cut),
+near AS MATERIALIZED (
+  SELECT a, b FROM one_less UNION ALL SELECT b, a FROM one_less
+  UNION ALL SELECT x.word, y.word FROM cuts x JOIN cuts y ON x.cut = y.cut AND x.i = y.i AND length(x.word) = length(y.word) AND x.word <> y.word),
+best AS (
+  SELECT a, count(*) AS n_near, arg_min(b, (-n, b)) AS b, max(n) AS m FROM near JOIN words ON word = b GROUP BY a),
+judged AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN b END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM words LEFT JOIN best ON a = word),
+walk(word, last, step) AS (
+  SELECT word, form, 1 FROM judged WHERE form IS NOT NULL
+  UNION ALL SELECT w.word, j.form, step + 1 FROM walk w JOIN judged j ON j.word = w.last WHERE j.form IS NOT NULL),
+ends AS (SELECT word, arg_max(last, step) AS root FROM walk GROUP BY word)
+SELECT j.word, form, coalesce(root, j.word) AS root, n, n_near, form_n FROM judged j LEFT JOIN ends e ON e.word = j.word
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -193,6 +270,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix": op8_suffix,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_clustering": op11_clustering,
+    "op12_mixing": op12_mixing,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -202,4 +282,6 @@ ORACLES: dict[str, str] = {
     "op7_decontaminate": OP7_SQL,
     "op8_suffix": OP8_SQL,
     "op9_chat": OP9_SQL,
+    "op11_clustering": _op11_sql(),
+    "op13_spelling": OP13_SQL,
 }
