@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.operators.classify import chain
-
 # Fixed value: paths of test files.
 TEST_PATH = r"\.test\.[jt]sx?$|\.spec\.[jt]sx?$|(^|/)test/|(^|/)__tests__/"
 # Fixed value: the code of a declared but unused name.
@@ -130,74 +128,23 @@ def python_edges(files: DataFrame) -> DataFrame:
     return _each(files.where(F.col("path").rlike(r"\.pyi?$")), _python_edges, EDGE_SCHEMA)
 
 
-# Our own patterns of declarations, by extension; (kind, pattern with the name as its first group).
-DECLARATIONS = {
-    r"\.(ts|tsx|js|jsx|mjs|cjs)$": (
-        ("function", r"(?:async\s+)?function\s*\*?\s+([A-Za-z_$][\w$]*)"),
-        ("class", r"(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
-        ("interface", r"interface\s+([A-Za-z_$][\w$]*)"),
-        ("type_alias", r"type\s+([A-Za-z_$][\w$]*)\s*[=<]"),
-        ("enum", r"(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)"),
-        ("constant", r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*[:=]"),
-    ),
-    r"\.go$": (("function", r"func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*[\[(]"), ("interface", r"type\s+([A-Za-z_]\w*)\s+interface"), ("class", r"type\s+([A-Za-z_]\w*)\s+struct")),
-}
-
-
-# Our own list of words before a bracket that call nothing.
-NOT_CALLED = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "super", "constructor", "func", "range", "select", "go", "defer", "import", "require", "new", "async")
-
-
-def _declared_lines(files: DataFrame) -> DataFrame:
-    """file, n (from 1), line, name, kind, is_exported of JavaScript, TypeScript and Go files; name is null where nothing is declared at the top."""
-    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("content", r"\r?\n")).alias("n", "line"))
-    out = None
-    for paths, kinds in DECLARATIONS.items():
-        lead = r"^(export\s+(?:default\s+)?)?" if "go" not in paths else r"^()"
-        fits = [(F.col("line").rlike(lead + p), lead + p, k) for k, p in kinds]
-        kind = chain([(c, k) for c, _, k in fits])
-        name = F.lit(None).cast("string")
-        for c, p, _ in reversed(fits):
-            name = F.when(c, F.regexp_extract("line", p, 2)).otherwise(name)
-        exported = F.col("line").startswith("export") if "go" not in paths else name.rlike("^[A-Z]")
-        found = lines.where(F.col("file").rlike(paths)).select("file", (F.col("n") + 1).alias("n"), "line", name.alias("name"), kind.alias("kind"), exported.alias("is_exported"))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def declared_symbols(files: DataFrame) -> DataFrame:
-    """file, name, kind, line_start, line_end, is_exported of top-level declarations in JavaScript, TypeScript and Go, by line.
-
-    A declaration ends at its last line that isn't blank before the next one.
-    """
-    lines = _declared_lines(files)
-    rest = Window.partitionBy("file").orderBy("n")
-    numbered = lines.withColumn("block", F.count("name").over(rest)).where("block > 0")
-    ends = numbered.where(F.trim("line") != "").groupBy("file", "block").agg(F.max("n").alias("line_end"))
-    heads = numbered.where("name is not null").select("file", "block", "name", "kind", F.col("n").alias("line_start"), "is_exported")
-    return heads.join(ends, ["file", "block"]).select("file", "name", "kind", "line_start", "line_end", "is_exported")
-
-
-def declared_edges(files: DataFrame) -> DataFrame:
-    """Raw references of JavaScript, TypeScript and Go files, as python_edges(): calls, extends and implements, from the declaration they stand in.
-
-    Names before a bracket are calls, whatever they are called on; comments and
-    strings are not told apart.
-    """
-    inside = F.last("name", ignorenulls=True).over(Window.partitionBy("file").orderBy("n"))
-    lines = _declared_lines(files).withColumn("source", inside).where("source is not null")
-    own = lambda column, kind: lines.select("file", "source", F.explode(column).alias("target"), F.lit(kind).alias("edge_type"), F.col("n").alias("line"))
-    head = F.when(F.col("kind").isin("class", "interface"), F.col("line"))
-    base = F.regexp_extract(head, r"\bextends\s+([A-Za-z_$][\w$]*)", 1)
-    listed = F.transform(F.split(F.regexp_extract(head, r"\bimplements\s+([\w$,\s]+)", 1), ","), lambda x: F.trim(x))
-    called = F.regexp_extract_all("line", F.lit(r"([A-Za-z_$][\w$]*)\s*\("), 1)
-    every = own(called, "calls").unionByName(own(F.array(base), "extends")).unionByName(own(listed, "implements"))
-    return every.where((F.col("target") != "") & (F.col("target") != F.col("source")) & ~F.col("target").isin(*NOT_CALLED))
-
-
-def references(files: DataFrame) -> DataFrame:
-    """Raw references of all languages that have them."""
-    return python_edges(files).unionByName(declared_edges(files))
+def _python_imports(file: str, content: str) -> Iterator[tuple]:
+    try:
+        tree = ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError):
+        return
+    found = [node for node in ast.walk(tree) if isinstance(node, ast.Import | ast.ImportFrom)]
+    for n, node in enumerate(sorted(found, key=lambda node: (node.lineno, node.col_offset))):
+        whole = isinstance(node, ast.Import)
+        for alias in node.names:
+            module = alias.name if whole else "." * node.level + (node.module or "")
+            local = alias.asname or (alias.name.split(".")[0] if whole else alias.name)
+            yield file, n, node.lineno, module, "*" if whole else alias.name, local, ast.get_source_segment(content, node)
+
+
+def python_imports(files: DataFrame) -> DataFrame:
+    """source, ord, line, module, imported, local, raw: a row for each name that a Python file's imports bind; a whole module is `*`."""
+    return _each(files.where(F.col("path").rlike(r"\.pyi?$")), _python_imports, "source string, ord int, line int, module string, imported string, local string, raw string")
 
 
 def select_symbols(symbols: DataFrame, calls: DataFrame, most: int = 200) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphmill.operators import classify, entries, graph, metrics, report, risk, symbols, text, tours
+from graphmill.operators import classify, entries, graph, metrics, report, risk, symbols, syntax, text, tours
 from graphmill.plans import relations as rel
 from graphmill.plans.registry import BM25_SQL, CLASSIFIED_SQL, COUNTED, EDGES, INDEX_SQL, SCC_SQL, SELECTED_SQL, chunked, classified, comps, counts, query, scored, selected, with_tables
 from graphmill.sources import readers
@@ -56,6 +56,11 @@ def _(spark, d):
     return resolved(spark, d).select("source", "target", "external")
 
 
+def references(files: DataFrame) -> DataFrame:
+    own = syntax.parsed(files)
+    return syntax.scoped_references(own, graph.cut(syntax.declarations(own)))
+
+
 DECLARED_SQL = "outs AS (SELECT f.node, f.path, (SELECT count(*) FROM edges WHERE s = f.node) AS n FROM files f)"
 
 
@@ -64,7 +69,7 @@ DECLARED_SQL = "outs AS (SELECT f.node, f.path, (SELECT count(*) FROM edges WHER
     with_tables(rel.FILES_SQL, EDGES, DECLARED_SQL) + "SELECT path AS file, 'f' || node AS name, 'function' AS kind, CAST(n + 2 AS INTEGER) AS line_start, CAST(2 * n + 3 AS INTEGER) AS line_end, true AS is_exported FROM outs",
 )
 def _(spark, d):
-    return symbols.declared_symbols(sources(spark, d))
+    return syntax.declared_symbols(sources(spark, d)).drop("parent")
 
 
 @query(
@@ -73,16 +78,89 @@ def _(spark, d):
     + "SELECT path AS file, 'f' || s AS source, 'f' || t AS target, 'calls' AS edge_type, CAST(n + 2 + row_number() OVER (PARTITION BY s ORDER BY t) AS INTEGER) AS line FROM edges JOIN outs ON node = s",
 )
 def _(spark, d):
-    return symbols.declared_edges(sources(spark, d))
+    return references(sources(spark, d)).drop("binding")
 
 
 @query("resolve_symbols", MODULES + "SELECT path AS file, 'f' || t AS name, target AS target_file FROM modules")
 def _(spark, d):
     own = graph.cut(sources(spark, d))
-    raw = symbols.declared_edges(own)
+    raw = references(own)
     refs = raw.select(F.xxhash64("file", "target").alias("ref"), "file", F.col("target").alias("name"))
     reachable = text.resolve_imports(text.imports_regex(own), own).where("target is not null").select(F.col("source").alias("file"), "target")
-    return symbols.resolve(refs, symbols.declared_symbols(own).select("name", "file"), reachable).select("file", "name", "target_file")
+    return symbols.resolve(refs, syntax.declared_symbols(own).select("name", "file"), reachable).select("file", "name", "target_file")
+
+
+# ---- the same relations under comments, strings, templates, nesting and shadowed names
+
+
+def tangled(spark: SparkSession, d: str) -> DataFrame:
+    """path, content: a class whose method calls what the file imports under other names, among much that only looks like it."""
+    head = F.array(F.format_string("/* import { f%d } from 'nope';\n   f%d() */ // import x from \"no\"", "node", "node"), F.format_string("import lib, * as all from 'lib%d/sub';", F.col("node") % 7))
+    word = F.when(F.col("type_only"), "import type").otherwise("import")
+    stmt = F.format_string("%s {\n  f%d as g%d, // f0()\n  type T%d,\n} from '%s'", word, "t", "t", "t", "module")
+    call = F.format_string("    g%d(`f%d() ${all.deep(\"lib()\")} import('no')`, /f0()/.x);", "t", "t")
+    listed = modules(spark, d).groupBy(F.col("s").alias("node")).agg(F.array_sort(F.collect_list(F.struct("t", stmt.alias("stmt"), call.alias("call")))).alias("e"))
+    part = lambda name: F.coalesce(F.transform("e", lambda x: x[name]), F.array().cast("array<string>"))
+    begin = F.array(F.lit("const note = \"import { f1 } from 'quoted'; f1()\";"), F.format_string("export class C%d extends Base<{ a: number }> {", "node"), F.lit("  async run(q: () => void, lib): Promise<{ ok: boolean }> {"), F.lit("    lib(); q()"))
+    end = F.array(F.lit("    function inner() { return 1 }"), F.lit("    return inner()"), F.lit("  }"), F.lit("}"), F.format_string("export const f%d = async (g) => {\n  g(); }", "node"), F.format_string("const lazy = () => import('./lazy%d');", "node"))
+    own = rel.files(spark, d).join(listed, "node", "left")
+    return own.select("path", F.array_join(F.concat(head, part("stmt"), begin, part("call"), end), "\n").alias("content"))
+
+
+#: Where an import and a call stand: four lines an import after three, four lines, then a line a call.
+TANGLED_SQL = """placed AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY s) AS m FROM modules),
+sized AS (SELECT f.node, f.path, (SELECT count(*) FROM modules WHERE s = f.node) AS m FROM files f)"""
+TANGLED = with_tables(rel.FILES_SQL, EDGES, MODULES_SQL, TANGLED_SQL)
+
+
+@query(
+    "imports_ast",
+    TANGLED
+    + """SELECT path AS source, module, CAST(4 + 4 * i AS INTEGER) AS line, false AS is_dynamic, type_only, (CASE WHEN type_only THEN 'import type' ELSE 'import' END) || ' {' || chr(10) || '  f' || t || ' as g' || t || ', // f0()' || chr(10) || '  type T' || t || ',' || chr(10) || '} from ' || chr(39) || module || chr(39) AS raw FROM placed
+UNION ALL SELECT path, 'lib' || (node % 7) || '/sub', 3, false, false, 'import lib, * as all from ' || chr(39) || 'lib' || (node % 7) || '/sub' || chr(39) || ';' FROM sized
+UNION ALL SELECT path, './lazy' || node, CAST(14 + 5 * m AS INTEGER), true, false, 'import(' || chr(39) || './lazy' || node || chr(39) || ')' FROM sized""",
+)
+def _(spark, d):
+    own = graph.cut(tangled(spark, d))
+    return syntax.import_statements(syntax.parsed(own), own).select("source", "module", "line", "is_dynamic", "type_only", "raw")
+
+
+@query(
+    "import_specifiers",
+    TANGLED
+    + """SELECT path AS source, unnest(['g' || t, 'T' || t]) AS local, unnest(['f' || t, 'T' || t]) AS imported, unnest([type_only, true]) AS type_only FROM placed
+UNION ALL SELECT path, unnest(['lib', 'all']), unnest(['default', '*']), false FROM sized""",
+)
+def _(spark, d):
+    return syntax.import_specifiers(syntax.parsed(tangled(spark, d))).drop("ord")
+
+
+@query(
+    "symbols_ast",
+    TANGLED
+    + """SELECT path AS file, unnest(['C' || node, 'run', 'inner', 'f' || node]) AS name, unnest(['class', 'method', 'function', 'function']) AS kind,
+  CAST(4 * m + unnest([5, 6, 8 + m, 12 + m]) AS INTEGER) AS line_start, CAST(4 * m + unnest([11 + m, 10 + m, 8 + m, 13 + m]) AS INTEGER) AS line_end,
+  unnest([true, false, false, true]) AS is_exported, unnest([NULL, 'C' || node, NULL, NULL]) AS parent FROM sized""",
+)
+def _(spark, d):
+    return syntax.declared_symbols(tangled(spark, d))
+
+
+@query(
+    "symbol_edges_ast",
+    TANGLED
+    + """SELECT path AS file, 'run' AS source, 'f' || t AS target, 'calls' AS edge_type, CAST(8 + 4 * m + i AS INTEGER) AS line, target AS target_file FROM placed
+UNION ALL SELECT path, 'run', 'inner', 'calls', CAST(9 + 5 * m AS INTEGER), path FROM sized""",
+)
+def _(spark, d):
+    own = graph.cut(tangled(spark, d))
+    tokens = syntax.parsed(own)
+    declared = graph.cut(syntax.declarations(tokens))
+    imports = graph.cut(text.resolve_imports(syntax.import_statements(tokens, own), own))
+    at = imports.groupBy("source", "ord").agg(F.min("target").alias("target_file"))
+    specifiers = syntax.import_specifiers(tokens).join(at, ["source", "ord"], "left").select(F.col("source").alias("file"), "local", "imported", "target_file")
+    reachable = imports.where("target is not null").select(F.col("source").alias("file"), "target")
+    return syntax.resolve(syntax.scoped_references(tokens, declared), syntax.symbols_of(declared), specifiers, reachable).where("target_file is not null")
 
 
 # ---- Python, Go, Java and Rust

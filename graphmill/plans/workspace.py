@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.lineage import cut
-from graphmill.operators import classify, entries, graph, history, metrics, report, risk, symbols, text
+from graphmill.operators import classify, entries, graph, history, metrics, report, risk, symbols, syntax, text
 from graphmill.sources import readers
 
 
@@ -39,10 +39,35 @@ class Workspace:
     def nodes(self) -> DataFrame:
         return self.files.select(F.col("path").alias("node")).distinct()
 
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """Tokens of the JavaScript, TypeScript and Go files."""
+        return syntax.parsed(self.files)
+
+    @cached_property
+    def declarations(self) -> DataFrame:
+        return cut(syntax.declarations(self.parsed), "declarations")
+
+    @cached_property
+    def python_imports(self) -> DataFrame:
+        return cut(symbols.python_imports(self.files), "python-imports")
+
     @cached_property
     def imports(self) -> DataFrame:
-        """source, target, module, external, ord, type_only."""
-        return cut(text.resolve_imports(text.imports_regex(self.files), self.files), "imports")
+        """source, target, module, external, ord, type_only: by syntax where a language has one here, else by pattern."""
+        columns = ["source", "language", "module", "ord", "type_only"]
+        lexed = syntax.import_statements(self.parsed, self.files).select(*columns)
+        python = self.python_imports.select("source", F.lit("python").alias("language"), "module", "ord", F.lit(False).alias("type_only")).distinct()
+        others = self.files.where(~F.col("path").rlike("|".join([*syntax.ENDINGS.values(), r"\.pyi?$"])))
+        every = lexed.unionByName(python).unionByName(text.imports_regex(others).select(*columns))
+        return cut(text.resolve_imports(every, self.files), "imports")
+
+    @cached_property
+    def specifiers(self) -> DataFrame:
+        """file, local, imported, type_only, target_file: names that imports bind; target_file is null outside of the repository."""
+        names = syntax.import_specifiers(self.parsed).unionByName(self.python_imports.select("source", "ord", "local", "imported", F.lit(False).alias("type_only")))
+        at = self.imports.groupBy("source", "ord").agg(F.min("target").alias("target_file"))
+        return names.join(at, ["source", "ord"], "left").select(F.col("source").alias("file"), "local", "imported", "type_only", "target_file")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -87,18 +112,16 @@ class Workspace:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        others = symbols.declared_symbols(self.files).select("file", "name", "kind", "line_start", "line_end", "is_exported", F.lit(None).cast("string").alias("parent"))
-        every = symbols.python_symbols(self.files).unionByName(others)
-        return cut(every.withColumn("is_entry_point", F.lit(False)), "symbols")
+        every = symbols.python_symbols(self.files).unionByName(syntax.symbols_of(self.declarations))
+        entry = self.entry_points.select("file", F.lit(True).alias("is_entry_point")).distinct()
+        return cut(every.join(entry, "file", "left").na.fill(False, ["is_entry_point"]), "symbols")
 
     @cached_property
     def symbol_edges(self) -> DataFrame:
         """source_file, source, target_file, target, edge_type, edge_ord."""
-        raw = cut(symbols.references(self.files), "references")
-        refs = raw.select(F.xxhash64("file", "target").alias("ref"), "file", F.col("target").alias("name")).distinct()
-        at = symbols.resolve(refs, self.symbols.select("name", "file"), self.edges.select(F.col("s").alias("file"), F.col("t").alias("target")))
-        joined = raw.join(at.select("file", F.col("name").alias("target"), "target_file"), ["file", "target"])
-        return cut(joined.where("target_file is not null").select(F.col("file").alias("source_file"), "source", "target_file", "target", "edge_type", F.col("line").alias("edge_ord")), "symbol-edges")
+        raw = symbols.python_edges(self.files).withColumn("binding", F.lit("free")).unionByName(syntax.scoped_references(self.parsed, self.declarations))
+        found = syntax.resolve(raw, self.symbols, self.specifiers, self.edges.select(F.col("s").alias("file"), F.col("t").alias("target")))
+        return cut(found.where("target_file is not null").select(F.col("file").alias("source_file"), "source", "target_file", "target", "edge_type", F.col("line").alias("edge_ord")), "symbol-edges")
 
     @cached_property
     def keyed_symbol_edges(self) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Classification, history, risk, symbols, text, tours, reports and sources on literal inputs."""
+"""Classification, history, risk, symbols, syntax, text, tours, reports and sources on literal inputs."""
 
 import subprocess
 
 from pyspark.sql import functions as F
 
 from graphmill.functions.columns import fold_dots, half_up, package_name
-from graphmill.operators import classify, entries, history, metrics, report, risk, symbols, text, tours
+from graphmill.operators import classify, entries, history, metrics, report, risk, symbols, syntax, text, tours
 from graphmill.sources import readers
 from tests.conftest import rows
 
@@ -122,7 +122,7 @@ def test_symbols_and_their_resolution(spark):
     files = frame(spark, [("a.py", source), ("b.py", "def helper(:"), ("c.ts", "export class Foo {\nfunction bar() {}\nexport const X = 1"), ("d.go", "func (r *T) Run() {\ntype T struct {")], "path string, content string")
     assert {(r.name, r.kind, r.line_start, r.parent) for r in symbols.python_symbols(files).collect()} == {("LIMIT", "constant", 1, None), ("A", "class", 2, None), ("m", "method", 3, "A"), ("helper", "function", 6, None)}
     assert {(r.source, r.target, r.edge_type) for r in symbols.python_edges(files).collect()} == {("A", "Base", "extends"), ("m", "helper", "calls")}
-    assert {(r.name, r.kind, r.is_exported) for r in symbols.declared_symbols(files).collect()} == {("Foo", "class", True), ("bar", "function", False), ("X", "constant", True), ("Run", "function", True), ("T", "class", True)}
+    assert {(r.name, r.kind, r.is_exported) for r in syntax.declared_symbols(files).collect()} == {("Foo", "class", True), ("bar", "function", False), ("X", "constant", True), ("Run", "method", True), ("T", "class", True)}
     refs = frame(spark, [(1, "a", "f"), (2, "a", "g"), (3, "a", "none")], "ref int, file string, name string")
     known = frame(spark, [("f", "b"), ("f", "c"), ("g", "a"), ("g", "z")], "name string, file string")
     got = symbols.resolve(refs, known, frame(spark, [("a", "c")], "file string, target string"))
