@@ -289,7 +289,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     spark = docs.sparkSession
     small_batches(spark)
     sample = F.broadcast(labelled_sample(labels, label, folds, fold, most_rows))  # at most 2 * most_rows rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(sample, "doc_id").dropDuplicates(["text"]).persist()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(sample, "doc_id")
+    # a repeated id counts once, by its smallest text; equal texts once, by their smallest id and its label
+    single = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    rows = single.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("first")).select("first.doc_id", "text", "first.label").persist()
     try:
         model = Model(*lexicon(rows))
         shared = spark.sparkContext.broadcast(model)
@@ -336,7 +339,8 @@ def score_column(docs: DataFrame, model: Model, text: Column) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 5, fold: int = 0, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs (doc_id, text), repeated rows too.
 
-    Only labels outside the held-out fold are learnt. A null doc_id is never held
+    Only labels outside the held-out fold are learnt; of equal texts the smallest doc_id's
+    label, of rows that repeat a doc_id the smallest text. A null doc_id is never held
     out; a null or empty text scores 0; without toxic labels all texts score 0.
     Other columns are ignored.
     """

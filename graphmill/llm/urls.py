@@ -1,10 +1,11 @@
 """URL filtering by rules and by a tree of path templates.
 
 Each host has a tree of path segments. Numbers, dates and hexadecimal ids become
-wildcards by their form; level by level, to the deepest path, children whose labels
-don't differ from their node's by more than chance are merged; a node with too many
-children keeps those that differ so much that not one of as many would by chance, and
-gets one wildcard child for the rest. A template is rejected if the smoothed share of good
+wildcards by their form; level by level, to the deepest path, a node keeps the children
+whose labels differ from its own by more than chance explains, and gets one wildcard
+child for the rest. The test is the same for nodes of any width: of the children kept,
+surest first, chance leaves at most a fifth unexplained on either side (Benjamini and
+Hochberg, over Chernoff's bound of each). A template is rejected if the smoothed share of good
 labels below it is under the threshold. Rules of host and path come before.
 
 The tree is made of aggregated templates, never of rows: a host with a third of
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.llm.common import table
@@ -69,7 +70,13 @@ def surprise(good: Column, labelled: Column, rate: Column) -> Column:
     return F.when(labelled > 0, labelled * (part(share, rate) + part(1 - share, 1 - rate))).otherwise(0.0)
 
 
-def templates(counts: DataFrame, most_children: int, deviations: float) -> DataFrame:
+#: Levels of surprise to a natural logarithm, and the last that is told apart.
+STEPS, LAST = 4, 400
+#: A child weighs so many labels at most in its node's rate: one large branch doesn't make all others odd.
+MOST_WEIGHT = 16
+
+
+def templates(counts: DataFrame, by_chance: float) -> DataFrame:
     """host, form, template, labelled, good for counts (host, form array, labelled, good), one row per host and form."""
     tree, level = counts.withColumn("template", F.col("form")), 0
     done: list[DataFrame] = []
@@ -78,16 +85,19 @@ def templates(counts: DataFrame, most_children: int, deviations: float) -> DataF
         node = ["host", "before", "segment"]
         seen = tree.withColumn("before", F.slice("template", 1, level - 1)).withColumn("segment", F.get("template", F.lit(level - 1)))
         children = seen.where("segment is not null").groupBy(*node).agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+        weight = F.least(F.col("labelled"), F.lit(MOST_WEIGHT))
         parents = children.groupBy("host", "before").agg(
-            F.count(F.lit(1)).alias("children"), F.count_if(F.col("labelled") > 0).alias("judged"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good")
+            F.count(F.lit(1)).alias("children"), F.count_if(F.col("labelled") > 0).alias("judged"), F.sum(weight).alias("weight"), F.sum(F.when(F.col("labelled") > 0, weight * F.col("good") / F.col("labelled"))).alias("of_good")
         )
-        rate = (F.col("all_good") + 1) / (F.col("all_labelled") + 2)
-        far = F.abs(F.col("good") - F.col("labelled") * rate) > deviations * F.sqrt(F.col("labelled") * rate * (1 - rate))
-        # at most 0.05 such children are expected of all that have labels
-        sure = surprise(F.col("good"), F.col("labelled"), rate) > F.log(2 * F.col("judged") / 0.05)
-        crowded = F.col("children") > most_children
-        new = F.when(crowded & ~(far & sure), "*").when(~crowded & (F.col("children") > 1) & ~far, "~").otherwise(F.col("segment"))
-        renamed = children.join(parents, ["host", "before"]).select(*node, new.alias("renamed"))
+        rate = (F.coalesce("of_good", F.lit(0.0)) + 1) / (F.col("weight") + 2)
+        sure = F.least(F.floor(STEPS * surprise(F.col("good"), F.col("labelled"), rate)), F.lit(LAST))
+        judged = table(children.join(parents, ["host", "before"]).select(*node, "children", "judged", sure.alias("sure")), f"urls-children{level}")
+        # at most LAST rows of a node are ordered, however many children it has
+        sums = judged.groupBy("host", "before", "sure").agg(F.count(F.lit(1)).alias("n"), F.max("judged").alias("judged"))
+        surer = sums.withColumn("surer", F.sum("n").over(Window.partitionBy("host", "before").orderBy(F.desc("sure"))))
+        cuts = surer.where(F.col("judged") * F.exp(-F.col("sure") / STEPS) <= by_chance * F.col("surer")).groupBy("host", "before").agg(F.min("sure").alias("cut"))
+        kept = (F.col("children") == 1) | F.coalesce(F.col("sure") >= F.col("cut"), F.lit(False))
+        renamed = judged.join(cuts, ["host", "before"], "left").select(*node, F.when(kept, F.col("segment")).otherwise("*").alias("renamed"))
         moved = seen.join(renamed, node, "left")
         changed = F.concat(F.col("before"), F.array("renamed"), F.slice("template", level + 1, 1 << 30))
         moved = moved.select("host", "form", "labelled", "good", F.when(F.col("renamed").isNull(), F.col("template")).otherwise(changed).alias("template"))
@@ -106,8 +116,7 @@ def judge(
     rules: Sequence[tuple[str, str]],
     labelled: DataFrame,
     depth: int | None = None,
-    most_children: int = 16,
-    deviations: float = 1.96,
+    by_chance: float = 0.2,
     strength: float = 4.0,
     threshold: float = 0.5,
 ) -> DataFrame:
@@ -131,7 +140,7 @@ def judge(
         .groupBy("host", "form")
         .agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     )
-    tree = templates(table(forms, "urls-forms"), most_children, deviations)
+    tree = templates(table(forms, "urls-forms"), by_chance)
     whole = tree.agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good")).first()
     rate = whole["good"] / whole["labelled"] if whole["labelled"] else 1.0
     leaves = tree.groupBy("host", "template").agg(((F.sum("good") + strength * rate) / (F.sum("labelled") + strength)).alias("purity"))
