@@ -5,15 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written as Parquet and read again; the folder is spark.checkpoint.dir and goes when the application ends.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in spark.checkpoint.dir, in a folder that goes when the application ends.
 
     Where that is unset, a single machine gets a temporary folder, a cluster an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or spark.conf.get("graphmill.cuts", "")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -25,6 +24,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
         at = spark._jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
         spark.conf.set("graphmill.cuts.gone", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written as Parquet and read again, in scratch()."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.functions.columns import half_up
+from graphmill.operators import scan
 
 
 def parse_diff(lines: DataFrame) -> DataFrame:
     """file, start_line, end_line of the new side's hunks in lines (diff, line_no, line); deletions only give none.
 
-    A line belongs to the last file named above it in its diff; diffs are windows of
-    their own.
+    A line belongs to the last file named above it in its diff; a diff of any length is
+    scanned in ranges of lines.
     """
     named = F.when(F.col("line").startswith("diff --git"), F.nullif(F.trim(F.regexp_extract("line", r"b/(.+)$", 1)), F.lit(""))).when(F.col("line").startswith("+++ b/"), F.trim(F.substr("line", F.lit(7))))
-    seen = Window.partitionBy("diff").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    at = lines.withColumn("file", F.last(named, ignorenulls=True).over(seen)).where(F.col("line").startswith("@@") & F.col("line").rlike(r"\+\d+") & (F.col("file") != ""))
+    at = scan.running(lines, ["diff"], ["line_no"], lasts={"file": named}).where(F.col("line").startswith("@@") & F.col("line").rlike(r"\+\d+") & (F.col("file") != ""))
     start = F.regexp_extract("line", r"\+(\d+)", 1).cast("long")
     count = F.regexp_extract("line", r"\+\d+,(\d+)", 1)
     length = F.when(count == "", F.lit(1)).otherwise(F.try_to_number(count, F.lit("999999999"))).cast("long")

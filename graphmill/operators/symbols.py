@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.sources import versions
+
 # Fixed value: paths of test files.
 TEST_PATH = r"\.test\.[jt]sx?$|\.spec\.[jt]sx?$|(^|/)test/|(^|/)__tests__/"
 # Fixed value: the code of a declared but unused name.
@@ -64,6 +66,26 @@ def merge_enrichment(base: DataFrame, enriched: DataFrame) -> DataFrame:
     )
 
 
+def by_content(files: DataFrame, extract: Callable[[DataFrame], DataFrame], root: str) -> tuple[DataFrame, int]:
+    """(what extract gives for files (path, content), how many contents it was asked for): each content once, ever.
+
+    extract sees files whose path is a digest and the ending, and gives rows with a column
+    file; what it gave is kept at root by that digest. Copies share it, files that didn't
+    change are looked up. Null contents give nothing.
+    """
+    ending = F.regexp_extract("path", r"(\.[^./]+)$", 1)
+    keyed = files.select("path", "content", F.sha2(F.concat(ending, F.lit("\n"), F.col("content")), 256).alias("hash"))
+    named = F.concat("hash", ending)
+
+    def compute(unseen: DataFrame) -> DataFrame:
+        found = extract(unseen.select(named.alias("path"), "content"))
+        each = found.groupBy("file").agg(F.collect_list(F.struct(*(c for c in found.columns if c != "file"))).alias("found"))
+        return unseen.select("hash", named.alias("file")).join(each, "file", "left").select("hash", "found")
+
+    out, asked = versions.memoized(keyed, root, "hash", compute)
+    return out.select(F.col("path").alias("file"), F.inline("found")), asked
+
+
 SYMBOL_SCHEMA = "file string, name string, kind string, line_start int, line_end int, is_exported boolean, parent string"
 EDGE_SCHEMA = "file string, source string, target string, edge_type string, line int"
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphmill.operators import classify, entries, graph, metrics, report, risk, symbols, syntax, text, tours
+from graphmill.operators import classify, entries, graph, metrics, report, risk, scan, symbols, syntax, text, tours
 from graphmill.plans import relations as rel
 from graphmill.plans.registry import BM25_SQL, CLASSIFIED_SQL, COUNTED, EDGES, INDEX_SQL, SCC_SQL, SELECTED_SQL, chunked, classified, comps, counts, query, scored, selected, with_tables
 from graphmill.sources import readers
@@ -498,6 +498,6 @@ def _(spark, d):
     name = F.concat(F.col("id").cast("string"), F.lit("::__file__")).alias("id")
     found = scored(spark, d).select("q", name, "rank")
     some = rel.read(spark, d, "documents").where("source = 'src1'").select(F.col("doc_id").alias("id"))
-    near = some.select(name, (F.row_number().over(Window.orderBy("id")) - 1).alias("rank"))
+    near = scan.ranked(some, ["id"]).select(name, (F.col("rank") - 1).alias("rank"))
     none = spark.createDataFrame([], "file string, name string, line_start int, line_end int")
     return text.retrieve(found, near, text.chunks(chunked(spark, d), none), 24_000).select("q", F.sha2("context", 256).alias("context"))

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions.columns import package_name, token_estimate
+from graphmill.lineage import scratch
 from graphmill.operators import classify, graph, history, metrics, report, risk, symbols, text, tours
 from graphmill.plans import relations as rel
-from graphmill.sources import readers
+from graphmill.sources import readers, versions
 from graphmill.streaming import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1077,8 +1078,26 @@ def _(spark, d):
 
 @query("incremental_temporal", "SELECT user_id, count(*) AS commits, max(ts) AS last_changed FROM events GROUP BY user_id")
 def _(spark, d):
-    """The batch twin; tests hold the stream's last updates against it."""
-    return telemetry.churn_of(rel.read(spark, d, "events")).withColumn("last_changed", F.col("last_changed").cast("timestamp_ntz"))
+    """A stream over half of the events, ended and started again after the other half has come; the table it was folded into."""
+    events = rel.read(spark, d, "events")
+    inbox, store, checkpoint = (scratch(spark, name) for name in ("inbox", "churn", "offsets"))
+    for half in (0, 1):
+        events.where(F.pmod("event_id", F.lit(2)) == half).repartition(3).write.mode("append").parquet(inbox)
+        telemetry.fold_churn(telemetry.stream(spark, inbox, events.schema, files=2), store, checkpoint)
+    return versions.folded(spark, store, "churn", telemetry.merged_churn).withColumn("last_changed", F.col("last_changed").cast("timestamp_ntz"))
+
+
+@query(
+    "telemetry_p95_sketch",
+    """WITH x AS (SELECT event_type, CAST(round(value * 1000) AS BIGINT) AS v FROM events),
+b AS (SELECT event_type, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket, count(*) AS n FROM x GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS last, sum(n) OVER (PARTITION BY event_type) AS total FROM b),
+h AS (SELECT *, (1::BIGINT << greatest(length(bin(bucket)) - 7, 0)) - 1 AS w FROM c WHERE last - n <= floor((total - 1) * 0.95) AND floor((total - 1) * 0.95) < last)
+SELECT event_type, round((bucket / 1000.0::DOUBLE + (bucket + w) / 1000.0::DOUBLE) / 2, 6) AS estimate, CAST(total AS BIGINT) AS n FROM h""",
+)
+def _(spark, d):
+    state = telemetry.p95_sketch(rel.read(spark, d, "events"))
+    return telemetry.p95_estimates(state).select("event_type", F.round("estimate", 6).alias("estimate"), "n")
 
 
 from graphmill.plans import parsing  # noqa: E402, F401  its queries join these

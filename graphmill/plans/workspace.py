@@ -18,10 +18,10 @@ from graphmill.sources import readers
 
 
 class Workspace:
-    """files: path, content; commits: cid, path, ts, author, email; diff: diff, line_no, line."""
+    """files: path, content; commits: cid, path, ts, author, email; diff: diff, line_no, line; memo: where symbols are kept by content."""
 
-    def __init__(self, files: DataFrame, commits: DataFrame | None = None, diff: DataFrame | None = None, as_of: str = "2100-01-01 00:00:00") -> None:
-        self.files, self.commits, self.diff, self.as_of = files, commits, diff, as_of
+    def __init__(self, files: DataFrame, commits: DataFrame | None = None, diff: DataFrame | None = None, as_of: str = "2100-01-01 00:00:00", memo: str | None = None) -> None:
+        self.files, self.commits, self.diff, self.as_of, self.memo = files, commits, diff, as_of, memo
         self.spark = files.sparkSession
 
     @classmethod
@@ -40,7 +40,7 @@ class Workspace:
         return self.files.select(F.col("path").alias("node")).distinct()
 
     @cached_property
-    def parsed(self) -> DataFrame:
+    def parsed(self) -> syntax.Parsed:
         """Tokens of the JavaScript, TypeScript and Go files."""
         return syntax.parsed(self.files)
 
@@ -112,7 +112,10 @@ class Workspace:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        every = symbols.python_symbols(self.files).unionByName(syntax.symbols_of(self.declarations))
+        if self.memo is not None:
+            every = symbols.by_content(self.files, lambda files: symbols.python_symbols(files).unionByName(syntax.declared_symbols(files)), self.memo)[0]
+        else:
+            every = symbols.python_symbols(self.files).unionByName(syntax.symbols_of(self.declarations))
         entry = self.entry_points.select("file", F.lit(True).alias("is_entry_point")).distinct()
         return cut(every.join(entry, "file", "left").na.fill(False, ["is_entry_point"]), "symbols")
 

@@ -10,11 +10,12 @@ from collections.abc import Mapping
 from contextlib import closing
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType, StructField, StructType
 
 from graphmill.functions.columns import basename, extension, slashes
+from graphmill.operators import scan
 from graphmill.operators.classify import chain
 
 # What a scan passes over, and what it takes.
@@ -123,13 +124,12 @@ def is_coupled_source(path: Column) -> Column:
 def commit_segment(lines: DataFrame) -> DataFrame:
     """log, cid, path of a names-only log (log, line_no, line).
 
-    A line without `/` and `.` starts a commit, a blank line ends one; each log is a
-    window of its own.
+    A line without `/` and `.` starts a commit, a blank line ends one. A log may be of any
+    length: it is scanned in ranges of lines.
     """
     line = F.trim("line")
     blank, marker = line == "", ~line.contains("/") & ~line.contains(".")
-    w = Window.partitionBy("log").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("cid", F.sum((blank | marker).cast("int")).over(w)).withColumn("opened", F.last(F.when(blank, False).when(marker, True), ignorenulls=True).over(w))
+    numbered = scan.running(lines, ["log"], ["line_no"], {"cid": (blank | marker).cast("int")}, {"opened": F.when(blank, False).when(marker, True)})
     return numbered.where(~blank & ~marker & F.coalesce("opened", F.lit(False))).select("log", "cid", line.alias("path"))
 
 
@@ -138,11 +138,9 @@ def parse_git_log(lines: DataFrame) -> DataFrame:
 
 
 def parse_author_log(lines: DataFrame) -> DataFrame:
-    """log, cid, email, author, ts, path of a log whose commits start with COMMIT|email|name|seconds."""
+    """log, cid, email, author, ts, path of a log whose commits start with COMMIT|email|name|seconds, scanned in ranges of lines."""
     head = F.col("line").startswith("COMMIT|")
-    w = Window.partitionBy("log").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    part = F.split(F.last(F.when(head, F.col("line")), ignorenulls=True).over(w), r"\|")
-    numbered = lines.withColumn("cid", F.sum(head.cast("int")).over(w)).withColumn("h", part)
+    numbered = scan.running(lines, ["log"], ["line_no"], {"cid": head.cast("int")}, {"h": F.when(head, F.col("line"))}).withColumn("h", F.split("h", r"\|"))
     return numbered.where(~head & (F.trim("line") != "") & F.col("h").isNotNull()).select(
         "log", "cid", F.get("h", F.lit(1)).alias("email"), F.get("h", F.lit(2)).alias("author"), F.timestamp_seconds(F.get("h", F.lit(3)).try_cast("long")).alias("ts"), F.trim("line").alias("path")
     )

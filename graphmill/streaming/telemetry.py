@@ -10,12 +10,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from graphmill.operators import sketch
+from graphmill.sources import versions
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def p95_by_tool(events: DataFrame) -> DataFrame:
-    """event_type, p95, n: the exact 95th percentile of each tool's value, six decimals."""
-    return events.groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"), F.count(F.lit(1)).alias("n"))
+    """event_type, p95, n: the exact 95th percentile of each tool's value, six decimals; no task orders a tool's values."""
+    found = sketch.exact_quantile(events, ["event_type"], F.col("value"), 0.95)
+    counts = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("event_type", "tool")
+    return counts.join(found, F.col("tool").eqNullSafe(F.col("event_type")), "left").select(F.col("tool").alias("event_type"), F.round("value", 6).alias("p95"), counts["n"])
+
+
+def p95_sketch(events: DataFrame) -> DataFrame:
+    """event_type, bucket, n: the state that p95 is estimated from, of a batch or a stream; see operators.sketch."""
+    return sketch.histogram(events, ["event_type"], F.col("value"))
+
+
+def p95_estimates(state: DataFrame) -> DataFrame:
+    """event_type, estimate, low, high, n of a state as p95_sketch() gives, merged from any number of them."""
+    return sketch.quantile(state, ["event_type"], 0.95)
 
 
 def tokens_by_session(events: DataFrame, top: int = 10) -> DataFrame:
@@ -43,9 +58,11 @@ def debounced(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return grouped.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def stream(spark: SparkSession, path: str, schema: str = EVENTS, fmt: str = "parquet", glob: str | None = None) -> DataFrame:
-    """A file stream whose ts is a TIMESTAMP, as watermarks need it."""
+def stream(spark: SparkSession, path: str, schema: str = EVENTS, fmt: str = "parquet", glob: str | None = None, files: int | None = None) -> DataFrame:
+    """A file stream whose ts is a TIMESTAMP, as watermarks need it; at most so many files a batch."""
     reader = spark.readStream.schema(schema).format(fmt)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -71,6 +88,30 @@ def churn_of(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("commits"), F.max(F.col("ts").cast("timestamp")).alias("last_changed"))
 
 
+def merged_churn(parts: DataFrame) -> DataFrame:
+    """One row for each user of rows as churn_of() gives; may be applied to its own results."""
+    return parts.groupBy("user_id").agg(F.sum("commits").alias("commits"), F.max("last_changed").alias("last_changed"))
+
+
+def fold_churn(events: DataFrame, root: str, checkpoint: str, seconds: int | None = None) -> None:
+    """What a stream of events has, folded into the table churn at root, each epoch once however often it is tried.
+
+    It ends when all that is there has been taken; started again with the same
+    checkpoint, it goes on from there.
+    """
+    combine = lambda batch: merged_churn(churn_of(batch) if "commits" not in batch.columns else batch)
+    query = (
+        events.writeStream.foreachBatch(lambda batch, epoch: versions.fold(batch, root, "churn", combine, epoch) and None)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    try:
+        query.awaitTermination(seconds)
+    finally:
+        query.stop()
+
+
 class ChurnState(StatefulProcessor):
     """Keeps a key's number of events and its latest instant."""
 
