@@ -175,6 +175,14 @@ def circular_neighbors(marked: DataFrame) -> DataFrame:
     return c.select(F.col("s").alias("node"), F.col("t").alias("neighbor")).unionByName(c.select(F.col("t").alias("node"), F.col("s").alias("neighbor"))).distinct()
 
 
+def neighbor_sides(marked: DataFrame, node: object) -> DataFrame:
+    """neighbor, side of one node by edges (s, t, circular): circular if an edge between the two is, else up, down or both."""
+    near = marked.where(((F.col("s") == node) | (F.col("t") == node)) & (F.col("s") != F.col("t")))
+    sided = near.select(F.when(F.col("s") == node, F.col("t")).otherwise(F.col("s")).alias("neighbor"), F.when(F.col("t") == node, 1).otherwise(2).alias("bit"), "circular")
+    bits = sided.groupBy("neighbor").agg(F.bit_or("bit").alias("bits"), F.bool_or("circular").alias("circular"))
+    return bits.select("neighbor", F.when(F.col("circular"), "circular").when(F.col("bits") == 1, "up").when(F.col("bits") == 2, "down").otherwise("both").alias("side"))
+
+
 def neighbor_partition(edges: DataFrame, node: int) -> DataFrame:
     """neighbor, side: up, down or both of one node."""
     up = edges.where(F.col("t") == node).select(F.col("s").alias("neighbor"), F.lit(1).alias("bit"))
@@ -188,34 +196,57 @@ def bridge_sources(nodes: DataFrame, every: int = 100) -> DataFrame:
     return nodes.where(F.col("node") % every == 0).select("node").distinct()
 
 
-def bridge_edges(sources: DataFrame, edges: DataFrame, top: int | None = 20) -> DataFrame:
+def _levels(edges: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """By hop from 1: root, node, parent of what the sources (node) reach, through the smallest predecessor."""
+    start = cut(sources.select(F.col("node").alias("root"), "node"), "bridges")
+    seen, frontier = [start], start
+    while True:
+        step = frontier.select("root", F.col("node").alias("s")).join(edges, "s").groupBy("root", F.col("t").alias("node")).agg(F.min("s").alias("parent"))
+        frontier = cut(step.join(_union([x.select("root", "node") for x in seen]), ["root", "node"], "left_anti"), "bridges")
+        if frontier.isEmpty():
+            return seen[1:]
+        seen.append(frontier)
+
+
+def bridge_edges(sources: DataFrame, edges: DataFrame, top: int | None = 20, blocks: int = 1) -> DataFrame:
     """s, t, betweenness: in how many shortest paths from the sources (node) the edge lies, one path per source and node.
 
     The path goes through the smallest predecessor at each step. Counts are sizes
     of subtrees, summed from the deepest level up. With all nodes as sources the
-    result is exact and as large as sources times nodes on its way; with a sample
-    (bridge_sources) it estimates that, divided by the sample's rate.
+    result is exact, with a sample (bridge_sources) it estimates that, divided by the
+    sample's rate. What is held on the way is sources times nodes; with blocks, the
+    sources are taken in so many parts, one after the other, and only their running
+    total, a row for each edge at most, is kept.
     """
     edges = cut(edges.select("s", "t").distinct(), "bridges-edges")
-    reached = cut(reach(edges, sources.select(F.col("node").alias("root"), "node")), "bridges")
-    before = reached.select("root", F.col("node").alias("s"), (F.col("hop") + 1).alias("hop"))
-    parents = before.join(edges, "s").join(reached.withColumnRenamed("node", "t"), ["root", "t", "hop"]).groupBy("root", F.col("t").alias("node"), "hop").agg(F.min("s").alias("parent"))
-    parents = cut(parents, "bridges")
-    deepest = parents.agg(F.max("hop").alias("h")).first()["h"] or 0
-    below, counted = None, []
-    for hop in range(deepest, 0, -1):
-        level = parents.where(F.col("hop") == hop)
-        if below is not None:
-            level = level.join(below, ["root", "node"], "left").withColumn("size", 1 + F.coalesce("children", F.lit(0)))
-        else:
-            level = level.withColumn("size", F.lit(1).cast("long"))
-        level = cut(level.select("root", "node", "parent", F.col("size").cast("long").alias("size")), "bridges")
-        counted.append(level)
-        below = level.groupBy("root", F.col("parent").alias("node")).agg(F.sum("size").alias("children"))
-    if not counted:
+    sources = cut(sources.select("node").distinct(), "bridges-sources") if blocks > 1 else sources.select("node").distinct()
+    total = None
+    for block in range(blocks):
+        own = sources if blocks == 1 else sources.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
+        below, counted = None, []
+        for level in reversed(_levels(edges, own)):
+            size = F.lit(1).cast("long")
+            if below is not None:
+                level, size = level.join(below, ["root", "node"], "left"), 1 + F.coalesce("children", F.lit(0))
+            level = cut(level.select("root", "node", "parent", size.alias("size")), "bridges")
+            counted.append(level)
+            below = level.groupBy("root", F.col("parent").alias("node")).agg(F.sum("size").alias("children"))
+        if counted:
+            part = _union(counted).select(F.col("parent").alias("s"), F.col("node").alias("t"), F.col("size").alias("betweenness"))
+            every = part if total is None else part.unionByName(total)
+            total = every.groupBy("s", "t").agg(F.sum("betweenness").alias("betweenness"))
+            total = cut(total, "bridges-total") if blocks > 1 else total
+    if total is None:
         return edges.select("s", "t", F.lit(0).cast("long").alias("betweenness")).limit(0)
-    out = _union(counted).groupBy(F.col("parent").alias("s"), F.col("node").alias("t")).agg(F.sum("size").alias("betweenness"))
-    return out if top is None else out.orderBy(F.desc("betweenness"), "s", "t").limit(top)
+    return total if top is None else total.orderBy(F.desc("betweenness"), "s", "t").limit(top)
+
+
+#: Pairs of source and node that bridge_edges() holds at once, by default of bridge_blocks().
+PAIRS = 1 << 27
+
+
+def bridge_blocks(sources: int, nodes: int, pairs: int = PAIRS) -> int:
+    return max(1, -(-sources * nodes // pairs))
 
 
 def seams(bridges: DataFrame, comps: DataFrame, pairs: DataFrame, n_nodes: int, top: int = 10) -> DataFrame:
@@ -251,6 +282,7 @@ def flows(entries: DataFrame, comps: DataFrame, layers: DataFrame, edges: DataFr
     at. capped: entry, for traces that the depth ends. Breadth first: unlike depth
     first search, the cap hides no component that a shorter path reaches.
     """
+    comps = cut(comps.select("node", "comp"), "flows")  # read four times below
     joined = comps.join(layers, "node", "left")
     lead = F.coalesce(F.min(F.when(F.col("layer") > 0, F.col("layer"))), F.min_by(F.coalesce("layer", F.lit(-1)), "node"))
     layer = cut(joined.groupBy("comp").agg(lead.alias("layer")), "flows")

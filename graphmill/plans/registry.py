@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.columns import package_name, token_estimate
 from graphmill.lineage import scratch
-from graphmill.operators import classify, graph, history, metrics, report, risk, symbols, text, tours
+from graphmill.operators import classify, graph, history, metrics, postings, report, risk, symbols, text, tours
 from graphmill.plans import relations as rel
 from graphmill.sources import readers, versions
 from graphmill.streaming import telemetry
@@ -642,6 +642,18 @@ def _(spark, d):
     return graph.neighbor_partition(e, hub(e).first()["node"])
 
 
+@query(
+    "neighbor_sides",
+    SCC.rstrip() + f""", {HUB_SQL},
+sided AS (SELECT s AS neighbor, 1 AS bit FROM edges JOIN hub ON t = node UNION ALL SELECT t, 2 FROM edges JOIN hub ON s = node),
+home AS (SELECT comp FROM comps JOIN hub USING (node))
+SELECT neighbor, CASE WHEN any_value(c.comp) = (SELECT comp FROM home) THEN 'circular' ELSE CASE bit_or(bit) WHEN 1 THEN 'up' WHEN 2 THEN 'down' ELSE 'both' END END AS side FROM sided JOIN comps c ON c.node = neighbor GROUP BY neighbor""",
+)
+def _(spark, d):
+    e = graph.cut(rel.edges(spark, d))
+    return graph.neighbor_sides(graph.circular_edges(graph.scc(rel.files(spark, d), e), e), hub(e).first()["node"])
+
+
 ROLLED_SQL = f"{CLASSIFIED_SQL},\nplaced AS (SELECT node, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, category, lines FROM classified)"
 
 
@@ -903,6 +915,17 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
     return text.rrf(best.select("q", F.lit(0).alias("list"), "rank", "id").unionByName(by_id.select("q", F.lit(1).alias("list"), "rank", "id")))
 
 
+@query("bm25_index", with_tables(INDEX_SQL, BM25_SQL) + "SELECT q, id, score, CAST(rank AS INTEGER) AS rank FROM listed")
+def _(spark, d):
+    """The same by a persisted index: half of the documents with another text first, then an update with all."""
+    docs = rel.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    store = scratch(spark, "index")
+    postings.update(docs.where(F.pmod("id", F.lit(2)) == 0).withColumn("content", F.reverse("content")), store)
+    postings.update(docs, store)
+    asked = rel.read(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("content"))
+    return postings.search(spark, store, asked).select("q", "id", "score", "rank")
+
+
 @query("rrf", with_tables(INDEX_SQL, BM25_SQL, FUSED_SQL) + "SELECT * FROM fused")
 def _(spark, d):
     return fused(spark, d)

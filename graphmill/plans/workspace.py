@@ -150,8 +150,9 @@ class Workspace:
 
     @cached_property
     def seams(self) -> DataFrame:
-        bridges = graph.bridge_edges(self.nodes, self.edges, 50)
-        return graph.seams(bridges, self.components, self.coupling, self.nodes.count())
+        n = self.nodes.count()
+        bridges = graph.bridge_edges(self.nodes, self.edges, 50, graph.bridge_blocks(n, n))
+        return graph.seams(bridges, self.components, self.coupling, n)
 
     @cached_property
     def temporal(self) -> DataFrame:

@@ -68,6 +68,20 @@ def test_bridges(spark, pairs):
     assert got == one_path_counts(ids, pairs)
 
 
+@pytest.mark.parametrize("blocks", [2, 5])
+def test_bridges_of_all_sources_in_blocks(spark, blocks):
+    pairs = random_graph(11)
+    ids = sorted({x for p in pairs for x in p})
+    got = {(r.s, r.t): r.betweenness for r in graph.bridge_edges(nodes(spark, ids), edges(spark, pairs), None, blocks).collect()}
+    assert got == one_path_counts(ids, pairs)
+    assert graph.bridge_blocks(10, 10) == 1 and graph.bridge_blocks(1 << 20, 1 << 20) == 1 << 13
+
+
+def test_sides_of_a_node(spark):
+    marked = spark.createDataFrame([(1, 2, False), (2, 3, False), (4, 1, True), (1, 4, True), (5, 1, False), (1, 5, False), (6, 1, False), (1, 1, True)], "s long, t long, circular boolean")
+    assert {(r.neighbor, r.side) for r in graph.neighbor_sides(marked, 1).collect()} == {(2, "down"), (4, "circular"), (5, "both"), (6, "up")}
+
+
 def test_a_chain_has_two_bridges_of_two(spark):
     assert rows(graph.bridge_edges(nodes(spark, [1, 2, 3]), edges(spark, [(1, 2), (2, 3)]))) == [(1, 2, 2), (2, 3, 2)]
 
