@@ -76,6 +76,29 @@ def symbol_graph(edges: DataFrame) -> DataFrame:
     return edges.select(F.concat_ws("#", "source_file", "source").alias("source"), F.concat_ws("#", "target_file", "target").alias("target"), label.alias("label")).distinct()
 
 
+def selected_symbol_graph(symbols: DataFrame, edges: DataFrame, categories: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the symbols to show: id, label, type, weight, and source, target, label between them.
+
+    symbols: file, name, parent, is_entry_point, is_exported; edges as for symbol_graph();
+    categories: path, category. Entry points first, then exported, then most called symbols.
+    A member's id and label carry its parent; an end that names several symbols of its
+    file is the first of them by id. Edges whose ends aren't both shown go.
+    """
+    member = F.when(F.col("parent").isNotNull(), F.concat("parent", F.lit("."), "name")).otherwise(F.col("name"))
+    known = symbols.withColumn("label", member).withColumn("id", F.concat_ws("#", "file", "label"))
+    ids = known.groupBy("file", "name").agg(F.min("id").alias("id"))
+    end = lambda side: ids.select(F.col("file").alias(f"{side}_file"), F.col("name").alias(side), F.col("id").alias(f"{side}_id"))
+    kind = F.when(F.col("edge_type").isin("calls", "extends", "implements"), F.col("edge_type")).otherwise("uses")
+    placed = edges.join(end("source"), ["source_file", "source"]).join(end("target"), ["target_file", "target"]).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), kind.alias("label"))
+    weights = placed.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("weight"))
+    single = known.groupBy("id", "label", "file").agg(F.max("is_entry_point").alias("entry"), F.max("is_exported").alias("exported"))
+    counted = single.join(weights, "id", "left").na.fill(0, ["weight"])
+    shown = counted.orderBy(F.desc("entry"), F.desc("exported"), F.desc("weight"), "id").limit(most)
+    nodes = shown.join(categories.select(F.col("path").alias("file"), "category"), "file", "left").select("id", "label", F.coalesce("category", F.lit("unknown")).alias("type"), "weight")
+    ends = shown.select("id")
+    return nodes, placed.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "label")
+
+
 def sanitize_paths(text: Column, root: str) -> Column:
     """The text without the workspace's root."""
     bare = root.rstrip("/")

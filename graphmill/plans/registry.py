@@ -701,6 +701,35 @@ def _(spark, d):
     return rel.edges(spark, d).join(chosen.withColumnRenamed("node", "s"), "s", "left_semi").join(chosen.withColumnRenamed("node", "t"), "t", "left_semi").select("s", "t")
 
 
+SHOWN_SQL = """ids AS (SELECT *, file || '#' || coalesce(parent || '.', '') || name AS id FROM symbols),
+linked AS (SELECT a.id AS source, b.id AS target, CASE edge_type WHEN 'uses_type' THEN 'uses' ELSE edge_type END AS label FROM symbol_edges e JOIN ids a ON a.node = e.source JOIN ids b ON b.node = e.target),
+shown AS (SELECT id, file, substr(id, length(file) + 2) AS label, coalesce(n, 0) AS weight FROM ids LEFT JOIN (SELECT target, count(*) AS n FROM linked GROUP BY target) ON target = id ORDER BY is_entry_point DESC, is_exported DESC, weight DESC, id LIMIT 300)"""
+
+
+def shown_symbols(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    every = graph.cut(rel.symbols(spark, d))
+    end = lambda side: every.select(F.col("node").alias(side), F.col("file").alias(f"{side}_file"), F.col("name").alias(f"{side}_name"))
+    edges = rel.symbol_edges(spark, d).join(end("source"), "source").join(end("target"), "target").select("source_file", F.col("source_name").alias("source"), "target_file", F.col("target_name").alias("target"), "edge_type")
+    categories = every.select(F.col("file").alias("path"), F.concat(F.lit("brand"), F.substring("file", -1, 1)).alias("category")).distinct().where("path not like '%5'")
+    return report.selected_symbol_graph(every, edges, categories, 300)
+
+
+@query("symbol_graph_nodes", with_tables(EDGES, rel.SYMBOLS_SQL, rel.SYMBOL_EDGES_SQL, SHOWN_SQL) + "SELECT id, label, CASE WHEN file LIKE '%5' THEN 'unknown' ELSE 'brand' || right(file, 1) END AS type, weight FROM shown")
+def _(spark, d):
+    return shown_symbols(spark, d)[0]
+
+
+@query("symbol_graph", with_tables(EDGES, rel.SYMBOLS_SQL, rel.SYMBOL_EDGES_SQL, SHOWN_SQL) + "SELECT source, target, label FROM linked WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)")
+def _(spark, d):
+    return shown_symbols(spark, d)[1]
+
+
+@query("path_dedupe", "SELECT 'src/f_' || l_partkey || '.ts' AS path, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY l_partkey")
+def _(spark, d):
+    listing = rel.read(spark, d, "lineitem").select(F.format_string("src/f_%d.ts", "l_partkey").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return readers.dedupe_paths(listing, "ord")
+
+
 # ---- symbols and risk
 
 

@@ -94,6 +94,11 @@ def scan_candidates(paths: DataFrame, most: int = 500, interactive: bool = True)
     return ranked.orderBy("priority", "path").limit(most)
 
 
+def dedupe_paths(paths: DataFrame, order: str) -> DataFrame:
+    """path and the column order of paths' rows: each path where it comes first; sorted by order it is the listing without repeats."""
+    return paths.groupBy("path").agg(F.min(order).alias(order))
+
+
 def project_root(paths: DataFrame) -> DataFrame:
     """root: the first folder of a marker file, shallow first; empty for the top."""
     marked = paths.where(basename(F.col("path")).isin(*ROOT_MARKERS)).where(F.size(F.split("path", "/")) <= 2)

@@ -244,3 +244,20 @@ def test_hot_files_keep_the_crossing_row(spark):
     counted = frame(spark, [(i, n, 0, 1) for i, n in enumerate([50, 20, 5, 5, 5, 5, 5, 5])], "node long, fan_in long, fan_out long, lines long")
     assert sorted(r.node for r in metrics.hot_files(counted).collect()) == [0, 1, 2, 3, 4]
     assert metrics.hot_files(counted, at_least=1).count() == 4
+
+
+def test_the_symbols_that_are_shown_and_their_edges(spark):
+    every = frame(
+        spark,
+        [("a.ts", "run", "A", False, False), ("a.ts", "A", None, False, True), ("b.ts", "main", None, True, False), ("b.ts", "low", None, False, False), ("b.ts", "run", "B", False, False), ("b.ts", "run", "Z", False, False)],
+        "file string, name string, parent string, is_entry_point boolean, is_exported boolean",
+    )
+    edges = frame(spark, [("b.ts", "main", "a.ts", "run", "calls"), ("a.ts", "A", "b.ts", "run", "uses_type"), ("b.ts", "main", "b.ts", "run", "odd"), ("b.ts", "low", "a.ts", "run", "calls"), ("x.ts", "none", "a.ts", "A", "calls")], "source_file string, source string, target_file string, target string, edge_type string")
+    nodes, links = report.selected_symbol_graph(every, edges, frame(spark, [("a.ts", "service")], "path string, category string"), 4)
+    assert {tuple(r) for r in nodes.collect()} == {("b.ts#main", "main", "unknown", 0), ("a.ts#A", "A", "service", 0), ("a.ts#A.run", "A.run", "service", 2), ("b.ts#B.run", "B.run", "unknown", 2)}
+    assert sorted(tuple(r) for r in links.collect()) == [("a.ts#A", "b.ts#B.run", "uses"), ("b.ts#main", "a.ts#A.run", "calls"), ("b.ts#main", "b.ts#B.run", "uses")]
+
+
+def test_a_listing_keeps_its_order_without_repeats(spark):
+    listing = frame(spark, [("b", 1), ("a", 2), ("b", 3), (None, 4), ("a", 5)], "path string, ord int")
+    assert [r.path for r in readers.dedupe_paths(listing, "ord").orderBy("ord").collect()] == ["b", "a", None]
