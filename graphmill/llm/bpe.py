@@ -237,7 +237,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """docs with the column `to`: the text of the token ids; null gives an empty text."""
+    """docs with the column `to`: the text of the token ids; null and no ids give an empty text. Repeated rows stay, no rows give none."""
     small_batches(docs.sparkSession)
     shared = _shared(docs.sparkSession, path)
 

@@ -84,7 +84,11 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read from examples()."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read from examples().
+
+    One row for each conversation, null conv_ids are one; an example that is repeated counts
+    again. No examples give no rows.
+    """
     loss = F.when(F.col("loss_start").isNotNull(), unescape(F.substr("formatted", F.col("loss_start").cast("int") + 1, F.col("loss_length").cast("int"))))
     whole = formatted.groupBy("conv_id").agg(
         F.max_by("formatted", "example").alias("longest"),

@@ -529,6 +529,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character goes only if all its bytes are repeated, so texts stay valid. A
     column n_chars is brought up to date. Null and empty texts stay as they are.
+    A null doc_id comes before all others; equal rows, by id and text, are one
+    document and are cut alike, rows that repeat an id with other texts are documents
+    of their own. No rows give no rows.
     """
     small_batches(docs.sparkSession)
     names = docs.columns
