@@ -8,7 +8,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.operators import report
+from graphmill.operators import report, sections
+from graphmill.plans import briefing
 from graphmill.plans.workspace import Workspace
 from graphmill.sources import readers
 
@@ -60,6 +61,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except SystemExit as e:
         return 2 if e.code else 0
     spark = spark or SparkSession.builder.appName("graphmill").getOrCreate()
+    if a.command == "analyze" and a.format in sections.FORMATS:
+        print(briefing.render(Workspace.read(spark, a.root, a.history), a.format, a.tier))
+        return 0
     out = tables(spark, a)
     if a.format == "table":
         for df in out.values():

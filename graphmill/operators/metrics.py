@@ -69,7 +69,7 @@ def mean(values: DataFrame, column: str, by: str | None = None) -> DataFrame:
     return grouped.agg(F.coalesce(F.avg(column), F.lit(0.0)).alias("mean"))
 
 
-def rank_prompt_files(files: DataFrame, top: int = 8) -> DataFrame:
+def prompt_scores(files: DataFrame) -> DataFrame:
     """path, score from is_entry, is_key, is_hot, weight, fan_in, fan_out, lines, is_test."""
     score = (
         F.when(F.col("is_entry"), 500).otherwise(0)
@@ -81,7 +81,12 @@ def rank_prompt_files(files: DataFrame, top: int = 8) -> DataFrame:
         + F.least(F.col("lines"), F.lit(400)) / 8
         - F.when(F.col("is_test"), 150).otherwise(0)
     )
-    return files.select("path", score.alias("score")).orderBy(F.desc("score"), "path").limit(top)
+    return files.select("path", score.alias("score"))
+
+
+def rank_prompt_files(files: DataFrame, top: int = 8) -> DataFrame:
+    """The files with the highest prompt_scores()."""
+    return prompt_scores(files).orderBy(F.desc("score"), "path").limit(top)
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
