@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphmill.operators import classify, entries, graph, metrics, report, risk, scan, symbols, syntax, text, tours
 from graphmill.plans import relations as rel
-from graphmill.plans.registry import BM25_SQL, CLASSIFIED_SQL, COUNTED, EDGES, INDEX_SQL, SCC_SQL, SELECTED_SQL, chunked, classified, comps, counts, query, scored, selected, with_tables
+from graphmill.plans.registry import BM25_SQL, CLASSIFIED_SQL, COUNTED, EDGES, INDEX_SQL, SCC_SQL, SEEDS_SQL, SELECTED_SQL, chunked, classified, comps, counts, query, scored, selected, with_tables
 from graphmill.sources import readers
 
 # ---- TypeScript: a file of imports and one function that calls what they name
@@ -334,15 +334,33 @@ def _(spark, d):
     return classify.classify_content(unknown).select("path", "category", "confidence")
 
 
-@query("is_code_file", with_tables(CUSTOMER_FILES_SQL) + "SELECT file AS path, file NOT LIKE '%.bin' AS is_code, false AS is_excluded FROM kinds")
+#: Where a customer's file lies, by the length of its path; only a whole segment excludes.
+PLACES = ("", "test-repos/", "my-test-repos/", "lib/test-repos/deep/", "test-repos.old/")
+PLACES_SQL = "([" + ", ".join(f"'{p}'" for p in PLACES) + f"])[length(file) % {len(PLACES)} + 1]"
+
+
+@query("is_code_file", with_tables(CUSTOMER_FILES_SQL) + f"SELECT {PLACES_SQL} || file AS path, file NOT LIKE '%.bin' AS is_code, length(file) % {len(PLACES)} IN (1, 3) AS is_excluded FROM kinds")
 def _(spark, d):
-    return customer_files(spark, d).select("path", readers.is_code_file(F.col("path")).alias("is_code"), readers.is_excluded(F.col("path")).alias("is_excluded"))
+    place = F.element_at(F.array(*map(F.lit, PLACES)), F.length("path") % len(PLACES) + 1)
+    placed = customer_files(spark, d).select(F.concat(place, F.col("path")).alias("path"))
+    return placed.select("path", readers.is_code_file(F.col("path")).alias("is_code"), readers.is_excluded(F.col("path")).alias("is_excluded"))
+
 
+#: How an import names a package: as such, below it, from a folder of dependencies, and a package that only begins like it.
+SHAPES = ("%s", "%s/sub/file", "/w/node_modules/%s/index.js", "%s-other")
+PACKAGES = sorted((name, role) for role, names in classify.BOUNDARY_PACKAGES.items() for name in names)
+PACKAGES_SQL = "packages AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{role}')" for i, (_, role) in enumerate(PACKAGES)) + ") AS p(k, role))"
 
-@query("boundary_lookup", "SELECT 'lib' || c_custkey AS source, (['persistence', 'http', 'validation'])[c_custkey % 4] AS role, 0 AS edge_ord FROM customer WHERE c_custkey % 4 > 0")
+
+@query(
+    "boundary_lookup",
+    with_tables(PACKAGES_SQL) + f"SELECT 'f' || l_orderkey AS source, role, CAST(l_linenumber AS INTEGER) AS edge_ord FROM lineitem JOIN packages ON k = l_partkey % {len(PACKAGES)} WHERE l_suppkey % {len(SHAPES)} < 3",
+)
 def _(spark, d):
-    names = F.array(*map(F.lit, ("left-pad", "pg", "express/lib", "zod")))
-    imports = rel.read(spark, d, "customer").select(F.concat(F.lit("lib"), F.col("c_custkey").cast("string")).alias("source"), F.element_at(names, (F.col("c_custkey") % 4).cast("int") + 1).alias("target"), F.lit(0).alias("edge_ord"))
+    """Each row of lineitem is an import of one of all known packages, in one of the shapes."""
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values)).cast("int") + 1)
+    target = F.replace(pick(SHAPES, "l_suppkey"), F.lit("%s"), pick([name for name, _ in PACKAGES], "l_partkey"))
+    imports = rel.read(spark, d, "lineitem").select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("source"), target.alias("target"), F.col("l_linenumber").cast("int").alias("edge_ord"))
     return classify.with_roles(imports, classify.boundary_lookup(spark))
 
 
@@ -482,9 +500,10 @@ def _(spark, d):
 @query(
     "retrieve",
     with_tables(
-        INDEX_SQL, BM25_SQL,
+        EDGES, SEEDS_SQL, INDEX_SQL, BM25_SQL, "one AS (SELECT DISTINCT t AS node FROM edges JOIN seeds ON s = node)",
+        "walked AS (SELECT node FROM (SELECT node FROM one UNION SELECT t FROM edges JOIN one ON s = node) WHERE node NOT IN (SELECT node FROM seeds))",
         "found AS (SELECT q, id || '::__file__' AS id, rank FROM listed)",
-        "near AS (SELECT doc_id || '::__file__' AS id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM documents WHERE source = 'src1')",
+        "near AS (SELECT node || '::__file__' AS id, row_number() OVER (ORDER BY node) - 1 AS rank FROM walked)",
         "together AS (SELECT * FROM found UNION ALL SELECT q, n.id, n.rank FROM near n JOIN found f ON f.id = n.id)",
         "merged AS (SELECT q, id, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS fused FROM together GROUP BY q, id)",
         "ranked AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY fused DESC, id) AS rank FROM merged)",
@@ -494,10 +513,11 @@ def _(spark, d):
     + "SELECT q, sha256(string_agg(block, '' ORDER BY rank)) AS context FROM used WHERE used <= 24000 GROUP BY q",
 )
 def _(spark, d):
-    """Whole documents as chunks; those of one source stand for the files near the entry points."""
+    """Whole documents as chunks, the file of a node that with its number; near are the files two steps from the five entry points."""
     name = F.concat(F.col("id").cast("string"), F.lit("::__file__")).alias("id")
     found = scored(spark, d).select("q", name, "rank")
-    some = rel.read(spark, d, "documents").where("source = 'src1'").select(F.col("doc_id").alias("id"))
-    near = scan.ranked(some, ["id"]).select(name, (F.col("rank") - 1).alias("rank"))
+    e = graph.cut(rel.edges(spark, d))
+    seeds = e.groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node").limit(5).select("node")
+    near = scan.ranked(graph.two_hop(e, seeds).select(F.col("node").alias("id")), ["id"]).select(name, (F.col("rank") - 1).alias("rank"))
     none = spark.createDataFrame([], "file string, name string, line_start int, line_end int")
     return text.retrieve(found, near, text.chunks(chunked(spark, d), none), 24_000).select("q", F.sha2("context", 256).alias("context"))
