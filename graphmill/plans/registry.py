@@ -1152,4 +1152,4 @@ def _(spark, d):
     return telemetry.p95_estimates(state).select("event_type", F.round("estimate", 6).alias("estimate"), "n")
 
 
-from graphmill.plans import listings, parsing  # noqa: E402, F401  their queries join these
+from graphmill.plans import listings, parsing, storing  # noqa: E402, F401  their queries join these
