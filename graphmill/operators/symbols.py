@@ -42,6 +42,18 @@ def fuse_diagnostics(dead: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return dead.join(unused, ["file", "line_start"], "left").select("name", "file", "line_start", F.when(F.col("message").isNotNull(), 0.95).otherwise(F.col("confidence")).alias("confidence"), "message")
 
 
+def lookup(symbols: DataFrame, asked: DataFrame) -> DataFrame:
+    """q, file, line_start, name: the first symbol that each question (q, name, file) means.
+
+    Its file is the one asked for or ends with a slash and that; a null file fits all.
+    Of the symbols (file, line_start, name) of a name that fit, the first by file, then
+    line, is taken; a question that none fits has no row.
+    """
+    named = asked.select("q", "name", F.col("file").alias("wanted")).join(symbols.select("file", "line_start", "name"), "name")
+    fits = F.col("wanted").isNull() | (F.col("file") == F.col("wanted")) | F.col("file").endswith(F.concat(F.lit("/"), F.col("wanted")))
+    return named.where(fits).groupBy("q").agg(F.min(F.struct("file", "line_start", "name")).alias("first")).select("q", "first.*")
+
+
 def symbols_by_kind(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 

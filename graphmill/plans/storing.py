@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.columns import dirname
 from graphmill.lineage import scratch
-from graphmill.operators import classify, entries, history
+from graphmill.operators import classify, entries, history, symbols
 from graphmill.plans import relations as rel
 from graphmill.plans.registry import CHURN_SQL, query, with_tables
 from graphmill.sources import readers, versions
@@ -162,3 +162,81 @@ def _(spark, d):
     seen = stale.read(spark, "churn")
     fresh = revalidate().read(spark, "churn")
     return seen.withColumn("seen", F.lit("stale")).unionByName(fresh.withColumn("seen", F.lit("fresh")))
+
+
+# ---- streams
+
+
+@query(
+    "stream_ndjson",
+    "SELECT CAST(event_id AS INTEGER) AS ord, event_type AS title, 'f' || (user_id + k) AS file FROM events, (SELECT unnest([0, 1]) AS k) WHERE event_id % 7 > 0 AND (user_id + k) % 2 = 0",
+)
+def _(spark, d):
+    """Events as lines of step records, every seventh cut short, taken line by line as a stream; only files with an even number are known."""
+    inbox, steps, offsets = (scratch(spark, name) for name in ("lines", "steps", "offsets"))
+    file = lambda k: F.concat(F.lit("f"), (F.col("user_id") + k).cast("string"))
+    events = rel.read(spark, d, "events")
+    record = F.to_json(F.struct(F.col("event_id").cast("int").alias("order"), F.col("event_type").alias("title"), F.array(file(0), file(1)).alias("files")))
+    whole = events.select(F.when(F.col("event_id") % 7 > 0, record).otherwise(F.left(record, F.lit(20))).alias("value"))
+    whole.repartition(4).write.text(inbox)
+    known = events.select(F.explode(F.array(file(0), file(1))).alias("file")).distinct().where(F.substring("file", 2, 20).cast("long") % 2 == 0)
+    lines = spark.readStream.option("maxFilesPerTrigger", 2).text(inbox)
+    found = telemetry.ndjson_steps(lines, known)
+    running = found.writeStream.format("parquet").option("path", steps).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(found.schema).parquet(steps).select("ord", "title", "file")
+
+
+@query(
+    "stream_graph_then_steps",
+    with_tables(rel.EDGES_SQL) + "SELECT 0 AS pos, 'graph' AS kind, s AS a, t AS b FROM edges UNION ALL SELECT 1, 'step', o_orderkey, o_custkey FROM orders UNION ALL SELECT 2, 'end', NULL, NULL",
+)
+def _(spark, d):
+    """What a client sees, with the place of each kind among the kinds: the graph whole, then the steps as they come, then the end."""
+    seen: list[str] = []
+    inbox, outbox = scratch(spark, "steps"), scratch(spark, "seen")
+    rel.read(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b")).repartition(3).write.parquet(inbox)
+    steps = spark.readStream.schema("a long, b long").option("maxFilesPerTrigger", 1).parquet(inbox)
+
+    def emit(kind: str, df: DataFrame | None) -> None:
+        if kind not in seen:
+            seen.append(kind)
+        rows = spark.createDataFrame([(None, None)], "a long, b long") if df is None else df.toDF("a", "b")
+        rows.select(F.lit(seen.index(kind)).alias("pos"), F.lit(kind).alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).write.mode("append").parquet(outbox)
+
+    telemetry.graph_then_steps(rel.edges(spark, d), steps, emit)
+    return spark.read.schema("pos int, kind string, a long, b long").parquet(outbox)
+
+
+@query("event_append", "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    """Usage appended as JSON lines in two goes and read as a stream of them; each batch's windows are a version."""
+    inbox, store, offsets = (scratch(spark, name) for name in ("usage", "windows", "offsets"))
+    events = rel.read(spark, d, "events")
+    for half in (0, 1):
+        readers.sink_jsonl(events.where(F.pmod("event_id", F.lit(2)) == half).repartition(2), inbox)
+    windows = telemetry.windowed(telemetry.stream(spark, inbox, fmt="json", files=2), "6 hours").drop("p95")
+    publish = lambda batch, epoch: versions.publish({"windows": batch}, store, {"epoch": epoch}) and None
+    windows.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    return versions.current(spark, store).read(spark, "windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# ---- look-ups
+
+
+@query(
+    "impact_lookup",
+    """WITH s AS (SELECT p_partkey, p_type || '/' || p_brand AS file, p_partkey % 100 AS line_start, split_part(p_name, ' ', 1) AS name, p_brand FROM part),
+asked AS (SELECT c_custkey AS q, name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN file WHEN 2 THEN p_brand ELSE right(p_brand, 2) END AS wanted FROM customer JOIN s ON p_partkey = c_custkey),
+f AS (SELECT q, s.file, s.line_start, s.name, row_number() OVER (PARTITION BY q ORDER BY s.file, s.line_start) AS k FROM asked JOIN s USING (name) WHERE wanted IS NULL OR s.file = wanted OR suffix(s.file, '/' || wanted))
+SELECT q, file, line_start, name FROM f WHERE k = 1""",
+)
+def _(spark, d):
+    """A question for each customer: by name alone, with the whole path, with its end, or with half of a file's name, which fits none."""
+    found = rel.read(spark, d, "part").select(
+        "p_partkey", "p_brand", F.concat_ws("/", "p_type", "p_brand").alias("file"), (F.col("p_partkey") % 100).alias("line_start"), F.substring_index("p_name", " ", 1).alias("name")
+    )
+    kind = F.col("q") % 4
+    wanted = F.when(kind == 1, F.col("file")).when(kind == 2, F.col("p_brand")).when(kind == 3, F.right("p_brand", F.lit(2)))
+    keys = rel.read(spark, d, "customer").select(F.col("c_custkey").alias("q"), F.col("c_custkey").alias("p_partkey"))
+    return symbols.lookup(found, keys.join(found, "p_partkey").select("q", "name", wanted.alias("file")))

@@ -166,10 +166,8 @@ class Workspace:
 
     def origin(self, symbol: str, file: str | None = None) -> DataFrame:
         """node: the first symbol of that name, in that file."""
-        own = self.symbols.where(F.col("name") == symbol)
-        if file is not None:
-            own = own.where((F.col("file") == file) | F.col("file").endswith("/" + file))
-        return own.orderBy("file", "line_start").limit(1).select(F.concat_ws(":", "file", "name").alias("node"))
+        asked = self.spark.createDataFrame([(0, symbol, file)], "q int, name string, file string")
+        return symbols.lookup(self.symbols, asked).select(F.concat_ws(":", "file", "name").alias("node"))
 
     def impact(self, symbol: str, file: str | None = None) -> DataFrame:
         """root, node, hop of the callers of a symbol, direct and transitive."""
