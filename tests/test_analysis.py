@@ -172,6 +172,14 @@ def test_text_shapes(spark):
     }
 
 
+def test_words_end_at_letters_beyond_ascii(spark):
+    asked = [("die testö u", True), ("ñqueue ar", True), ("the tests", False), ("a_test", False), ("Queue?", True), ("api2", False), (None, None)]
+    got = frame(spark, [(q,) for q, _ in asked], "q string").select("q", tours.is_relevant(F.col("q")).alias("r"))
+    assert {r.q: r.r for r in got.collect()} == dict(asked)
+    counts = metrics.file_text_counts(frame(spark, [(1, "éimport a\nexportñ b\nimports")], "key int, content string"))
+    assert rows(counts.select("imports", "exports")) == [(1, 1)]
+
+
 def test_tours(spark):
     ask = lambda q: frame(spark, [(q,)], "q string").select(tours.classify_query(F.col("q"))).first()[0]
     assert [ask("show the architecture structure"), ask("trace the request lifecycle"), ask("hi"), ask("which api endpoints are external"), ask("tell me about the weather today")] == ["overview", "data-flow", "overview", "api-surface", "custom"]
