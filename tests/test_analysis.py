@@ -172,6 +172,40 @@ def test_text_shapes(spark):
     }
 
 
+def test_hot_names_make_no_pairs(spark):
+    many = 3000
+    files = spark.range(many).select(F.format_string("d%d/x.ts", F.col("id") % 40).alias("file"), F.col("id").cast("int").alias("line_start"), F.lit("run").alias("name"))
+    asked = spark.range(many).select(F.col("id").alias("q"), F.lit("run").alias("name"), F.when(F.col("id") % 3 == 0, "x.ts").when(F.col("id") % 3 == 1, F.format_string("d%d/x.ts", F.col("id") % 40)).alias("file"))
+    found = symbols.lookup(files, asked).collect()
+    assert {r.q: r.file for r in found} == {q: f"d{q % 40}/x.ts" if q % 3 == 1 else "d0/x.ts" for q in range(many)}
+    assert _most_rows(spark, lambda: symbols.lookup(files, asked)) <= 4 * many
+    known = spark.range(many).select(F.lit("run").alias("name"), F.format_string("f%05d", "id").alias("file"))
+    refs = known.select(F.col("file").alias("ref"), "file", "name")
+    imports = frame(spark, [("f00002", "f00001")], "file string, target string")
+    got = {r.ref: r.target_file for r in symbols.resolve(refs, known, imports).collect()}
+    assert got == {f"f{i:05d}": "f00001" if i in (0, 2) else "f00000" for i in range(many)}
+    assert _most_rows(spark, lambda: symbols.resolve(refs, known, imports)) <= 4 * many
+
+
+def _most_rows(spark, make):
+    """The most rows that any operator of the executed plan puts out."""
+    df = make()
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind.startswith("AdaptiveSparkPlan"):
+            todo.append(plan.executedPlan())
+        elif "QueryStage" in kind:
+            todo.append(plan.plan())
+        metric = plan.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
+
+
 def test_words_end_at_letters_beyond_ascii(spark):
     asked = [("die testö u", True), ("ñqueue ar", True), ("the tests", False), ("a_test", False), ("Queue?", True), ("api2", False), (None, None)]
     got = frame(spark, [(q,) for q, _ in asked], "q string").select("q", tours.is_relevant(F.col("q")).alias("r"))
