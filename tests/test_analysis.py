@@ -206,6 +206,17 @@ def _most_rows(spark, make):
     return most
 
 
+def test_an_index_is_scored_where_it_is(spark):
+    docs = frame(spark, [(1, "a b a"), (2, "b c"), (3, None), (4, "c c d")], "id long, content string")
+    asked = frame(spark, [(10, "a b"), (11, "c"), (12, "zzz")], "q int, content string")
+    index = text.inverted_index(docs)
+    found, scored = text.search_text(index, asked), text.bm25(index, asked, frame(spark, [(4, 2.0)], "n long, avg_length double"))
+    assert rows(found) == [(10, 1), (11, 2), (11, 4)]
+    assert rows(scored.select("q", "id")) == [(10, 1), (10, 2), (11, 2), (11, 4)]
+    for df in (found, scored):
+        assert "hashpartitioning(q" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_words_end_at_letters_beyond_ascii(spark):
     asked = [("die testö u", True), ("ñqueue ar", True), ("the tests", False), ("a_test", False), ("Queue?", True), ("api2", False), (None, None)]
     got = frame(spark, [(q,) for q, _ in asked], "q string").select("q", tours.is_relevant(F.col("q")).alias("r"))
