@@ -217,6 +217,15 @@ def test_an_index_is_scored_where_it_is(spark):
         assert "hashpartitioning(q" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(history, "PAIRS_OF_TASK", 50)
+    log = spark.range(400).select((F.col("id") % 20).alias("cid"), (F.col("id") / 20).cast("int").alias("path"))
+    found = history.support(log.unionByName(log))
+    # 20 commits of 20 files: 3,800 pairs, 190 different ones
+    assert found.rdd.getNumPartitions() >= 3800 // 50
+    assert rows(found.groupBy("support").count()) == [(20, 190)]
+
+
 def test_words_end_at_letters_beyond_ascii(spark):
     asked = [("die testö u", True), ("ñqueue ar", True), ("the tests", False), ("a_test", False), ("Queue?", True), ("api2", False), (None, None)]
     got = frame(spark, [(q,) for q, _ in asked], "q string").select("q", tours.is_relevant(F.col("q")).alias("r"))
