@@ -226,6 +226,15 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert rows(found.groupBy("support").count()) == [(20, 190)]
 
 
+def test_endings_are_tried_in_order_without_a_row_each(spark):
+    files = frame(spark, [("src/b.ts",), ("src/b.js",), ("src/b/index.ts",), ("src/c/index.js",), ("src/d.vue",), ("src/d",)], "path string")
+    tried = [("./b", "src/b.ts"), ("./b.js", "src/b.js"), ("./b/index", "src/b/index.ts"), ("./c", "src/c/index.js"), ("./d", "src/d"), ("./none", None), ("@/b", "src/b.ts")]
+    imports = frame(spark, [("src/a.ts", "javascript", m, i, False) for i, (m, _) in enumerate(tried * 40)], "source string, language string, module string, ord int, type_only boolean")
+    make = lambda: text.resolve_imports(imports, files)
+    assert {(r.module, r.target) for r in make().collect()} == set(tried)
+    assert _most_rows(spark, make) <= 4 * len(tried) * 40
+
+
 def test_words_end_at_letters_beyond_ascii(spark):
     asked = [("die testö u", True), ("ñqueue ar", True), ("the tests", False), ("a_test", False), ("Queue?", True), ("api2", False), (None, None)]
     got = frame(spark, [(q,) for q, _ in asked], "q string").select("q", tours.is_relevant(F.col("q")).alias("r"))
