@@ -102,3 +102,9 @@ def test_chunks_hold_whole_texts(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": list(texts), "text": list(texts.values())}), tmp_path / "documents.parquet")
     got = {r.doc_id: (r.chunk_id, r.content) for r in QUERIES["chunk_files"](spark, str(tmp_path)).collect()}
     assert got == {i: (f"{i}::__file__", t) for i, t in texts.items() if t is not None}
+
+
+def test_files_are_classified_by_all_tasks(spark):
+    from graphmill.plans import registry
+
+    assert registry.classified(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
