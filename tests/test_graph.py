@@ -136,3 +136,34 @@ def test_federation_takes_the_first_rule(spark):
     aliases = spark.createDataFrame([("~shared", "/w/lib/src")], "prefix string, base string")
     got = rows(graph.federation_edges(e, sisters, aliases, "/w/me"))
     assert got == [("src/a.ts", "../../other/x.ts", "other", 1), ("src/a.ts", "@org/lib/deep", "lib", 2), ("src/a.ts", "~shared/y", "lib", 3)]
+
+
+@pytest.mark.parametrize("most, hops", [(1, None), (3, None), (3, 3), (8, 2)])
+def test_ways_through_hubs_are_all_ways(spark, most, hops):
+    pairs = sorted({(min(p), max(p)) for p in random_graph(most, 25, 60) if p[0] != p[1]})
+    expected = {(i, j): h for i in range(0, 25, 2) for j, h in shortest(pairs, i).items() if hops is None or h <= hops}
+    got = graph.reach_through(edges(spark, pairs), nodes(spark, range(0, 25, 2)), hops, most, 1).collect()
+    assert len(got) == len(expected) and {(r.root, r.node): r.hop for r in got} == expected
+
+
+def test_pairs_through_a_hub_are_never_a_frontier(spark, monkeypatch):
+    # 40 nodes before a hub, 40 after it: 1,600 pairs; half of the latter reach a node of their own, one is reached around
+    e = edges(spark, [(i, 100) for i in range(40)] + [(100, i) for i in range(200, 240)] + [(i, i + 100) for i in range(200, 220)] + [(0, 300)])
+    made, plain = [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda *a: made.append(plain(*a)) or made[-1])
+    got = {(r.root, r.node): r.hop for r in graph.reach_through(e, nodes(spark, range(40))).collect()}
+    assert len(got) == 40 + 40 + 1600 + 800 and got[0, 300] == 1 and got[1, 300] == 3 and got[39, 239] == 2
+    assert sum(df.count() for df in made) < 300
+
+
+def test_entries_of_a_cycle_share_one_trace(spark, monkeypatch):
+    ring = [(i, (i + 1) % 30) for i in range(30)] + [(0, 50), (50, 51)]
+    ids = [*range(30), 50, 51]
+    e, n = edges(spark, ring), nodes(spark, ids)
+    asked, plain = [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda edges, roots, *a: asked.append(roots) or plain(edges, roots, *a))
+    comps = graph.cut(graph.scc(n, e))
+    asked.clear()
+    steps, _, _ = graph.flows(nodes(spark, range(30)), comps, spark.createDataFrame([(i, 1) for i in ids], "node long, layer int"), e)
+    assert rows(steps) == sorted([(i, c, h, 1) for i in range(30) for c, h in ((0, 0), (50, 1), (51, 2))], key=repr)
+    assert [r.count() for r in asked] == [1]
