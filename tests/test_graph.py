@@ -144,6 +144,9 @@ def test_ways_through_hubs_are_all_ways(spark, most, hops):
     expected = {(i, j): h for i in range(0, 25, 2) for j, h in shortest(pairs, i).items() if hops is None or h <= hops}
     got = graph.reach_through(edges(spark, pairs), nodes(spark, range(0, 25, 2)), hops, most, 1).collect()
     assert len(got) == len(expected) and {(r.root, r.node): r.hop for r in got} == expected
+    sizes = spark.createDataFrame([(i, i + 1) for i in range(25)], "node long, n long")
+    above = {j: sum(i + 1 for i in range(25) if i != j and j in shortest(pairs, i)) for j in range(25)}
+    assert {r.node: r.above for r in graph._weight_above(edges(spark, pairs), sizes, most, 1).collect()} == {j: n for j, n in above.items() if n}
 
 
 def test_pairs_through_a_hub_are_never_a_frontier(spark, monkeypatch):
