@@ -170,3 +170,10 @@ def test_entries_of_a_cycle_share_one_trace(spark, monkeypatch):
     steps, _, _ = graph.flows(nodes(spark, range(30)), comps, spark.createDataFrame([(i, 1) for i in ids], "node long, layer int"), e)
     assert rows(steps) == sorted([(i, c, h, 1) for i in range(30) for c, h in ((0, 0), (50, 1), (51, 2))], key=repr)
     assert [r.count() for r in asked] == [1]
+
+
+def test_sources_that_pass_an_edge_together_are_one_row(spark):
+    # 40 sources before one node: the edge behind it is one row, not one for each of them
+    e = edges(spark, [(i, 100) for i in range(40)] + [(100, 101)])
+    first, second = graph._levels(e, nodes(spark, range(40)))
+    assert first.count() == 40 and second.count() < 10
