@@ -19,7 +19,9 @@ strings of one anchor form a segment, 147 bytes on average.
    more, all but the earliest are marked.
 3. Where an anchor has very many different segments, each is split in two before
    that: its strings that reach 38 bytes to the left of the anchor go by these
-   bytes, the others by the 38 to the right. Equal strings still meet.
+   bytes, the others by the 38 to the right. Equal strings still meet. What is still
+   too many is split on where it is indexed, down to single strings, so a task holds a
+   bounded number of suffixes at once.
 
 The texts themselves are only joined with what concerns them, by doc_id.
 """
@@ -60,6 +62,11 @@ BLOBS = "p int, blob binary"
 MARKS = "doc_id long, spans array<struct<start:long,size:int>>, wanted array<struct<start:long,size:int,off:int,f:long>>"
 
 
+def _bucket(f: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each anchor hash; it is the smallest of many, so its own leading bits are mostly 0."""
+    return (mix(f) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, start in the row, number of strings, place of the anchor, anchor hash, segment digest)."""
     found = []
@@ -209,7 +216,7 @@ def _anchor(bits: int) -> Callable:
             spans = np.stack([d[i : i + (1 << 16)], a[i : i + (1 << 16)], b[i : i + (1 << 16)]])
             rows.append((int(mix(spans[0, :1].astype(np.uint64))[0] >> np.uint64(64 - bits)), 1, spans.tobytes()))
         x = x[~later]
-        p = (x["f"] >> np.uint64(64 - bits)).astype(np.int64)
+        p = _bucket(x["f"], bits)
         order = np.lexsort((x["start"], x["doc"], p))
         x, p = x[order], p[order]
         cuts = np.searchsorted(p, np.arange((1 << bits) + 1))
@@ -288,22 +295,23 @@ def _settle(bits: int, most_of_anchor: int) -> Callable:
     return lean(run)
 
 
-def split(x: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segments x, which begin at data[begin], each as its strings that reach BESIDE bytes to the left of the anchor and the others, under new anchors."""
+def split(x: np.ndarray, data: np.ndarray, begin: np.ndarray, beside: int = BESIDE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Segments x, which begin at data[begin], in two parts: their strings that reach `beside` bytes or more to the left of the anchor, and the others.
+
+    Anchors are renamed by the bytes that all strings of a part share beside them.
+    """
     off, size = x["off"].astype(np.int64), x["size"].astype(np.int64)
-    left = np.clip(off - BESIDE + 1, 0, size)  # string i has its anchor at off - i
-    parts, begins = [], []
-    for first, n, shift in ((np.zeros(len(x), np.int64), left, -BESIDE), (left, size - left, GRAM)):
+    left = np.clip(off - beside + 1, 0, size)  # string i has its anchor at off - i
+    parts = []
+    for first, n, shift, width in ((np.zeros(len(x), np.int64), left, -beside, beside), (left, size - left, GRAM, WINDOW - beside)):
         some = np.flatnonzero(n > 0)
         y = x[some].copy()
         y["start"], y["size"], y["off"] = y["start"] + first[some], n[some], off[some] - first[some]
         at = begin[some] + off[some] + shift
-        beside = data[at[:, None] + np.arange(BESIDE)]
-        digests = b"".join([hashlib.blake2b(row.tobytes(), digest_size=8, key=bytes([shift & 0xFF])).digest() for row in beside])
+        digests = b"".join([hashlib.blake2b(data[a : a + width].tobytes(), digest_size=8, key=bytes([shift & 0xFF])).digest() for a in at.tolist()])
         y["f"] = mix(y["f"] ^ np.frombuffer(digests, "<u8"))
-        parts.append(y)
-        begins.append(begin[some] + first[some])
-    return np.concatenate(parts), np.concatenate(begins)
+        parts.append((y, begin[some] + first[some]))
+    return parts
 
 
 def _cut_out(bits: int) -> Callable:
@@ -313,7 +321,7 @@ def _cut_out(bits: int) -> Callable:
         text = np.concatenate([h[1] for h in held])
         length = x["size"].astype(np.int64) + (LENGTH - 1)
         begin = np.cumsum(length) - length
-        p = (x["f"] >> np.uint64(64 - bits)).astype(np.int64)
+        p = _bucket(x["f"], bits)
         order = np.argsort(p, kind="stable")
         cuts = np.searchsorted(p[order], np.arange((1 << bits) + 1))
         rows = []
@@ -339,8 +347,8 @@ def _cut_out(bits: int) -> Callable:
                 begin = offsets[row[own] - first] + start[own]
                 many = off[own] >= SPLIT
                 if many.any():
-                    y, at = split(x[many], data, begin[many])
-                    x, begin = np.concatenate((x[~many], y)), np.concatenate((begin[~many], at))
+                    parts = [(x[~many], begin[~many]), *split(x[many], data, begin[many])]
+                    x, begin = (np.concatenate(c) for c in zip(*parts, strict=True))
                 length = x["size"].astype(np.int64) + (LENGTH - 1)
                 at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
                 held.append((x, data[at]))
@@ -354,10 +362,47 @@ def _cut_out(bits: int) -> Callable:
     return lean(run)
 
 
-def long_matches(x: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of all 100-byte strings of segments x (their bytes in text, in order) that an equal one precedes."""
+def _equals(x: np.ndarray, text: np.ndarray, begin: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc, start, end) of segments x of one string each, nearly all equal, that an equal one precedes."""
+    order = np.lexsort((x["start"], x["doc"]))
+    x, begin = x[order], begin[order]
+    while len(x) > 1:
+        first = text[begin[0] : begin[0] + LENGTH]
+        equal = np.concatenate([(text[begin[i : i + most, None] + np.arange(LENGTH)] == first).all(axis=1) for i in range(0, len(x), most)])
+        equal[0] = False
+        yield x["doc"][equal], x["start"][equal], x["start"][equal] + LENGTH
+        x, begin = x[1:][~equal[1:]], begin[1:][~equal[1:]]
+
+
+def bounded_matches(x: np.ndarray, text: np.ndarray, begin: np.ndarray, most: int, low: int = 0, high: int = WINDOW - 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """long_matches() of segments x, which begin at text[begin], about `most` of them at once.
+
+    An anchor of more is split by the bytes beside it, again and again: its strings reach
+    from low to high bytes to its left, and where both are equal they are whole strings.
+    """
+    order = np.argsort(x["f"], kind="stable")
+    heads = np.flatnonzero(np.diff(x["f"][order], prepend=x["f"][order[:1]] ^ np.uint64(1)) != 0)
+    tails = np.append(heads[1:], len(x))
+    at = 0
+    while at < len(heads):
+        # anchors one after the other as long as they are few enough together
+        last = max(at + 1, int(np.searchsorted(tails, heads[at] + most, "right")))
+        own = order[heads[at] : tails[last - 1]]
+        at = last
+        if len(own) <= most:
+            yield long_matches(x[own], text, begin[own])
+        elif low == high:
+            yield from _equals(x[own], text, begin[own], most)
+        else:
+            beside = (low + high + 1) // 2
+            for (y, places), ends in zip(split(x[own], text, begin[own], beside), ((beside, high), (low, beside - 1)), strict=True):
+                if len(y):
+                    yield from bounded_matches(y, text, places, most, *ends)
+
+
+def long_matches(x: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of all 100-byte strings of segments x, which begin at text[begin], that an equal one precedes."""
     length = x["size"].astype(np.int64) + (LENGTH - 1)
-    begin = np.cumsum(length) - length
     off = x["off"].astype(np.int64)
     right_length = length - off
     columns = np.arange(LENGTH)
@@ -415,7 +460,7 @@ def long_matches(x: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return merged(x["doc"][item], start, start + LENGTH)
 
 
-def _index(bits: int) -> Callable:
+def _index(bits: int, most_of_anchor: int) -> Callable:
     """Of each bucket of segments with their bytes: the spans of long matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,8 +471,11 @@ def _index(bits: int) -> Callable:
                 n = int.from_bytes(blob[:8], "little")
                 parts.append(np.frombuffer(blob, SEGMENT, n, 8))
                 texts.append(np.frombuffer(blob, np.uint8, -1, 8 + n * SEGMENT.itemsize))
-            out.spans(*long_matches(np.concatenate(parts), np.concatenate(texts)))
-            yield from out.passed_on(HELD)
+            x = np.concatenate(parts)
+            length = x["size"].astype(np.int64) + (LENGTH - 1)
+            for spans in bounded_matches(x, np.concatenate(texts), np.cumsum(length) - length, most_of_anchor):
+                out.spans(*spans)
+                yield from out.passed_on(HELD)
         yield from out.passed_on(1)
 
     return lean(run)
@@ -445,7 +493,7 @@ def repeated_spans(docs: DataFrame, most_of_anchor: int = MOST_OF_ANCHOR) -> Dat
     marks = table(dealt(dealt(anchors).mapInArrow(_settle(bits, most_of_anchor), BLOBS)).mapInArrow(_gather, MARKS), "suffix-marks")
     wanted = marks.where(F.size("wanted") > 0).select("doc_id", "wanted")
     pieces = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_out(bits), BLOBS)
-    found = table(dealt(dealt(pieces).mapInArrow(_index(bits), BLOBS)).mapInArrow(_gather, MARKS), "suffix-found")
+    found = table(dealt(dealt(pieces).mapInArrow(_index(bits, most_of_anchor), BLOBS)).mapInArrow(_gather, MARKS), "suffix-found")
     some = marks.select("doc_id", "spans").unionByName(found.select("doc_id", "spans")).where(F.size("spans") > 0)
     return some.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphmill.llm import bpe, decontaminate, minhash, queries, suffix
@@ -240,6 +241,37 @@ def test_suffix_equals_brute_force(spark):
             assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == expected
 
 
+def test_suffix_buckets_are_even():
+    rng = random.Random(5)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([text(rng, 4000, 5000) for _ in range(40)])], names=["doc_id", "text"])
+    sizes = dict.fromkeys(range(64), 0)
+    for batch in suffix._anchor(6)(iter([rows])):
+        for p, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sizes[p] += len(blob) if kind == 0 else 0
+    assert max(sizes.values()) < 3 * sum(sizes.values()) / 64
+
+
+def test_suffix_splits_a_hot_line_until_few_are_left(monkeypatch):
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line = some(105)
+    data = np.frombuffer("".join(some(80) + line + some(80) for _ in range(200)).encode(), np.uint8)
+    offsets = np.arange(0, len(data) + 1, len(data) // 200)
+    row, start, size, off, f, seg = suffix.segments(data, offsets)
+    x = np.zeros(len(row), suffix.SEGMENT)
+    x["doc"], x["start"], x["size"], x["off"], x["f"], x["seg"] = row, start, size, off, f, seg
+    begin = offsets[row] + start
+    expected = suffix.merged(*suffix.long_matches(x, data, begin))
+    assert len(expected[0]) == 199 and np.unique(f, return_counts=True)[1].max() > 100
+    seen, plain = [], suffix.long_matches
+    monkeypatch.setattr(suffix, "long_matches", lambda x, *more: seen.append(len(x)) or plain(x, *more))
+    for most in (1, 16):
+        got = suffix.merged(*(np.concatenate(c) for c in zip(*suffix.bounded_matches(x, data, begin, most), strict=True)))
+        assert all((a == b).all() for a, b in zip(got, expected, strict=True))
+        assert max(seen) <= most
+        seen.clear()
+
+
 def test_long_texts_are_hashed_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 1 << 9)
     monkeypatch.setattr(suffix, "_PLACES", np.uint64((1 << 9) - 1))
