@@ -64,6 +64,23 @@ def test_blocks_that_hold_no_best_row_stay_closed(spark, queries, tmp_path):
     assert rows(postings.search(spark, root, single, 10)) == rows(plain(spark, docs, single, 10))
 
 
+def test_postings_cross_one_shuffle_and_a_hot_term_is_shared_out(spark, queries, tmp_path, monkeypatch):
+    docs = library(random.Random(7), range(300))
+    index = text.inverted_index(frame(spark, docs).select("id", "content")).withColumn("gen", F.lit(1))
+    given = spark.createDataFrame(index.collect(), index.schema)
+    plan = postings._blocks(given, 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(term") <= 2 and "rangepartitioning" not in plan and "Window" not in plan  # how often terms come, and postings
+    monkeypatch.setattr(postings, "SHARE", 32)
+    root = f"file://{tmp_path}/shared"
+    postings.update(frame(spark, {i: docs[i] for i in list(docs)[::2]}), root, size=16)
+    postings.update(frame(spark, docs), root, size=16)
+    kept = versions.current(spark, root).read(spark, "postings")
+    assert kept.agg(F.max("n")).first()[0] <= 16 and kept.groupBy("term", F.input_file_name(), "block").count().where("count > 1").isEmpty()
+    assert rows(postings.search(spark, root, queries, 5)) == rows(plain(spark, docs, queries, 5))
+    postings.compact(spark, root, 16)
+    assert rows(postings.search(spark, root, queries, 5)) == rows(plain(spark, docs, queries, 5))
+
+
 def test_odd_rows_and_no_index(spark, queries, tmp_path):
     root = f"file://{tmp_path}/none"
     with pytest.raises(ValueError):
