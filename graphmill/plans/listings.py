@@ -57,9 +57,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     commits = graph.cut(rel.commits(spark, d))
-    hot = history.temporal(commits, rel.files(spark, d).select(F.col("node").alias("path"), "lines"), rel.COMMITS_AS_OF)
+    parts = history.tasks(commits)
+    hot = history.temporal(commits, rel.files(spark, d).select(F.col("node").alias("path"), "lines"), rel.COMMITS_AS_OF, parts)
     parts = [
-        sections.section("coupling", sections.with_percent(graph.cut(history.coupling(commits)))), sections.section("hotspots", graph.cut(hot)), sections.section("ownership", graph.cut(sections.owners(history.ownership(commits)))),
+        sections.section("coupling", sections.with_percent(graph.cut(history.coupling(commits)))), sections.section("hotspots", graph.cut(hot)), sections.section("ownership", graph.cut(sections.owners(graph.cut(history.ownership(commits, parts))))),
     ]
     return sections.union(parts).drop("place")
 

@@ -332,3 +332,14 @@ def test_the_symbols_that_are_shown_and_their_edges(spark):
 def test_a_listing_keeps_its_order_without_repeats(spark):
     listing = frame(spark, [("b", 1), ("a", 2), ("b", 3), (None, 4), ("a", 5)], "path string, ord int")
     assert [r.path for r in readers.dedupe_paths(listing, "ord").orderBy("ord").collect()] == ["b", "a", None]
+
+
+def test_rows_of_a_log_are_dealt_by_their_number(spark, monkeypatch):
+    log = spark.createDataFrame([(c, f"f{c * k % 11}", f"2024-01-{1 + c % 28:02d}", f"n{c % 5}", f"e{c % 5}") for c in range(60) for k in range(1, 4)], "cid long, path string, ts string, author string, email string").distinct()
+    monkeypatch.setattr(history, "ROWS_OF_TASK", 8)
+    parts = history.tasks(log)
+    assert parts > 10
+    for f in (history.ownership, history.churn, history.file_frequency):
+        assert sorted(map(tuple, f(log, parts).collect())) == sorted(map(tuple, f(log).collect()))
+    plan = history.ownership(log, parts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {parts})") == 2
