@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from graphmill.plans.registry import QUERIES
 
@@ -108,3 +109,18 @@ def test_files_are_classified_by_all_tasks(spark):
     from graphmill.plans import registry
 
     assert registry.classified(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_selected_files_are_classified_once(spark, monkeypatch):
+    from graphmill.plans import registry
+    from graphmill.plans import relations as rel
+
+    sf, seen = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0)
+
+    def kind(node):
+        seen.add(1)
+        return "route" if node % 3 == 0 else "model"
+
+    monkeypatch.setattr(registry, "classified", lambda spark, d: rel.files(spark, d).withColumn("category", F.udf(kind)("node")))
+    assert registry.selected(spark, sf).count() == 200
+    assert seen.value == rel.files(spark, sf).count()
