@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from graphmill.lineage import cut_by
 from graphmill.operators import graph
 from tests.conftest import rows
 
@@ -177,3 +178,31 @@ def test_sources_that_pass_an_edge_together_are_one_row(spark):
     e = edges(spark, [(i, 100) for i in range(40)] + [(100, 101)])
     first, second = graph._levels(e, nodes(spark, range(40)))
     assert first.count() == 40 and second.count() < 10
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_edges_in_several_buckets(spark, monkeypatch, seed):
+    monkeypatch.setattr(graph, "EDGES_OF_TASK", 8, raising=False)
+    pairs, ids = random_graph(20 + seed, 30, 30 + 8 * seed), range(30)
+    expected = components(ids, pairs)
+    assert {r.node: r.comp for r in graph.scc(nodes(spark, ids), edges(spark, pairs + pairs[:5])).collect()} == expected
+    named = spark.createDataFrame([(f"f{s:02}", f"f{t:02}") for s, t in pairs], "s string, t string")
+    got = graph.scc(spark.createDataFrame([(f"f{i:02}",) for i in ids], "node string"), named)
+    assert {r.node: r.comp for r in got.collect()} == {f"f{i:02}": f"f{c:02}" for i, c in expected.items()}
+
+
+def test_components_look_both_ways_in_one_round(spark, monkeypatch):
+    # a ring of 12: its smallest id goes round once, forward and backward together, and each round is one table
+    tables = []
+    for name in ("cut", "cut_by"):
+        monkeypatch.setattr(graph, name, lambda *a, plain=getattr(graph, name, None): tables.append(a) or plain(*a), raising=False)
+    assert rows(graph.scc(nodes(spark, range(12)), edges(spark, [(i, (i + 1) % 12) for i in range(12)]))) == sorted([(i, 0) for i in range(12)], key=repr)
+    assert len(tables) <= 18
+
+
+def test_tables_in_buckets_meet_without_a_shuffle(spark):
+    a, b = (cut_by(spark.range(50).repartition(3, "id"), "id", 3) for _ in range(2))
+    both = a.hint("shuffle_hash").join(b, "id")
+    assert both.count() == 50
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cut_")]
