@@ -206,3 +206,14 @@ def test_tables_in_buckets_meet_without_a_shuffle(spark):
     assert both.count() == 50
     assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("cut_")]
+
+
+def test_bridges_write_nothing_by_source_and_node(spark, monkeypatch):
+    """A graph that a task can hold is written once, however far its levels go; larger ones give the same."""
+    pairs = [(k, k + 1) for k in range(12)] + [(0, 7), (3, 9), (9, 2), (5, 1), (12, 0)]
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="cut": written.append(name) or cut(df, name))
+    got = rows(graph.bridge_edges(nodes(spark, [0, 3, 99, 12]), edges(spark, pairs), None))
+    assert written == ["bridges-edges"]
+    monkeypatch.setattr(graph, "MOST_AT_HAND", 0)
+    assert got == rows(graph.bridge_edges(nodes(spark, [0, 3, 99, 12]), edges(spark, pairs), None)) and len(written) > 10
